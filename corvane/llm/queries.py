@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import exact_dedup, html_text, mixing, packing, simhash, toxicity, warc
+from corvane.llm import exact_dedup, html_text, line_dedup, mixing, packing, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +49,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_boilerplate(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_toxicity, op5_packing, op6_html_text, op7_simhash, op8_warc, op9_exact_dedup)}
+    return {f.__name__: f for f in (op3_mixing, op4_toxicity, op5_packing, op6_html_text, op7_simhash, op8_warc, op9_exact_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": warc.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op8_warc": warc.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
