@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import exact_dedup, html_text, line_dedup, mixing, packing, simhash, toxicity, warc
+from corvane.llm import exact_dedup, html_text, line_dedup, mixing, order_minhash, packing, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints_of_edits(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The public vocabulary with word ends, in lower case."""
     import public_tokenizers
@@ -54,7 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_toxicity, op5_packing, op6_html_text, op7_simhash, op8_warc, op9_exact_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_order_minhash, op3_mixing, op4_toxicity, op5_packing, op6_html_text, op7_simhash, op8_warc, op9_exact_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
