@@ -1,7 +1,9 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, and of the links within buckets without forming their pairs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that is reachable) for every node of the edges (a, b: long).
 
+    Large and small stars alternate until the edges stay as they are.
     Each round costs two aggregations and two joins of the edges, which become fewer; hubs are
     aggregated before the shuffle and their joins are split by adaptive execution. The number of
     rounds grows with the logarithm of the longest path. An edge from a node to itself adds nothing.
@@ -48,3 +51,30 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
     )
+
+
+def bucket_components(met: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component over the links of nodes that meet in buckets.
+
+    ``met`` has a row (key, node, leader: long, node <> leader) for each member of each bucket of
+    several; ``verify`` keeps the true links of distinct pairs (a, b). Members are linked to their
+    leaders first, and components of those links are found. Then only members outside of their
+    leader's component are compared with the rest of the bucket, and only across components, so a
+    bucket of many near copies takes as many comparisons as it has members, and few more. No link is
+    lost: two members that are linked are in one component, or were compared.
+    """
+    met = saved(met.select("key", "node", "leader"))
+    stars = verify(met.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    first = saved(components(stars))
+    members = met.unionByName(met.select("key", F.col("leader").alias("node"), "leader").distinct())
+    named = members.join(first, "node", "left").select("key", "node", "leader", F.coalesce("component", "node").alias("own"))
+    of_leader = first.select(F.col("node").alias("leader"), F.col("component").alias("main"))
+    named = named.join(of_leader, "leader", "left")
+    named = saved(named.select("key", "node", "own", (F.col("own") != F.coalesce("main", "leader")).alias("apart")))
+    apart = named.filter("apart").select("key", F.col("node").alias("a"), F.col("own").alias("part"))
+    across = named.select("key", F.col("node").alias("b"), "own").join(apart, "key").filter("part <> own")
+    pairs = saved(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    bridges = saved(verify(pairs).select("a", "b"))
+    if bridges.isEmpty():
+        return first
+    return components(bridges.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))

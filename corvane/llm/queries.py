@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import exact_dedup, html_text, line_dedup, mixing, order_minhash, packing, simhash, toxicity, warc
+from corvane.llm import exact_dedup, html_text, line_dedup, mixing, order_minhash, packing, paragraph_dedup, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op3_mixing, op4_toxicity, op5_packing, op6_html_text, op7_simhash, op8_warc, op9_exact_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_paragraph_dedup, op3_mixing, op4_toxicity, op5_packing, op6_html_text, op7_simhash, op8_warc, op9_exact_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

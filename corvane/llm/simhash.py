@@ -8,9 +8,8 @@ segments decode to, for each pair of segments, and looked up under all their nea
 second, it is indexed and looked up under an equal segment with the near codewords of the next one.
 So every such pair meets under some key, and meetings are verified.
 
-Nothing here forms all pairs of a bucket. Distinct fingerprints are linked to their bucket's leader
-first, and components of those links are found; then only members that are not in the leader's
-component are compared with the rest of the bucket, and only across components.
+Equal fingerprints are one node, and nothing here forms all pairs of a bucket: see
+``graph.bucket_components``.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import golay
 from corvane.llm.common import only, saved, text_of
-from corvane.llm.graph import components
+from corvane.llm.graph import bucket_components
 
 SEED = 42
 DISTANCE = 4
@@ -111,27 +110,9 @@ def linked(fingerprints: DataFrame) -> DataFrame:
     lookups = fingerprints.mapInArrow(_keys(False), KEYS)
     leaders = index.groupBy("key").agg(F.min("fp").alias("leader"), (F.count(F.lit(1)) > 1).alias("several"))
     meets = (lookups["key"] == leaders["key"]) & (F.col("several") | (_differ("fp", "leader") <= DISTANCE))
-    met = lookups.join(leaders, meets & (F.col("fp") != F.col("leader"))).select(lookups["key"], "fp", "leader", "several")
-    met = saved(met)
-    stars = met.filter(_differ("fp", "leader") <= DISTANCE).select(F.col("fp").alias("a"), F.col("leader").alias("b"))
-    first = saved(components(stars))
-
-    members = met.filter("several").select("key", "fp", "leader")
-    members = members.unionByName(members.select("key", F.col("leader").alias("fp"), "leader").distinct())
-    named = members.join(first.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.select("key", "fp", "leader", F.coalesce("component", "fp").alias("component"))
-    of_leader = first.select(F.col("node").alias("leader"), F.col("component").alias("main"))
-    named = named.join(of_leader, "leader", "left").withColumn("main", F.coalesce("main", "leader"))
-    named = saved(named.select("key", "fp", "component", (F.col("component") != F.col("main")).alias("apart")))
-    apart = named.filter("apart").select("key", F.col("fp").alias("a"), F.col("component").alias("part"))
-    rest = named.join(apart.select("key").distinct(), "key", "left_semi")
-    across = (
-        (apart["key"] == rest["key"]) & (F.col("part") != F.col("component")) & (_differ("a", "fp") <= DISTANCE)
-    )
-    bridges = saved(apart.join(rest, across).select("a", F.col("fp").alias("b")).distinct())
-    if bridges.isEmpty():
-        return first
-    return components(bridges.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    met = lookups.join(leaders, meets & (F.col("fp") != F.col("leader")))
+    met = met.select(lookups["key"], F.col("fp").alias("node"), "leader")
+    return bucket_components(met, lambda pairs: pairs.filter(_differ("a", "b") <= DISTANCE))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
