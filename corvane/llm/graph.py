@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import saved
 
+#: Leaders of a bucket.
+LEADERS = 4
+
 
 def _least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m"))
@@ -53,27 +56,42 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def bucket_components(met: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_components(
+    members: DataFrame, close: Callable[[Column, Column], Column] | None, verify: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """node, component over the links of nodes that meet in buckets.
 
-    ``met`` has a row (key, node, leader: long, node <> leader) for each member of each bucket of
-    several; ``verify`` keeps the true links of distinct pairs (a, b). Members are linked to their
-    leaders first, and components of those links are found. Then only members outside of their
-    leader's component are compared with the rest of the bucket, and only across components, so a
-    bucket of many near copies takes as many comparisons as it has members, and few more. No link is
-    lost: two members that are linked are in one component, or were compared.
+    ``members`` has rows (key, node, sign: long) of buckets of several nodes. ``close`` says from two
+    signs whether their nodes can be linked (None: always), and ``verify`` keeps the true links of
+    distinct pairs (a, b). In each bucket a few members, by hashes, are leaders; all are linked to
+    those first, and components of these links are found. Then only members outside of their first
+    leader's component are compared with the rest of the bucket, and only across components. So a
+    bucket of near copies takes some comparisons for each member, never one for each pair, and no
+    link is lost: two members that are linked are in one component, or were compared.
     """
-    met = saved(met.select("key", "node", "leader"))
-    stars = verify(met.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    first = saved(components(stars))
-    members = met.unionByName(met.select("key", F.col("leader").alias("node"), "leader").distinct())
-    named = members.join(first, "node", "left").select("key", "node", "leader", F.coalesce("component", "node").alias("own"))
-    of_leader = first.select(F.col("node").alias("leader"), F.col("component").alias("main"))
-    named = named.join(of_leader, "leader", "left")
-    named = saved(named.select("key", "node", "own", (F.col("own") != F.coalesce("main", "leader")).alias("apart")))
-    apart = named.filter("apart").select("key", F.col("node").alias("a"), F.col("own").alias("part"))
-    across = named.select("key", F.col("node").alias("b"), "own").join(apart, "key").filter("part <> own")
-    pairs = saved(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    members = saved(members.select("key", "node", "sign").distinct())
+    entry = F.struct("node", "sign")
+    chosen = [F.min_by(entry, F.xxhash64("node", F.lit(i))) for i in range(LEADERS)]
+    leaders = members.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("leaders"))
+
+    def fits(leader: Column) -> Column:
+        other = leader["node"] != F.col("node")
+        return other & close(leader["sign"], F.col("sign")) if close else other
+
+    # a node's leaders over all its buckets are as few as its keys, so they are made distinct by node
+    near = members.join(leaders, "key").select("node", F.transform(F.filter("leaders", fits), lambda x: x["node"]).alias("near"))
+    near = near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    stars = near.select(F.col("node").alias("a"), F.explode("near").alias("b"))
+    first = saved(components(verify(stars)))
+
+    known = members.join(first, "node", "left").withColumn("own", F.coalesce("component", "node"))
+    known = saved(known.select("key", "node", "sign", "own"))
+    head = known.groupBy("key").agg(F.min("own").alias("main"), F.max("own").alias("last")).filter("main <> last")
+    mixed = saved(known.join(head.select("key", "main"), "key"))
+    apart = mixed.filter("own <> main").select("key", F.col("node").alias("a"), F.col("sign").alias("signed"), F.col("own").alias("part"))
+    across = (apart["key"] == mixed["key"]) & (F.col("part") != F.col("own"))
+    across = across & close(F.col("signed"), F.col("sign")) if close else across
+    pairs = apart.join(mixed, across).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     bridges = saved(verify(pairs).select("a", "b"))
     if bridges.isEmpty():
         return first

@@ -115,11 +115,11 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = saved(nodes)
     bands = rows.select("d1", "bands").dropDuplicates(["d1"]).select("d1", F.explode("bands").alias("key"))
     leaders = bands.groupBy("key").agg(F.min("d1").alias("leader"), F.max("d1").alias("last")).filter("leader <> last")
-    met = bands.join(leaders.select("key", "leader"), "key").filter("d1 <> leader")
-    met = saved(met.select("key", F.col("d1").alias("node"), "leader"))
+    met = bands.join(leaders.select("key"), "key").select("key", F.col("d1").alias("node"), F.lit(0).cast("long").alias("sign"))
+    met = saved(met)
 
     # the texts of paragraphs that meet another one, from the document that has them first
-    ids = met.select(F.col("node").alias("d1")).unionByName(met.select(F.col("leader").alias("d1"))).distinct()
+    ids = met.select(F.col("node").alias("d1")).distinct()
     wanted = ids.join(nodes, "d1").select("d1", "first.*")
     pieces = named.join(wanted, named["doc_id"].eqNullSafe(wanted["doc_id"])).select(
         "d1", F.expr("substring(text, cast(start as int) + 1, cast(length as int))").alias("piece")
@@ -133,7 +133,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         shared = F.size(F.array_intersect("x", "y"))
         return both.filter(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
-    groups = saved(bucket_components(met, verify)).withColumnRenamed("node", "d1")
+    groups = saved(bucket_components(met, None, verify)).withColumnRenamed("node", "d1")
     linked = nodes.join(groups, "d1", "left").withColumn("group", F.coalesce("component", "d1"))
     linked = linked.filter(F.col("component").isNotNull() | (F.col("n") > 1))
     heads = linked.groupBy("group").agg(

@@ -30,8 +30,10 @@ SEED = 42
 DISTANCE = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
-FINGERPRINT = "doc_id long, fp long"
-KEYS = "key long, fp long"
+FINGERPRINT = "doc_id long, h long, fp long"
+#: Stands for a null id.
+NO_ID = (1 << 63) - 1
+KEYS = "key long, node long, sign long"
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -63,21 +65,25 @@ def fingerprint(hashes: np.ndarray) -> int:
 def _fingerprints(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array(found, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "fp"])
 
     return run
 
 
-def _keys(index: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keys under which fingerprints are indexed, or looked up: a key's family above bit 40."""
+def _keys(index: bool, exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys of (node, sign, seed) under which signs are indexed, or looked up; above bit 40 the key's family.
+
+    exact: with the keys that a guarantee for ``DISTANCE`` needs besides those of pairs of segments.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy().astype(np.int64)
-            if not len(fps):
+            node, sign, seed = (c.to_numpy().astype(np.int64) for c in batch.columns)
+            if not len(node):
                 continue
-            bits = fps.view(np.uint64)
+            bits = sign.view(np.uint64)
             parts = [(bits >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
             near = [golay.near(p) for p in parts]
             for family, (i, j) in enumerate(PAIRS):
@@ -85,34 +91,53 @@ def _keys(index: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                     one, other = golay.decoded(parts[i])[:, None], golay.decoded(parts[j])[:, None]
                 else:
                     one, other = near[i], near[j]
-                grid = (one[:, :, None] << 12 | other[:, None, :]) | family << 40
-                used = (one[:, :, None] >= 0) & (other[:, None, :] >= 0)
-                yield _rows(grid.reshape(len(fps), -1), used.reshape(len(fps), -1), fps)
-            for i in range(3):
+                keys = (one[:, :, None] << 12 | other[:, None, :]).reshape(len(node), -1)
+                used = ((one[:, :, None] >= 0) & (other[:, None, :] >= 0)).reshape(len(node), -1)
+                yield _rows(keys | (seed[:, None] * 8 + family) << 40, used, node, sign)
+            for i in range(3) if exact else ():
                 other = near[(i + 1) % 3]
-                yield _rows((parts[i][:, None] << 12 | other) | (3 + i) << 40, other >= 0, fps)
+                yield _rows(parts[i][:, None] << 12 | other | (seed[:, None] * 8 + 3 + i) << 40, other >= 0, node, sign)
 
     return run
 
 
-def _rows(keys: np.ndarray, used: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+def _rows(keys: np.ndarray, used: np.ndarray, node: np.ndarray, sign: np.ndarray) -> pa.RecordBatch:
     at = np.nonzero(used)
-    return pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(fps[at[0]])], ["key", "fp"])
+    return pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(node[at[0]]), pa.array(sign[at[0]])], ["key", "node", "sign"])
+
 
+def _differ(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
 
-def _differ(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
+def linked(signs: DataFrame, distance: int, exact: bool, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component of every node that some other one is linked to, from rows (node, sign, seed).
 
-def linked(fingerprints: DataFrame) -> DataFrame:
-    """node, component over distinct fingerprints (fp) that some other one is linked to."""
-    index = fingerprints.mapInArrow(_keys(True), KEYS)
-    lookups = fingerprints.mapInArrow(_keys(False), KEYS)
-    leaders = index.groupBy("key").agg(F.min("fp").alias("leader"), (F.count(F.lit(1)) > 1).alias("several"))
-    meets = (lookups["key"] == leaders["key"]) & (F.col("several") | (_differ("fp", "leader") <= DISTANCE))
-    met = lookups.join(leaders, meets & (F.col("fp") != F.col("leader")))
-    met = met.select(lookups["key"], F.col("fp").alias("node"), "leader")
-    return bucket_components(met, lambda pairs: pairs.filter(_differ("a", "b") <= DISTANCE))
+    Signs of one seed that share a key meet; those within ``distance`` bits go to ``verify``.
+    """
+    index = signs.mapInArrow(_keys(True, exact), KEYS)
+    lookups = signs.mapInArrow(_keys(False, exact), KEYS).alias("l")
+    leaders = index.groupBy("key").agg(F.min(F.struct("node", "sign")).alias("leader"), (F.count(F.lit(1)) > 1).alias("several"))
+    leaders = leaders.alias("i")
+    meets = (F.col("l.key") == F.col("i.key")) & (F.col("l.node") != F.col("leader.node"))
+    near = _differ(F.col("l.sign"), F.col("leader.sign")) <= distance
+    met = saved(lookups.join(leaders, meets & (F.col("several") | near)).select("l.key", "l.node", "l.sign", "leader"))
+    heads = met.select("key", "leader.node", "leader.sign").distinct()
+    members = met.select("key", "node", "sign").unionByName(heads)
+    return bucket_components(members, lambda a, b: _differ(a, b) <= distance, verify)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and for each fingerprint the component's first row (doc_id, hash of the text)."""
+    named = only(docs, doc_id=F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), text=text_of(text_col))
+    named = named.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = saved(named.mapInArrow(_fingerprints(width), FINGERPRINT))
+    nodes = saved(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("first")))
+    signs = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("sign"), F.lit(0).cast("long").alias("seed"))
+    groups = saved(linked(signs, DISTANCE, True, lambda pairs: pairs)).withColumnRenamed("node", "fp")
+    heads = groups.join(nodes, "fp").groupBy("component").agg(F.min("first").alias("head"))
+    of_fp = nodes.join(groups.join(heads, "component").select("fp", "head"), "fp", "left")
+    return rows, of_fp.select("fp", F.coalesce("head", "first").alias("head"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -120,21 +145,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest doc_id that is reachable by links of at most ``DISTANCE`` differing
     bits. Texts without words, null ones too, have fingerprint 0 and are linked like any other. A
-    null doc_id never names a component unless all ids of it are null. Repeated rows are repeated.
+    null doc_id names a component only if all its ids are null. Repeated rows are repeated, and an
+    empty table gives no rows.
     """
-    named = only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col))
-    rows = saved(named.mapInArrow(_fingerprints(width), FINGERPRINT))
-    nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    groups = saved(linked(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    names = groups.join(nodes, "fp").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_fp = nodes.join(groups.join(names, "component").select("fp", "component_id"), "fp", "left")
-    of_fp = of_fp.select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    rows, of_fp = _components(docs, id_col, text_col, width)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(of_fp, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return rows.join(of_fp, "fp").select(
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
+        hexed.alias("fingerprint"),
+        F.nullif("head.doc_id", F.lit(NO_ID)).alias("component_id"),
+    )
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose document names its component, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of ``docs`` for each component, with all its columns: of the smallest doc_id, null being last."""
+    _, of_fp = _components(docs, id_col, text_col, width)
+    kept = of_fp.select(F.col("head.doc_id").alias("_id"), F.col("head.h").alias("_h")).distinct()
+    keys = {"_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(text_of(F.col(f"`{text_col}`")))}
+    rows = docs.withColumns(keys).join(kept, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
