@@ -57,22 +57,33 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def bucket_components(
-    members: DataFrame, close: Callable[[Column, Column], Column] | None, verify: Callable[[DataFrame], DataFrame]
+    members: DataFrame,
+    close: Callable[[Column, Column], Column] | None = None,
+    texts: Callable[[DataFrame], DataFrame] | None = None,
+    alike: Callable[[Column, Column], Column] | None = None,
+    across: bool = True,
 ) -> DataFrame:
     """node, component over the links of nodes that meet in buckets.
 
-    ``members`` has rows (key, node, sign: long) of buckets of several nodes. ``close`` says from two
-    signs whether their nodes can be linked (None: always), and ``verify`` keeps the true links of
-    distinct pairs (a, b). In each bucket a few members, by hashes, are leaders; all are linked to
-    those first, and components of these links are found. Then only members outside of their first
-    leader's component are compared with the rest of the bucket, and only across components. So a
-    bucket of near copies takes some comparisons for each member, never one for each pair, and no
-    link is lost: two members that are linked are in one component, or were compared.
+    ``members`` has rows (key, node, sign: long) of buckets of several nodes. Two are linked if
+    ``close`` (of their signs) and ``alike`` (of what ``texts`` gives as node, body for a table of
+    nodes) both hold; what is None holds always.
+
+    In each bucket a few members are leaders: the one whose buckets are the largest taken together,
+    as a text is from which others were made, and some by hashes. All members are compared with
+    those first, and components of these links are found. Then only members outside of the bucket's
+    main component are compared with the rest of it, only across components, and within the join, so
+    that no unlinked pair leaves it. No link is lost: two members that are linked are in one
+    component, or were compared. Without ``across``, the links to leaders are all.
     """
     members = saved(members.select("key", "node", "sign").distinct())
-    entry = F.struct("node", "sign")
-    chosen = [F.min_by(entry, F.xxhash64("node", F.lit(i))) for i in range(LEADERS)]
-    leaders = members.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("leaders"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    weights = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
+    entry, rank = F.struct("node", "sign"), F.struct("weight", "node")
+    ranked = members.join(weights, "node").groupBy("key").agg(
+        F.max_by(entry, rank).alias("m0"), *(F.min_by(entry, F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in range(1, LEADERS))
+    )
+    leaders = ranked.select("key", F.array_distinct(F.array(*(f"m{i}" for i in range(LEADERS)))).alias("leaders"))
 
     def fits(leader: Column) -> Column:
         other = leader["node"] != F.col("node")
@@ -82,17 +93,37 @@ def bucket_components(
     near = members.join(leaders, "key").select("node", F.transform(F.filter("leaders", fits), lambda x: x["node"]).alias("near"))
     near = near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     stars = near.select(F.col("node").alias("a"), F.explode("near").alias("b"))
-    first = saved(components(verify(stars)))
+    if texts and alike:
+        stars = saved(stars)
+        ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+        bodies = texts(ends)
+        both = stars.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
+        both = both.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
+        stars = both.filter(alike(F.col("x"), F.col("y"))).select("a", "b")
+    first = saved(components(stars))
+    if not across:
+        return first
 
     known = members.join(first, "node", "left").withColumn("own", F.coalesce("component", "node"))
     known = saved(known.select("key", "node", "sign", "own"))
-    head = known.groupBy("key").agg(F.min("own").alias("main"), F.max("own").alias("last")).filter("main <> last")
-    mixed = saved(known.join(head.select("key", "main"), "key"))
-    apart = mixed.filter("own <> main").select("key", F.col("node").alias("a"), F.col("sign").alias("signed"), F.col("own").alias("part"))
-    across = (apart["key"] == mixed["key"]) & (F.col("part") != F.col("own"))
-    across = across & close(F.col("signed"), F.col("sign")) if close else across
-    pairs = apart.join(mixed, across).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    bridges = saved(verify(pairs).select("a", "b"))
+    main = known.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max_by("own", F.struct("n", "own")).alias("main"), (F.count(F.lit(1)) > 1).alias("several")
+    )
+    mixed = saved(known.join(main.filter("several").select("key", "main"), "key"))
+    rest = mixed.withColumn("body", F.lit(0))
+    if texts and alike:
+        rest = mixed.join(texts(mixed.select("node").distinct()), "node")
+    rest = saved(rest.select("key", "node", "sign", "own", "main", "body"))
+    apart = rest.filter("own <> main").select(
+        F.col("key").alias("at"), F.col("node").alias("other"), F.col("sign").alias("signed"), F.col("own").alias("part"), F.col("body").alias("against")
+    )
+    meets = (F.col("at") == F.col("key")) & (F.col("part") != F.col("own"))
+    # of two members that are both apart, one comes second
+    meets = meets & ((F.col("own") == F.col("main")) | (F.col("part") < F.col("own")))
+    meets = meets & close(F.col("signed"), F.col("sign")) if close else meets
+    meets = meets & alike(F.col("against"), F.col("body")) if texts and alike else meets
+    found = apart.join(rest, meets).select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b"))
+    bridges = saved(found.distinct())
     if bridges.isEmpty():
         return first
     return components(bridges.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))

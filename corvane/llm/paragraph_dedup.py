@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import only, saved, text_of
 from corvane.llm.graph import bucket_components
-from corvane.llm.simhash import shingle_hashes
+from corvane.llm.simhash import alike, shingle_hashes, small
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -93,7 +93,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [(d1, text) for d1, text in rows if _digest(text.encode("utf-8", "replace").lower().split())[0] == d1]
         sets = [np.unique(shingle_hashes(text, WIDTH)).view(np.int64) for _, text in found]
         columns = [pa.array([d1 for d1, _ in found], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["d1", "shingles"])
+        yield pa.RecordBatch.from_arrays(columns, ["node", "body"])
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,22 +118,14 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = bands.join(leaders.select("key"), "key").select("key", F.col("d1").alias("node"), F.lit(0).cast("long").alias("sign"))
     met = saved(met)
 
-    # the texts of paragraphs that meet another one, from the document that has them first
-    ids = met.select(F.col("node").alias("d1")).distinct()
-    wanted = ids.join(nodes, "d1").select("d1", "first.*")
-    pieces = named.join(wanted, named["doc_id"].eqNullSafe(wanted["doc_id"])).select(
-        "d1", F.expr("substring(text, cast(start as int) + 1, cast(length as int))").alias("piece")
-    )
-    sets = pieces.mapInArrow(_shingles, "d1 long, shingles array<long>")
-    sets = saved(sets.dropDuplicates(["d1"]))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("d1").alias("a"), F.col("shingles").alias("x")), "a")
-        both = both.join(sets.select(F.col("d1").alias("b"), F.col("shingles").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.filter(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    def texts(ids: DataFrame) -> DataFrame:
+        """The shingles of paragraphs, from the document that has them first."""
+        wanted = saved(ids.withColumnRenamed("node", "d1").join(nodes, "d1").select("d1", "first.*"))
+        found = named.join(small(wanted), named["doc_id"].eqNullSafe(wanted["doc_id"]))
+        pieces = found.select("d1", F.expr("substring(text, cast(start as int) + 1, cast(length as int))").alias("piece"))
+        return saved(pieces.mapInArrow(_shingles, "node long, body array<long>").dropDuplicates(["node"]))
 
-    groups = saved(bucket_components(met, None, verify)).withColumnRenamed("node", "d1")
+    groups = saved(bucket_components(met, texts=texts, alike=alike)).withColumnRenamed("node", "d1")
     linked = nodes.join(groups, "d1", "left").withColumn("group", F.coalesce("component", "d1"))
     linked = linked.filter(F.col("component").isNotNull() | (F.col("n") > 1))
     heads = linked.groupBy("group").agg(

@@ -8,6 +8,10 @@ segments decode to, for each pair of segments, and looked up under all their nea
 second, it is indexed and looked up under an equal segment with the near codewords of the next one.
 So every such pair meets under some key, and meetings are verified.
 
+``near_duplicates`` links fingerprints by their distance alone. ``similar`` finds texts whose shingles
+have a given Jaccard similarity: with a similarity of 0.8 their own fingerprints differ in some ten
+bits, beyond any guarantee, so signs of single words make the pairs meet and the texts decide.
+
 Equal fingerprints are one node, and nothing here forms all pairs of a bucket: see
 ``graph.bucket_components``.
 """
@@ -30,7 +34,15 @@ SEED = 42
 DISTANCE = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
-FINGERPRINT = "doc_id long, h long, fp long"
+FINGERPRINT = "doc_id long, fp long"
+SETS = "node long, body array<long>"
+#: Similarity of texts, over shingles of so many words; signs of a text, and bits within which two are compared.
+SIMILARITY = 0.8
+WIDTH = 5
+SEEDS = 2
+REACH = 16
+#: Rows up to which a table of longs is broadcast.
+BROADCAST_ROWS = 500_000
 #: Stands for a null id.
 NO_ID = (1 << 63) - 1
 KEYS = "key long, node long, sign long"
@@ -65,9 +77,8 @@ def fingerprint(hashes: np.ndarray) -> int:
 def _fingerprints(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column(2)]
-            columns = [batch.column(0), batch.column(1), pa.array(found, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "fp"])
+            found = [fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     return run
 
@@ -110,10 +121,11 @@ def _differ(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def linked(signs: DataFrame, distance: int, exact: bool, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(signs: DataFrame, distance: int, exact: bool, **verify: Callable | bool) -> DataFrame:
     """node, component of every node that some other one is linked to, from rows (node, sign, seed).
 
-    Signs of one seed that share a key meet; those within ``distance`` bits go to ``verify``.
+    Signs of one seed that share a key meet; those within ``distance`` bits are linked if ``verify``,
+    what ``graph.bucket_components`` takes further, says so.
     """
     index = signs.mapInArrow(_keys(True, exact), KEYS)
     lookups = signs.mapInArrow(_keys(False, exact), KEYS).alias("l")
@@ -124,20 +136,7 @@ def linked(signs: DataFrame, distance: int, exact: bool, verify: Callable[[DataF
     met = saved(lookups.join(leaders, meets & (F.col("several") | near)).select("l.key", "l.node", "l.sign", "leader"))
     heads = met.select("key", "leader.node", "leader.sign").distinct()
     members = met.select("key", "node", "sign").unionByName(heads)
-    return bucket_components(members, lambda a, b: _differ(a, b) <= distance, verify)
-
-
-def _components(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all rows, and for each fingerprint the component's first row (doc_id, hash of the text)."""
-    named = only(docs, doc_id=F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), text=text_of(text_col))
-    named = named.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    rows = saved(named.mapInArrow(_fingerprints(width), FINGERPRINT))
-    nodes = saved(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("first")))
-    signs = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("sign"), F.lit(0).cast("long").alias("seed"))
-    groups = saved(linked(signs, DISTANCE, True, lambda pairs: pairs)).withColumnRenamed("node", "fp")
-    heads = groups.join(nodes, "fp").groupBy("component").agg(F.min("first").alias("head"))
-    of_fp = nodes.join(groups.join(heads, "component").select("fp", "head"), "fp", "left")
-    return rows, of_fp.select("fp", F.coalesce("head", "first").alias("head"))
+    return bucket_components(members, lambda a, b: _differ(a, b) <= distance, **verify)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -148,19 +147,104 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null doc_id names a component only if all its ids are null. Repeated rows are repeated, and an
     empty table gives no rows.
     """
-    rows, of_fp = _components(docs, id_col, text_col, width)
+    named = only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col))
+    rows = saved(named.mapInArrow(_fingerprints(width), FINGERPRINT))
+    nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    signs = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("sign"), F.lit(0).cast("long").alias("seed"))
+    groups = saved(linked(signs, DISTANCE, True)).withColumnRenamed("node", "fp")
+    names = groups.join(nodes, "fp").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    of_fp = nodes.join(groups.join(names, "component").select("fp", "component_id"), "fp", "left")
+    of_fp = of_fp.select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(of_fp, "fp").select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
-        hexed.alias("fingerprint"),
-        F.nullif("head.doc_id", F.lit(NO_ID)).alias("component_id"),
-    )
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """One row of ``docs`` for each component, with all its columns: of the smallest doc_id, null being last."""
-    _, of_fp = _components(docs, id_col, text_col, width)
-    kept = of_fp.select(F.col("head.doc_id").alias("_id"), F.col("head.h").alias("_h")).distinct()
-    keys = {"_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(text_of(F.col(f"`{text_col}`")))}
-    rows = docs.withColumns(keys).join(kept, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(of_fp, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signs of a text's distinct words, one for each seed: a changed word changes ``WIDTH`` shingles, but one word."""
+    for batch in batches:
+        found: list[list[int]] = [[] for _ in range(SEEDS)]
+        for text in batch.column(2).to_pylist():
+            words = np.unique(shingle_hashes(text, 1))
+            for seed, signs in enumerate(found):
+                mixed = words * np.uint64(2 * seed + 0x9E3779B97F4A7C15)
+                mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+                signs.append(fingerprint(mixed ^ mixed >> np.uint64(29)))
+        columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in found)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", *(f"sign{i}" for i in range(SEEDS))])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(t, WIDTH)).view(np.int64) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "body"])
+
+
+def alike(x: Column, y: Column) -> Column:
+    """Whether two sets have a Jaccard similarity of ``SIMILARITY`` or more; unequal sizes settle most pairs."""
+    low, high = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+    shared = F.size(F.array_intersect(x, y))
+    return F.when(low < SIMILARITY * high, F.lit(False)).otherwise(shared >= SIMILARITY * (low + high - shared))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """For a join with whole texts: broadcast if its counted rows are few, so that the texts need not move."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Groups of texts whose five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
+
+    Gives one row for each distinct text: node (its hash), first_id, n (its rows), group (the least
+    node of its component); and the rows doc_id, node. Near copies meet by the same keys as above,
+    made of SimHash signs of their words; within ``REACH`` bits, the shingles of both whole texts
+    decide. Two signs each make it unlikely that a pair never meets, but do not exclude it, and of
+    texts that meet, each is compared with the bucket's leaders: those in the largest buckets, as the
+    text is that copies were made from.
+    """
+    named = only(docs, doc_id=F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), text=text_of(text_col))
+    named = named.select("doc_id", F.xxhash64("text").alias("node"), "text")
+    schema = "doc_id long, node long, " + ", ".join(f"sign{i} long" for i in range(SEEDS))
+    rows = saved(named.mapInArrow(_signs, schema))
+    firsts = [F.min(f"sign{i}").alias(f"sign{i}") for i in range(SEEDS)]
+    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *firsts))
+    each = F.explode(F.array(*(F.struct(F.col(f"sign{i}").alias("sign"), F.lit(i).cast("long").alias("seed")) for i in range(SEEDS))))
+    signs = nodes.select("node", each.alias("s")).select("node", "s.sign", "s.seed")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = small(saved(ids.join(nodes, "node").select("node", F.col("first_id").alias("doc_id"))))
+        sets = named.join(wanted, ["node", "doc_id"], "left_semi").select("node", "text").mapInArrow(_shingle_sets, SETS)
+        return saved(sets.dropDuplicates(["node"]))
+
+    groups = saved(linked(signs, REACH, False, texts=texts, alike=alike, across=False))
+    of_node = nodes.join(groups, "node", "left").select("node", "first_id", "n", F.coalesce("component", "node").alias("group"))
+    return of_node, rows.select("doc_id", "node")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, component_id (the smallest doc_id of its group of ``similar`` texts).
+
+    Texts without words are alike. A null id names a group only if all its ids are null.
+    """
+    of_node, rows = similar(docs, id_col, text_col)
+    of_node = saved(of_node)
+    names = of_node.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    named = rows.join(of_node.join(names, "group").select("node", "component_id"), "node")
+    return named.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of each group of ``similar`` texts the smallest doc_id.
+
+    Rows that repeat both the id and the text that stay are one document and all stay. Only groups
+    of several rows are joined to the texts.
+    """
+    of_node, _ = similar(docs, id_col, text_col)
+    of_node = saved(of_node)
+    heads = of_node.groupBy("group").agg(F.min(F.struct("first_id", "node")).alias("head"), F.sum("n").alias("rows"))
+    touched = of_node.join(heads.filter("rows > 1"), "group")
+    touched = touched.select(F.col("node").alias("_node"), F.when(F.col("node") == F.col("head.node"), F.col("first_id")).alias("_keep"))
+    touched = small(saved(touched))
+    keys = {"_node_of": F.xxhash64(text_of(F.col(f"`{text_col}`"))), "_id_of": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))}
+    joined = docs.withColumns(keys).join(touched, F.col("_node_of") == F.col("_node"), "left")
+    stays = F.col("_node").isNull() | F.coalesce(F.col("_id_of") == F.col("_keep"), F.lit(False))
+    return joined.filter(stays).select(*(F.col(f"`{c}`") for c in docs.columns))
