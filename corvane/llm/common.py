@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +56,18 @@ def only(df: DataFrame, **columns: Column | str) -> DataFrame:
 def text_of(column: Column | str) -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_corvane_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    handle, path = tempfile.mkstemp(prefix="corvane-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(top.rglob("*.py")):
+            archive.write(file, file.relative_to(top.parent))
+    context.addPyFile(path)
+    context._corvane_shipped = True

@@ -71,7 +71,7 @@ def merged(runs: DataFrame, n: int) -> DataFrame:
 
 
 def exact_groups(rows: DataFrame) -> DataFrame:
-    """One row for each distinct text of ``digests``: digest, size, check, keep_id, group_size.
+    """One row for each distinct text of ``digests``: digest, size, check, keep_id, keep_chars, group_size.
 
     Entries only merge where SHA-256, the length and a second hash agree, at every level.
     """
@@ -91,7 +91,14 @@ def exact_groups(rows: DataFrame) -> DataFrame:
     runs = entries.select(*KEY, "best.n_chars", F.bitwise_not("best.back").alias("doc_id"), "rows")
     for _ in range(levels):
         runs = merged(runs.withColumn("run", F.shiftright("run", FAN_BITS)), n)
-    return runs.select("digest", "size", "check", F.col("doc_id").alias("keep_id"), F.col("rows").alias("group_size"))
+    return runs.select(
+        "digest",
+        "size",
+        "check",
+        F.col("doc_id").alias("keep_id"),
+        F.col("n_chars").alias("keep_chars"),
+        F.col("rows").alias("group_size"),
+    )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,9 +120,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document stays, with all their columns; repeated rows stay repeated."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of ``docs`` for each distinct text, with all its columns: the one that ``exact_dedup`` keeps."""
+    found = saved(exact_groups(saved(digests(docs, id_col, text_col))))
+    whole = text_of(F.col(f"`{text_col}`"))
+    bare = normalised(whole)
+    keys = {
+        "_digest": F.sha2(bare, 256),
+        "_size": F.octet_length(bare).cast("long"),
+        "_check": F.xxhash64(bare),
+        "_id": F.coalesce(F.col(f"`{id_col}`"), F.lit(NO_ID)),
+        "_chars": F.length(whole).cast("long"),
+    }
+    kept = only(found, _digest="digest", _size="size", _check="check", _id="keep_id", _chars="keep_chars")
+    rows = docs.withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE_SQL = r"""

@@ -134,7 +134,7 @@ def mix(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with all columns of ``docs``.
+    """The documents of the mix, each repeated as often as it is taken, with all columns of ``docs``.
 
     An id that several rows share counts by its most taken row; documents without an id or words go.
     """

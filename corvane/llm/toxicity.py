@@ -187,17 +187,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``toxicity``, its other columns untouched."""
+    """``docs`` with a column ``_toxicity``, its other columns untouched."""
     if model.trees is None:
-        return docs.withColumn("toxicity", F.lit(float(model.prior)))
-    ready = docs.withColumn("_tox_features", array_to_vector(features(text_of(text_col), model.lexicon)))
+        return docs.withColumn("_toxicity", F.lit(float(model.prior)))
+    ready = docs.withColumn("_tox_features", array_to_vector(features(text_of(F.col(f"`{text_col}`")), model.lexicon)))
     trees = model.trees.copy().setFeaturesCol("_tox_features").setRawPredictionCol("_tox_raw")
     trees = trees.setProbabilityCol("_tox_both").setPredictionCol("_tox_class")
     raw = trees.transform(ready).withColumn("_tox_p", vector_to_array("_tox_both")[1])
     calibration = model.calibration.copy().setFeaturesCol("_tox_p").setPredictionCol("_tox_iso")
     # the calibrated value is a step function; a little of the trees' own keeps the order on a step
     value = 0.98 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_tox_iso"))) + 0.02 * F.col("_tox_p")
-    return calibration.transform(raw).select(*(F.col(f"`{c}`") for c in docs.columns), value.alias("toxicity"))
+    return calibration.transform(raw).select(*(F.col(f"`{c}`") for c in docs.columns), value.alias("_toxicity"))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,6 +210,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return scored(named, model).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        F.col("toxicity").alias("score"),
-        (F.col("toxicity") >= REJECT).cast("int").alias("predicted"),
+        F.col("_toxicity").alias("score"),
+        (F.col("_toxicity") >= REJECT).cast("int").alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``REJECT``, with all their columns."""
+    rows = scored(docs, model, text_col)
+    return rows.filter(rows["_toxicity"] < REJECT).select(*(F.col(f"`{c}`") for c in docs.columns))
