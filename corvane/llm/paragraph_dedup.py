@@ -1,9 +1,14 @@
-"""Substring dedup: paragraphs that repeat, by MinHash banding.
+"""Substring dedup: paragraphs that repeat, by MinHash banding, and passages that repeat within them.
 
 Every long paragraph is reduced where it is read to two digests and the keys of its bands; texts do
 not move. Equal paragraphs are one node. Different ones that share a band meet, their texts are
 fetched, and the exact Jaccard similarity of their five-word shingles decides. Linked paragraphs make
 components; of each, the first paragraph stays and all others are removed.
+
+A passage inside of otherwise different paragraphs leaves their similarity low. So a paragraph also
+has pieces of fixed length, which begin where a shingle's hash is the least of its neighbourhood:
+wherever a run of ``RUN`` words or more occurs, one of its pieces at least begins at the same word.
+Equal pieces of two documents are parts of a passage; the first document keeps it.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import only, saved, text_of
@@ -26,10 +31,19 @@ RECALL = 0.999
 MAX_ROWS_OF_A_BAND = 3
 #: Words from which on a paragraph counts; shorter lines are the line dedup's.
 MIN_WORDS = 40
+#: Words of a shared run that is certain to be found, and of a piece.
+RUN = 50
+PIECE_WORDS = 30
+#: Repeated pieces up to which their table is broadcast.
+BROADCAST_PIECES = 1_000_000
 #: Documents whose shingles are held at once.
 BATCH = 256
+SPAN = ["doc_id", "paragraph", "start", "length"]
 
-PARAGRAPHS = "doc_id long, paragraph int, start long, length long, d1 long, d2 long, bands array<long>"
+PARAGRAPHS = (
+    "doc_id long, paragraph int, start long, length long, words int, d1 long, d2 long, "
+    "bands array<long>, pieces array<long>, places array<int>"
+)
 
 
 def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MAX_ROWS_OF_A_BAND) -> tuple[int, int]:
@@ -58,9 +72,35 @@ def band_keys(shingles: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def pieces_of(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash and the first word of each piece of a paragraph, from its shingles' hashes in order.
+
+    A piece of n shingles has a polynomial of their hashes as its hash, by differences of one sum.
+    """
+    length, around = PIECE_WORDS - WIDTH + 1, RUN - PIECE_WORDS + 1
+    n = len(shingles)
+    if n < length:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+    windows = np.lib.stride_tricks.sliding_window_view(shingles, min(around, n))
+    places = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+    places = places[places <= n - length]
+    base = np.full(n, 0x9E3779B97F4A7C15, dtype=np.uint64)
+    inverse = np.full(n, pow(0x9E3779B97F4A7C15, -1, 1 << 64), dtype=np.uint64)
+    base[0] = inverse[0] = 1
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(shingles * np.cumprod(base))])
+    hashes = (sums[places + length] - sums[places]) * np.cumprod(inverse)[places]
+    return (hashes ^ hashes >> np.uint64(31)).view(np.int64), places.astype(np.int32)
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts), kind))
+
+
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bands, rows = tuned_bands()
     names = [c.strip().split()[0] for c in PARAGRAPHS.split(",")]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     for whole in batches:
         for at in range(0, whole.num_rows, BATCH):
             batch = whole.slice(at, BATCH)
@@ -70,15 +110,15 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, part in enumerate(text.split("\n")):
                     words = part.encode("utf-8", "replace").lower().split()
                     if len(words) >= MIN_WORDS:
-                        found.append((doc_id, i, start, len(part), *_digest(words)))
+                        found.append((doc_id, i, start, len(part), len(words), *_digest(words)))
                         shingles.append(shingle_hashes(part, WIDTH))
                     start += len(part) + 1
             if found:
                 keys = band_keys(shingles, bands, rows)
-                types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
+                pieces = [pieces_of(x) for x in shingles]
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
-                offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * bands)
-                columns.append(pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())))
+                columns.append(_lists(list(keys), pa.int64()))
+                columns += [_lists([p[0] for p in pieces], pa.int64()), _lists([p[1] for p in pieces], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -96,15 +136,38 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["node", "body"])
 
 
+def _repeated_passages(rows: DataFrame) -> DataFrame:
+    """doc_id, paragraph, first_word, n_words, keep_doc_id, keep_paragraph, group_size of passages of
+    which an earlier document has the same; overlapping pieces of one paragraph are one passage."""
+    pieces = rows.select("doc_id", "paragraph", F.explode(F.arrays_zip("pieces", "places")).alias("p"))
+    pieces = pieces.select("doc_id", "paragraph", F.col("p.pieces").alias("piece"), F.col("p.places").alias("at"))
+    shared = pieces.groupBy("piece").agg(
+        F.min(F.struct("doc_id", "paragraph")).alias("keep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")
+    )
+    shared = saved(shared.filter(~F.col("keep.doc_id").eqNullSafe(F.col("last"))).select("piece", "keep", "n"))
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_PIECES else shared
+    hits = pieces.join(shared, "piece").filter(~F.col("doc_id").eqNullSafe(F.col("keep.doc_id")))
+    order = Window.partitionBy("doc_id", "paragraph").orderBy("at")
+    apart = F.col("at") > F.coalesce(F.lag("at").over(order), F.lit(-1 - PIECE_WORDS)) + PIECE_WORDS
+    islands = hits.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(order))
+    return islands.groupBy("doc_id", "paragraph", "island").agg(
+        F.min("at").alias("first_word"),
+        (F.max("at") - F.min("at") + PIECE_WORDS).cast("int").alias("n_words"),
+        F.min("keep").alias("keep"),
+        F.max("n").alias("group_size"),
+    )
+
+
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a removed paragraph: doc_id, paragraph (its number), start, length, keep_doc_id,
-    keep_paragraph, group_size.
+    """One row a removed paragraph or passage: doc_id, paragraph (its number), start, length (of the
+    paragraph), first_word, n_words (of what is removed of it), keep_doc_id, keep_paragraph, group_size.
 
     Paragraphs end at line feeds; start and length are in code points. Those of fewer than
     ``MIN_WORDS`` words are left alone. Words are compared with A-Z in lower case and white space as
-    one space. Of each group the paragraph of the smallest doc_id, and the first in it, stays.
-    Documents without removed paragraphs have no row, and null texts have no paragraphs. A null
-    doc_id comes before others. Rows that repeat an id and text count as one document.
+    one space. Of each group the paragraph of the smallest doc_id, and the first in it, stays; a
+    passage stays in the smallest doc_id. Documents without repeats have no row, and null texts have
+    no paragraphs. A null doc_id comes before others. Rows that repeat an id and text count as one
+    document.
     """
     named = only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col))
     rows = saved(named.mapInArrow(_paragraphs, PARAGRAPHS))
@@ -132,16 +195,16 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.min(F.struct("first.doc_id", "first.paragraph")).alias("keep"), F.sum("n").alias("group_size")
     )
     of_node = linked.select("d1", "d2", "group").join(heads, "group").select("d1", "d2", "keep", "group_size")
-    return (
-        rows.join(of_node, ["d1", "d2"])
-        .filter(~place.eqNullSafe(F.col("keep")))
-        .select(
-            "doc_id",
-            "paragraph",
-            "start",
-            "length",
-            F.col("keep.doc_id").alias("keep_doc_id"),
-            F.col("keep.paragraph").alias("keep_paragraph"),
-            "group_size",
-        )
-    )
+    whole = rows.join(of_node, ["d1", "d2"]).filter(~place.eqNullSafe(F.col("keep")))
+    whole = saved(whole.select(*SPAN, F.lit(0).alias("first_word"), F.col("words").alias("n_words"), "keep", "group_size"))
+    same = ["doc_id", "paragraph"]
+    passages = _repeated_passages(rows).join(whole.select(*same), same, "left_anti").join(rows.select(*SPAN).distinct(), same)
+    both = whole.unionByName(passages.select(*SPAN, "first_word", "n_words", "keep", "group_size"))
+    return both.select(
+        *SPAN,
+        "first_word",
+        "n_words",
+        F.col("keep.doc_id").alias("keep_doc_id"),
+        F.col("keep.paragraph").alias("keep_paragraph"),
+        "group_size",
+    ).distinct()

@@ -110,6 +110,13 @@ def test_paragraph_in_two_documents(spark):
     assert [(r.doc_id, r.paragraph, r.start, r.keep_doc_id, r.keep_paragraph, r.group_size) for r in got] == [(9, 0, 0, 8, 1, 2)]
 
 
+def test_passage_in_other_paragraphs(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40 * i)) + f" {PASSAGE} " + f"end{i} " * 30, "en", "x", None) for i in (1, 2, 3)]
+    got = paragraph_dedup.repeated_paragraphs(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.keep_doc_id) for r in got} == {(2, 1), (3, 1)}
+    assert all(40 * r.doc_id <= r.first_word and r.first_word + r.n_words <= 40 * r.doc_id + 60 for r in got)
+
+
 def test_packing_of_odd_texts(spark):
     got = packing.pack(docs(spark), tokenizer_path()).collect()
     assert {r.doc_tokens for r in got if r.doc_id in (3, 4)} == {1}

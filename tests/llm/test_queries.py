@@ -130,10 +130,33 @@ def test_paragraphs(spark):
         members[groups.find(number[text])].append((i, k))
     want = {(*m, *min(v), len(v)) for v in members.values() for m in v if m != min(v)}
     got = query(spark, "op2_paragraph_dedup", MIDDLE)
-    assert set(zip(got.doc_id, got.paragraph, got.keep_doc_id, got.keep_paragraph, got.group_size, strict=True)) == want
-    whole = {i: t for i, t, _ in documents(MIDDLE)}
+    parts = {(i, k): part.split() for i, t, _ in documents(MIDDLE) for k, part in enumerate(t.split("\n"))}
+    sizes = [len(parts[r.doc_id, r.paragraph]) for r in got.itertuples()]
+    whole = got[(got.first_word == 0) & (got.n_words == sizes)]
+    assert set(zip(whole.doc_id, whole.paragraph, whole.keep_doc_id, whole.keep_paragraph, whole.group_size, strict=True)) == want
+    texts = {i: t for i, t, _ in documents(MIDDLE)}
     for r in got.itertuples():
-        assert whole[r.doc_id][r.start : r.start + r.length] == whole[r.doc_id].split("\n")[r.paragraph]
+        assert texts[r.doc_id][r.start : r.start + r.length] == texts[r.doc_id].split("\n")[r.paragraph]
+
+    # every run of 50 words that another document has too is touched in all documents but one
+    runs = collections.defaultdict(dict)
+    for (i, k), words in parts.items():
+        for at in range(len(words) - paragraph_dedup.RUN + 1):
+            runs[" ".join(words[at : at + paragraph_dedup.RUN]).encode().lower()].setdefault(i, (k, at))
+    removed = collections.defaultdict(list)
+    for r in got.itertuples():
+        removed[r.doc_id, r.paragraph].append((r.first_word, r.first_word + r.n_words))
+    for places in runs.values():
+        missed = [
+            i
+            for i, (k, at) in places.items()
+            if not any(a < at + paragraph_dedup.RUN and at < b for a, b in removed[i, k])
+        ]
+        assert len(places) == 1 or len(missed) <= 1
+    # and what is removed as a passage does occur in the document that keeps it
+    for r in got.drop(whole.index).itertuples():
+        run = parts[r.doc_id, r.paragraph][r.first_word : r.first_word + paragraph_dedup.PIECE_WORDS]
+        assert " ".join(run).encode().lower() in " ".join(texts[r.keep_doc_id].split()).encode().lower() or r.n_words > len(run)
 
 
 def test_bands_have_the_recall():
