@@ -108,15 +108,16 @@ def fingerprints_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     keys = rows.groupBy("doc_id", "h").agg(F.max(F.length("text")).alias("n"))
     following = saved(_following(keys))
+    # both joins read one exchange of the texts; only the given halves move again
     own = rows.join(following, ["doc_id", "h"])
     before = following.select(
         F.col("next_id").alias("doc_id"), F.col("next_h").alias("h"), F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"),
         F.floor(F.col("n") / 2).cast("int").alias("room"),
     )
-    given = rows.dropDuplicates(["doc_id", "h"]).join(before, ["doc_id", "h"])
+    given = rows.join(before, ["doc_id", "h"])
     given = with_fingerprint(given, "text", "next_fingerprint").select(
         F.col("to_id").alias("doc_id"), F.col("to_h").alias("h"), F.left("text", "room").alias("given"), "next_fingerprint"
-    )
+    ).dropDuplicates(["doc_id", "h"])
     joined = own.join(given, ["doc_id", "h"]).select(
         "doc_id", "n", "text", "next_fingerprint", F.concat(F.left("text", F.col("n") - F.floor(F.col("n") / 2).cast("int")), "given").alias("edited")
     )
