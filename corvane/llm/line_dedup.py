@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACE, only, saved, text_of
+from corvane.llm.common import only, saved, shared_path, text_of
 
 RATIO = 0.2
 #: Pages that must contain a line before it can be boilerplate.
@@ -22,13 +22,13 @@ MIN_PAGES = 5
 BROADCAST_HOSTS = 1_000
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)"
-#: Elements without readable text, and comments.
+#: Elements without readable text, and comments; one that is not closed goes on to the end.
 UNSEEN = (
-    r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>"
-    r"|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>|<!--.*?-->"
+    r"(?is)<(?:script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|title\b.*?(?:</title\s*>|\z)"
+    r"|noscript\b.*?(?:</noscript\s*>|\z)|template\b.*?(?:</template\s*>|\z)|!--.*?(?:-->|\z))"
 )
 INLINE = r"(?i)</?(?:a|abbr|b|bdi|bdo|cite|code|em|font|i|kbd|mark|q|s|samp|small|span|strong|sub|sup|tt|u|var)(?:\s[^>]*)?>"
-TAG = r"<[A-Za-z/!?][^>]*>"
+TAGS = r" *(?:<[A-Za-z/!?][^>]*> *)+"
 # The references that HTML needs for its own signs; the ampersand is last.
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
@@ -40,13 +40,12 @@ def host_of(url: Column) -> Column:
 
 def lines_of(html: Column) -> Column:
     """The page's lines, trimmed, white space in them made one space, empty ones left out."""
-    text = F.regexp_replace(html, UNSEEN, "\n")
-    text = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), INLINE, "")
-    text = F.regexp_replace(text, TAG, "\n")
+    text = F.regexp_replace(F.regexp_replace(html, UNSEEN, "<p>"), r"[\x09-\x0D]+", " ")
+    text = F.regexp_replace(F.regexp_replace(text, INLINE, ""), TAGS, "\n")
     for name, sign in REFERENCES:
         text = F.replace(text, F.lit(name), F.lit(sign))
-    text = F.regexp_replace(text, r" +", " ")
-    return F.filter(F.split(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), "\n"), lambda line: F.length(F.trim(line)) > 0)
+    lines = F.transform(F.split(F.regexp_replace(text, r" {2,}", " "), "\n"), lambda line: F.trim(line))
+    return F.filter(lines, lambda line: F.length(line) > 0)
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -74,6 +73,10 @@ def without_boilerplate(
     rows = only(
         pages, page_id=F.col(id_col), host=host_of(F.col(url_col)), lines=lines_of(text_of(html_col))
     )
+    # the lines are read twice, and cutting pages into lines is most of the work
+    path = shared_path(pages.sparkSession, "lines")
+    rows.write.parquet(path)
+    rows = pages.sparkSession.read.parquet(path)
     common = saved(boilerplate(rows, ratio, min_pages))
     lists = F.broadcast(common) if common.count() <= BROADCAST_HOSTS else common
     stay = F.filter("lines", lambda line: ~F.array_contains("common", line))
@@ -104,16 +107,15 @@ def _references(text: str) -> str:
 ORACLE_SQL = rf"""
 WITH a AS (
     SELECT page_id, lower(coalesce(regexp_extract(url, {_sql(HOST)}, 1), '')) AS host,
-           regexp_replace(coalesce(html, ''), {_sql(UNSEEN)}, chr(10), 'g') AS t
+           regexp_replace(regexp_replace(coalesce(html, ''), {_sql(UNSEEN)}, '<p>', 'g'), '[\x09-\x0D]+', ' ', 'g') AS t
     FROM pages
 ), b AS (
-    SELECT page_id, host, regexp_replace(regexp_replace(regexp_replace(t, '{SPACE}+', ' ', 'g'),
-           {_sql(INLINE)}, '', 'g'), {_sql(TAG)}, chr(10), 'g') AS t FROM a
+    SELECT page_id, host, regexp_replace(regexp_replace(t, {_sql(INLINE)}, '', 'g'), {_sql(TAGS)}, chr(10), 'g') AS t FROM a
 ), c AS (
-    SELECT page_id, host, regexp_replace({_references("t")}, ' +', ' ', 'g') AS t FROM b
+    SELECT page_id, host, regexp_replace({_references("t")}, ' {{2,}}', ' ', 'g') AS t FROM b
 ), p AS (
-    SELECT page_id, host, list_filter(string_split(regexp_replace(t, ' ?\n[ \n]*', chr(10), 'g'), chr(10)),
-           lambda l: length(trim(l)) > 0) AS lines FROM c
+    SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(l)),
+           lambda l: length(l) > 0) AS lines FROM c
 ), totals AS (
     SELECT host, count(*) AS pages FROM p GROUP BY host
 ), counts AS (
