@@ -62,6 +62,7 @@ def bucket_components(
     texts: Callable[[DataFrame], DataFrame] | None = None,
     alike: Callable[[Column, Column], Column] | None = None,
     across: bool = True,
+    screen: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """node, component over the links of nodes that meet in buckets.
 
@@ -74,42 +75,37 @@ def bucket_components(
     those first, and components of these links are found. Then only members outside of the bucket's
     main component are compared with the rest of it, only across components, and within the join, so
     that no unlinked pair leaves it. No link is lost: two members that are linked are in one
-    component, or were compared. Without ``across``, members are compared with leaders alone, with
-    those by hashes only where the first comparison left two components.
+    component, or were compared. Without ``across``, the links to leaders are all. ``screen`` drops pairs (a, b) of
+    those before their texts are fetched.
     """
     members = saved(members.select("key", "node", "sign").distinct())
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     weights = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
-    rank = F.struct("weight", "node")
-
-    def stars(rows: DataFrame, which: range, entry: Column, fits: Callable[[Column], Column]) -> DataFrame:
-        """Links of the rows' nodes to those leaders of their buckets that fit."""
-        by_hash = [F.min_by(entry, F.xxhash64("node", F.lit(i))) for i in which if i]
-        ranked = rows.join(weights, "node").groupBy("key").agg(
-            F.array_distinct(F.array(*([F.max_by(entry, rank)] if 0 in which else []), *by_hash)).alias("leaders")
-        )
-        # a node's leaders over all its buckets are as few as its keys, so they are made distinct by node
-        near = rows.join(ranked, "key").select("node", F.transform(F.filter("leaders", fits), lambda x: x["node"]).alias("near"))
-        near = near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        pairs = near.select(F.col("node").alias("a"), F.explode("near").alias("b"))
-        if not (texts and alike):
-            return pairs
-        pairs = saved(pairs)
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        bodies = texts(ends)
-        both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
-        both = both.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-        return both.filter(alike(F.col("x"), F.col("y"))).select("a", "b")
+    entry, rank = F.struct("node", "sign"), F.struct("weight", "node")
+    ranked = members.join(weights, "node").groupBy("key").agg(
+        F.max_by(entry, rank).alias("m0"), *(F.min_by(entry, F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in range(1, LEADERS))
+    )
+    leaders = ranked.select("key", F.array_distinct(F.array(*(f"m{i}" for i in range(LEADERS)))).alias("leaders"))
 
     def fits(leader: Column) -> Column:
         other = leader["node"] != F.col("node")
         return other & close(leader["sign"], F.col("sign")) if close else other
 
-    first = saved(components(stars(members, range(LEADERS if across else 1), F.struct("node", "sign"), fits)))
+    # a node's leaders over all its buckets are as few as its keys, so they are made distinct by node
+    near = members.join(leaders, "key").select("node", F.transform(F.filter("leaders", fits), lambda x: x["node"]).alias("near"))
+    near = near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    stars = near.select(F.col("node").alias("a"), F.explode("near").alias("b"))
+    stars = screen(stars) if screen else stars
+    if texts and alike:
+        stars = saved(stars)
+        ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+        bodies = texts(ends)
+        both = stars.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
+        both = both.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
+        stars = both.filter(alike(F.col("x"), F.col("y"))).select("a", "b")
+    first = saved(components(stars))
     if not across:
-        known = members.join(first, "node", "left").select("key", "node", "sign", F.coalesce("component", "node").alias("own"))
-        more = stars(saved(known), range(1, LEADERS), F.struct("node", "sign", "own"), lambda x: fits(x) & (x["own"] != F.col("own")))
-        return components(more.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        return first
 
     known = members.join(first, "node", "left").withColumn("own", F.coalesce("component", "node"))
     known = saved(known.select("key", "node", "sign", "own"))

@@ -36,16 +36,18 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 FINGERPRINT = "doc_id long, fp long"
 SETS = "node long, body array<long>"
-#: Similarity of texts, over shingles of so many words, and bits of both signs within which two are
-#: compared: a pair that met by chance is near in one sign only.
+#: Similarity of texts, over shingles of so many words; signs of a text, and bits within which two are compared.
 SIMILARITY = 0.8
 WIDTH = 5
-REACH = 30
+SEEDS = 2
+REACH = 16
+#: Bits within which all signs of two texts together are: a pair that met by chance is near in one only.
+REACH_ALL = 30
 #: Rows up to which a table of longs is broadcast.
 BROADCAST_ROWS = 500_000
 #: Stands for a null id.
 NO_ID = (1 << 63) - 1
-KEYS = "key long, node long, sign long, second long"
+KEYS = "key long, node long, sign long"
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -84,14 +86,14 @@ def _fingerprints(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def _keys(index: bool, exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keys of (node, sign, second, seed) under which signs are indexed, or looked up; above bit 40 the key's family.
+    """Keys of (node, sign, seed) under which signs are indexed, or looked up; above bit 40 the key's family.
 
     exact: with the keys that a guarantee for ``DISTANCE`` needs besides those of pairs of segments.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, sign, second, seed = (c.to_numpy().astype(np.int64) for c in batch.columns)
+            node, sign, seed = (c.to_numpy().astype(np.int64) for c in batch.columns)
             if not len(node):
                 continue
             bits = sign.view(np.uint64)
@@ -104,46 +106,39 @@ def _keys(index: bool, exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     one, other = near[i], near[j]
                 keys = (one[:, :, None] << 12 | other[:, None, :]).reshape(len(node), -1)
                 used = ((one[:, :, None] >= 0) & (other[:, None, :] >= 0)).reshape(len(node), -1)
-                yield _rows(keys | (seed[:, None] * 8 + family) << 40, used, node, sign, second)
+                yield _rows(keys | (seed[:, None] * 8 + family) << 40, used, node, sign)
             for i in range(3) if exact else ():
                 other = near[(i + 1) % 3]
-                yield _rows(parts[i][:, None] << 12 | other | (seed[:, None] * 8 + 3 + i) << 40, other >= 0, node, sign, second)
+                yield _rows(parts[i][:, None] << 12 | other | (seed[:, None] * 8 + 3 + i) << 40, other >= 0, node, sign)
 
     return run
 
 
-def _rows(keys: np.ndarray, used: np.ndarray, *of_node: np.ndarray) -> pa.RecordBatch:
+def _rows(keys: np.ndarray, used: np.ndarray, node: np.ndarray, sign: np.ndarray) -> pa.RecordBatch:
     at = np.nonzero(used)
-    columns = [pa.array(keys[at]), *(pa.array(x[at[0]]) for x in of_node)]
-    return pa.RecordBatch.from_arrays(columns, ["key", "node", "sign", "second"])
+    return pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(node[at[0]]), pa.array(sign[at[0]])], ["key", "node", "sign"])
 
 
-def _within(distance: int) -> Callable[[Column, Column], Column]:
-    """Whether two pairs of signs differ in so many bits at most, taken together."""
-
-    def close(a: Column, b: Column) -> Column:
-        return F.bit_count(a["sign"].bitwiseXOR(b["sign"])) + F.bit_count(a["second"].bitwiseXOR(b["second"])) <= distance
-
-    return close
+def _differ(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
 
 
 def linked(signs: DataFrame, distance: int, exact: bool, **verify: Callable | bool) -> DataFrame:
-    """node, component of every node that some other one is linked to, from rows (node, sign, second, seed).
+    """node, component of every node that some other one is linked to, from rows (node, sign, seed).
 
-    Signs of one seed that share a key meet; those within ``distance`` bits, the second signs
-    included, are linked if ``verify``, what ``graph.bucket_components`` takes further, says so.
+    Signs of one seed that share a key meet; those within ``distance`` bits are linked if ``verify``,
+    what ``graph.bucket_components`` takes further, says so.
     """
-    both, close = F.struct("sign", "second").alias("sign"), _within(distance)
-    index = signs.mapInArrow(_keys(True, exact), KEYS).select("key", "node", both)
-    lookups = signs.mapInArrow(_keys(False, exact), KEYS).select("key", "node", both).alias("l")
+    index = signs.mapInArrow(_keys(True, exact), KEYS)
+    lookups = signs.mapInArrow(_keys(False, exact), KEYS).alias("l")
     leaders = index.groupBy("key").agg(F.min(F.struct("node", "sign")).alias("leader"), (F.count(F.lit(1)) > 1).alias("several"))
     leaders = leaders.alias("i")
     meets = (F.col("l.key") == F.col("i.key")) & (F.col("l.node") != F.col("leader.node"))
-    meets = meets & (F.col("several") | close(F.col("l.sign"), F.col("leader.sign")))
-    met = saved(lookups.join(leaders, meets).select("l.key", "l.node", "l.sign", "leader"))
+    near = _differ(F.col("l.sign"), F.col("leader.sign")) <= distance
+    met = saved(lookups.join(leaders, meets & (F.col("several") | near)).select("l.key", "l.node", "l.sign", "leader"))
     heads = met.select("key", "leader.node", "leader.sign").distinct()
     members = met.select("key", "node", "sign").unionByName(heads)
-    return bucket_components(members, close, **verify)
+    return bucket_components(members, lambda a, b: _differ(a, b) <= distance, **verify)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -157,8 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col))
     rows = saved(named.mapInArrow(_fingerprints(width), FINGERPRINT))
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    none = F.lit(0).cast("long")
-    signs = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("sign"), none.alias("second"), none.alias("seed"))
+    signs = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("sign"), F.lit(0).cast("long").alias("seed"))
     groups = saved(linked(signs, DISTANCE, True)).withColumnRenamed("node", "fp")
     names = groups.join(nodes, "fp").groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_fp = nodes.join(groups.join(names, "component").select("fp", "component_id"), "fp", "left")
@@ -168,9 +162,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two signs of a text's distinct words: a changed word changes ``WIDTH`` shingles, but one word."""
+    """Signs of a text's distinct words, one for each seed: a changed word changes ``WIDTH`` shingles, but one word."""
     for batch in batches:
-        found: tuple[list[int], list[int]] = ([], [])
+        found: list[list[int]] = [[] for _ in range(SEEDS)]
         for text in batch.column(2).to_pylist():
             words = np.unique(shingle_hashes(text, 1))
             for seed, signs in enumerate(found):
@@ -178,7 +172,7 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
                 signs.append(fingerprint(mixed ^ mixed >> np.uint64(29)))
         columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in found)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "sign0", "sign1"])
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", *(f"sign{i}" for i in range(SEEDS))])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,21 +205,25 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     named = only(docs, doc_id=F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), text=text_of(text_col))
     named = named.select("doc_id", F.xxhash64("text").alias("node"), "text")
-    rows = saved(named.mapInArrow(_signs, "doc_id long, node long, sign0 long, sign1 long"))
-    firsts = [F.min(c).alias(c) for c in ("sign0", "sign1")]
+    schema = "doc_id long, node long, " + ", ".join(f"sign{i} long" for i in range(SEEDS))
+    rows = saved(named.mapInArrow(_signs, schema))
+    firsts = [F.min(f"sign{i}").alias(f"sign{i}") for i in range(SEEDS)]
     nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *firsts))
-    either = [
-        F.struct(F.col(own).alias("sign"), F.col(other).alias("second"), F.lit(seed).cast("long").alias("seed"))
-        for seed, own, other in ((0, "sign0", "sign1"), (1, "sign1", "sign0"))
-    ]
-    signs = nodes.select("node", F.explode(F.array(*either)).alias("s")).select("node", "s.*")
+    each = F.explode(F.array(*(F.struct(F.col(f"sign{i}").alias("sign"), F.lit(i).cast("long").alias("seed")) for i in range(SEEDS))))
+    signs = nodes.select("node", each.alias("s")).select("node", "s.sign", "s.seed")
 
     def texts(ids: DataFrame) -> DataFrame:
         wanted = small(saved(ids.join(nodes, "node").select("node", F.col("first_id").alias("doc_id"))))
         sets = named.join(wanted, ["node", "doc_id"], "left_semi").select("node", "text").mapInArrow(_shingle_sets, SETS)
         return saved(sets.dropDuplicates(["node"]))
 
-    groups = saved(linked(signs, REACH, False, texts=texts, alike=alike, across=False))
+    def screen(pairs: DataFrame) -> DataFrame:
+        own = nodes.select(F.col("node").alias("a"), *(F.col(f"sign{i}").alias(f"a{i}") for i in range(SEEDS)))
+        other = nodes.select(F.col("node").alias("b"), *(F.col(f"sign{i}").alias(f"b{i}") for i in range(SEEDS)))
+        bits = sum((_differ(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(SEEDS)), F.lit(0))
+        return pairs.join(own, "a").join(other, "b").filter(bits <= REACH_ALL).select("a", "b")
+
+    groups = saved(linked(signs, REACH, False, texts=texts, alike=alike, across=False, screen=screen))
     of_node = nodes.join(groups, "node", "left").select("node", "first_id", "n", F.coalesce("component", "node").alias("group"))
     return of_node, rows.select("doc_id", "node")
 
