@@ -61,7 +61,6 @@ def bucket_components(
     close: Callable[[Column, Column], Column] | None = None,
     texts: Callable[[DataFrame], DataFrame] | None = None,
     alike: Callable[[Column, Column], Column] | None = None,
-    across: bool = True,
     screen: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """node, component over the links of nodes that meet in buckets.
@@ -75,8 +74,8 @@ def bucket_components(
     those first, and components of these links are found. Then only members outside of the bucket's
     main component are compared with the rest of it, only across components, and within the join, so
     that no unlinked pair leaves it. No link is lost: two members that are linked are in one
-    component, or were compared. Without ``across``, the links to leaders are all. ``screen`` drops pairs (a, b) of
-    those before their texts are fetched.
+    component, or were compared. A bucket of which all members but one are leaders is done by then. ``screen``
+    drops pairs (a, b) of leaders before their texts are fetched.
     """
     members = saved(members.select("key", "node", "sign").distinct())
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
@@ -104,10 +103,9 @@ def bucket_components(
         both = both.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
         stars = both.filter(alike(F.col("x"), F.col("y"))).select("a", "b")
     first = saved(components(stars))
-    if not across:
-        return first
 
-    known = members.join(first, "node", "left").withColumn("own", F.coalesce("component", "node"))
+    open_keys = leaders.join(sizes, "key").filter(F.size("leaders") < F.col("size") - 1).select("key")
+    known = members.join(open_keys, "key").join(first, "node", "left").withColumn("own", F.coalesce("component", "node"))
     known = saved(known.select("key", "node", "sign", "own"))
     main = known.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
         F.max_by("own", F.struct("n", "own")).alias("main"), (F.count(F.lit(1)) > 1).alias("several")

@@ -199,9 +199,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Gives one row for each distinct text: node (its hash), first_id, n (its rows), group (the least
     node of its component); and the rows doc_id, node. Near copies meet by the same keys as above,
     made of SimHash signs of their words; within ``REACH`` bits, the shingles of both whole texts
-    decide. Two signs each make it unlikely that a pair never meets, but do not exclude it, and of
-    texts that meet, each is compared with the bucket's leaders: those in the largest buckets, as the
-    text is that copies were made from.
+    decide. Two signs each make it unlikely that a pair never meets, but do not exclude it.
     """
     named = only(docs, doc_id=F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), text=text_of(text_col))
     named = named.select("doc_id", F.xxhash64("text").alias("node"), "text")
@@ -223,7 +221,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         bits = sum((_differ(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(SEEDS)), F.lit(0))
         return pairs.join(own, "a").join(other, "b").filter(bits <= REACH_ALL).select("a", "b")
 
-    groups = saved(linked(signs, REACH, False, texts=texts, alike=alike, across=False, screen=screen))
+    groups = saved(linked(signs, REACH, False, texts=texts, alike=alike, screen=screen))
     of_node = nodes.join(groups, "node", "left").select("node", "first_id", "n", F.coalesce("component", "node").alias("group"))
     return of_node, rows.select("doc_id", "node")
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from corvane.llm import golay, tokens, warc, zip_reader
-from corvane.llm.graph import components
+from corvane.llm.graph import LEADERS, bucket_components, components
 from corvane.llm.queries import tokenizer_path
 
 WORDS = st.integers(0, (1 << golay.LENGTH) - 1)
@@ -70,6 +70,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("size", range(2, 3 * LEADERS))
+def test_all_links_of_a_bucket(spark, size):
+    members = [(key, 100 * key + node, 0) for key in range(20) for node in range(size)]
+    frame = spark.createDataFrame(members, "key long, node long, sign long")
+    halves = lambda ids: ids.select("node", (ids["node"] % 2).alias("body"))
+    got = bucket_components(frame, None, halves, lambda a, b: a == b).collect()
+    want = {(node, 100 * key + node % 2) for key, node, _ in members if (size - 1 - node % 2) // 2}
+    assert {(r.node, r.component) for r in got} == want
+
+
 @cache
 def reference():
     return Tokenizer.from_file(tokenizer_path())

@@ -288,6 +288,33 @@ def test_similar_documents(spark):
     assert kept == set(got.values())
 
 
+def brute_force_groups(made):
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in made]
+    groups = Groups(len(made))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared = len(a & sets[j])
+            if shared >= 0.8 * (len(a) + len(sets[j]) - shared):
+                groups.join(j, i)
+    return {made[i][0]: made[groups.find(i)][0] for i in range(len(made))}
+
+
+def similar_groups(spark, made):
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
+
+
+def test_near_copies_among_texts_of_the_same_words(spark):
+    """The signs of words of all these texts are equal, but only pairs of them are near copies."""
+    rng, made = np.random.default_rng(7), []
+    for n in range(60):
+        words = [f"w{x}" for x in rng.permutation(300)]
+        made += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words[1:] + words[:1]))]
+    want = brute_force_groups(made)
+    assert want == {i: i - i % 2 for i in range(120)}
+    assert similar_groups(spark, made) == want
+
+
 def test_pipeline(spark):
     got = query(spark, "pipeline", MIDDLE)
     assert got.groupby("sequence_id").length.sum().max() <= 2048
