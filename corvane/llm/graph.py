@@ -61,7 +61,6 @@ def bucket_components(
     close: Callable[[Column, Column], Column] | None = None,
     texts: Callable[[DataFrame], DataFrame] | None = None,
     alike: Callable[[Column, Column], Column] | None = None,
-    screen: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """node, component over the links of nodes that meet in buckets.
 
@@ -74,8 +73,7 @@ def bucket_components(
     those first, and components of these links are found. Then only members outside of the bucket's
     main component are compared with the rest of it, only across components, and within the join, so
     that no unlinked pair leaves it. No link is lost: two members that are linked are in one
-    component, or were compared. A bucket of which all members but one are leaders is done by then. ``screen``
-    drops pairs (a, b) of leaders before their texts are fetched.
+    component, or were compared. A bucket of which all members but one are leaders is done by then.
     """
     members = saved(members.select("key", "node", "sign").distinct())
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
@@ -94,7 +92,6 @@ def bucket_components(
     near = members.join(leaders, "key").select("node", F.transform(F.filter("leaders", fits), lambda x: x["node"]).alias("near"))
     near = near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     stars = near.select(F.col("node").alias("a"), F.explode("near").alias("b"))
-    stars = screen(stars) if screen else stars
     if texts and alike:
         stars = saved(stars)
         ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()

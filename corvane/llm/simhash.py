@@ -10,7 +10,8 @@ So every such pair meets under some key, and meetings are verified.
 
 ``near_duplicates`` links fingerprints by their distance alone. ``similar`` finds texts whose shingles
 have a given Jaccard similarity: with a similarity of 0.8 their own fingerprints differ in some ten
-bits, beyond any guarantee, so signs of single words make the pairs meet and the texts decide.
+bits, beyond any guarantee, and fewer changed words than a paragraph's move signs of words as far. So
+MinHash bands, whose recall depends on the similarity alone, make the pairs meet and the texts decide.
 
 Equal fingerprints are one node, and nothing here forms all pairs of a bucket: see
 ``graph.bucket_components``.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from corvane.llm import golay
 from corvane.llm.common import only, saved, text_of
 from corvane.llm.graph import bucket_components
+from corvane.llm.minhash import band_keys, tuned_bands
 
 SEED = 42
 DISTANCE = 4
@@ -36,13 +38,13 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 FINGERPRINT = "doc_id long, fp long"
 SETS = "node long, body array<long>"
-#: Similarity of texts, over shingles of so many words; signs of a text, and bits within which two are compared.
+#: Similarity of texts, over shingles of so many words; part of the pairs of that similarity that meet, wherever they differ.
 SIMILARITY = 0.8
 WIDTH = 5
-SEEDS = 2
-REACH = 16
-#: Bits within which all signs of two texts together are: a pair that met by chance is near in one only.
-REACH_ALL = 30
+RECALL = 0.999
+ROWS_OF_A_BAND = 5
+#: Texts whose shingles are held at once.
+BATCH = 256
 #: Rows up to which a table of longs is broadcast.
 BROADCAST_ROWS = 500_000
 #: Stands for a null id.
@@ -123,11 +125,10 @@ def _differ(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def linked(signs: DataFrame, distance: int, exact: bool, **verify: Callable | bool) -> DataFrame:
+def linked(signs: DataFrame, distance: int, exact: bool) -> DataFrame:
     """node, component of every node that some other one is linked to, from rows (node, sign, seed).
 
-    Signs of one seed that share a key meet; those within ``distance`` bits are linked if ``verify``,
-    what ``graph.bucket_components`` takes further, says so.
+    Signs of one seed that share a key meet; those within ``distance`` bits are linked.
     """
     index = signs.mapInArrow(_keys(True, exact), KEYS)
     lookups = signs.mapInArrow(_keys(False, exact), KEYS).alias("l")
@@ -138,7 +139,7 @@ def linked(signs: DataFrame, distance: int, exact: bool, **verify: Callable | bo
     met = saved(lookups.join(leaders, meets & (F.col("several") | near)).select("l.key", "l.node", "l.sign", "leader"))
     heads = met.select("key", "leader.node", "leader.sign").distinct()
     members = met.select("key", "node", "sign").unionByName(heads)
-    return bucket_components(members, lambda a, b: _differ(a, b) <= distance, **verify)
+    return bucket_components(members, lambda a, b: _differ(a, b) <= distance)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -161,18 +162,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_fp, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signs of a text's distinct words, one for each seed: a changed word changes ``WIDTH`` shingles, but one word."""
-    for batch in batches:
-        found: list[list[int]] = [[] for _ in range(SEEDS)]
-        for text in batch.column(2).to_pylist():
-            words = np.unique(shingle_hashes(text, 1))
-            for seed, signs in enumerate(found):
-                mixed = words * np.uint64(2 * seed + 0x9E3779B97F4A7C15)
-                mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-                signs.append(fingerprint(mixed ^ mixed >> np.uint64(29)))
-        columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in found)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", *(f"sign{i}" for i in range(SEEDS))])
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of a text's distinct shingles and the keys of its bands; texts without words share all keys."""
+    bands, rows = tuned_bands(SIMILARITY, RECALL, ROWS_OF_A_BAND)
+    for whole in batches:
+        for at in range(0, whole.num_rows, BATCH):
+            batch = whole.slice(at, BATCH)
+            sets = [np.unique(shingle_hashes(t, WIDTH)) for t in batch.column(2).to_pylist()]
+            keys = band_keys([x if len(x) else np.zeros(1, dtype=np.uint64) for x in sets], bands, rows)
+            columns = [batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "sign", "bands"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +180,11 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "body"])
 
 
+def _as_large(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can have a similarity of ``SIMILARITY``."""
+    return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+
+
 def alike(x: Column, y: Column) -> Column:
     """Whether two sets have a Jaccard similarity of ``SIMILARITY`` or more; unequal sizes settle most pairs."""
     low, high = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
@@ -197,31 +201,23 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Groups of texts whose five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
 
     Gives one row for each distinct text: node (its hash), first_id, n (its rows), group (the least
-    node of its component); and the rows doc_id, node. Near copies meet by the same keys as above,
-    made of SimHash signs of their words; within ``REACH`` bits, the shingles of both whole texts
-    decide. Two signs each make it unlikely that a pair never meets, but do not exclude it.
+    node of its component); and the rows doc_id, node. Texts that share a MinHash band of their
+    shingles meet, as a pair of that similarity does with a probability of ``RECALL`` or more wherever
+    it differs. Of those that meet and are of fitting sizes, the shingles of both whole texts decide.
     """
     named = only(docs, doc_id=F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), text=text_of(text_col))
     named = named.select("doc_id", F.xxhash64("text").alias("node"), "text")
-    schema = "doc_id long, node long, " + ", ".join(f"sign{i} long" for i in range(SEEDS))
-    rows = saved(named.mapInArrow(_signs, schema))
-    firsts = [F.min(f"sign{i}").alias(f"sign{i}") for i in range(SEEDS)]
-    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *firsts))
-    each = F.explode(F.array(*(F.struct(F.col(f"sign{i}").alias("sign"), F.lit(i).cast("long").alias("seed")) for i in range(SEEDS))))
-    signs = nodes.select("node", each.alias("s")).select("node", "s.sign", "s.seed")
+    rows = saved(named.mapInArrow(_bands, "doc_id long, node long, sign long, bands array<long>"))
+    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
+    bands = rows.select("node", "sign", "bands").dropDuplicates(["node"]).select("node", "sign", F.explode("bands").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last")).filter("least <> last").select("key")
 
     def texts(ids: DataFrame) -> DataFrame:
         wanted = small(saved(ids.join(nodes, "node").select("node", F.col("first_id").alias("doc_id"))))
         sets = named.join(wanted, ["node", "doc_id"], "left_semi").select("node", "text").mapInArrow(_shingle_sets, SETS)
         return saved(sets.dropDuplicates(["node"]))
 
-    def screen(pairs: DataFrame) -> DataFrame:
-        own = nodes.select(F.col("node").alias("a"), *(F.col(f"sign{i}").alias(f"a{i}") for i in range(SEEDS)))
-        other = nodes.select(F.col("node").alias("b"), *(F.col(f"sign{i}").alias(f"b{i}") for i in range(SEEDS)))
-        bits = sum((_differ(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(SEEDS)), F.lit(0))
-        return pairs.join(own, "a").join(other, "b").filter(bits <= REACH_ALL).select("a", "b")
-
-    groups = saved(linked(signs, REACH, False, texts=texts, alike=alike, screen=screen))
+    groups = saved(bucket_components(bands.join(shared, "key"), _as_large, texts, alike))
     of_node = nodes.join(groups, "node", "left").select("node", "first_id", "n", F.coalesce("component", "node").alias("group"))
     return of_node, rows.select("doc_id", "node")
 

@@ -315,6 +315,17 @@ def test_near_copies_among_texts_of_the_same_words(spark):
     assert similar_groups(spark, made) == want
 
 
+def test_near_copies_that_differ_in_a_block(spark):
+    rng, made = np.random.default_rng(5), []
+    for n in range(60):
+        words, other = ([f"w{x}" for x in rng.integers(0, 30_000, 400)] for _ in range(2))
+        at, size = int(rng.integers(0, 300)), int(rng.integers(20, 80))
+        added, removed = words[:at] + other[:size] + words[at:], words[:at] + words[at + size :]
+        replaced = words[:at] + other[: size // 2] + words[at + size // 2 :]
+        made += [(10 * n + i, " ".join(x)) for i, x in enumerate((words, added, removed, replaced))]
+    assert similar_groups(spark, made) == brute_force_groups(made)
+
+
 def test_pipeline(spark):
     got = query(spark, "pipeline", MIDDLE)
     assert got.groupby("sequence_id").length.sum().max() <= 2048
