@@ -1,7 +1,7 @@
 """Substring dedup: paragraphs that repeat, by MinHash banding, and passages that repeat within them.
 
-Every long paragraph is reduced where it is read to two digests and the keys of its bands; texts do
-not move. Equal paragraphs are one node. Different ones that share a band meet, their texts are
+Every paragraph is reduced where it is read to two digests and the keys of its bands; texts do not
+move. Equal paragraphs are one node. Different ones that share a band meet, their texts are
 fetched, and the exact Jaccard similarity of their five-word shingles decides. Linked paragraphs make
 components; of each, the first paragraph stays and all others are removed.
 
@@ -14,6 +14,7 @@ Equal pieces of two documents are parts of a passage; the first document keeps i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,9 @@ WIDTH = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 MAX_ROWS_OF_A_BAND = 3
-#: Words from which on a paragraph counts; shorter lines are the line dedup's.
-MIN_WORDS = 40
+#: Words from which on a paragraph counts in the query: those of one shingle; and unless a caller says otherwise.
+MIN_WORDS = WIDTH
+LONG = 40
 #: Words of a shared run that is certain to be found, and of a piece.
 RUN = 50
 PIECE_WORDS = 30
@@ -78,7 +80,7 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts), kind))
 
 
-def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paragraphs(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bands, rows = tuned_bands()
     names = [c.strip().split()[0] for c in PARAGRAPHS.split(",")]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
@@ -90,7 +92,7 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start = 0
                 for i, part in enumerate(text.split("\n")):
                     words = part.encode("utf-8", "replace").lower().split()
-                    if len(words) >= MIN_WORDS:
+                    if len(words) >= min_words:
                         found.append((doc_id, i, start, len(part), len(words), *_digest(words)))
                         shingles.append(shingle_hashes(part, WIDTH))
                     start += len(part) + 1
@@ -139,19 +141,19 @@ def _repeated_passages(rows: DataFrame) -> DataFrame:
     )
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = LONG) -> DataFrame:
     """One row a removed paragraph or passage: doc_id, paragraph (its number), start, length (of the
     paragraph), first_word, n_words (of what is removed of it), keep_doc_id, keep_paragraph, group_size.
 
-    Paragraphs end at line feeds; start and length are in code points. Those of fewer than
-    ``MIN_WORDS`` words are left alone. Words are compared with A-Z in lower case and white space as
+    Paragraphs end at line feeds; start and length are in code points. Those of fewer
+    than ``min_words`` words are left alone. Words are compared with A-Z in lower case and white space as
     one space. Of each group the paragraph of the smallest doc_id, and the first in it, stays; a
     passage stays in the smallest doc_id. Documents without repeats have no row, and null texts have
     no paragraphs. A null doc_id comes before others. Rows that repeat an id and text count as one
     document.
     """
     named = only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col))
-    rows = saved(named.mapInArrow(_paragraphs, PARAGRAPHS))
+    rows = saved(named.mapInArrow(partial(_paragraphs, min_words), PARAGRAPHS))
     place = F.struct("doc_id", "paragraph")
     nodes = rows.groupBy("d1").agg(
         F.min("d2").alias("d2"), F.min(F.struct("doc_id", "paragraph", "start", "length")).alias("first"), F.count(F.lit(1)).alias("n")

@@ -159,6 +159,20 @@ def test_paragraphs(spark):
         assert " ".join(run).encode().lower() in " ".join(texts[r.keep_doc_id].split()).encode().lower() or r.n_words > len(run)
 
 
+def test_short_paragraphs_that_repeat(spark):
+    """Every paragraph of five words or more that an earlier place has too is removed, however short."""
+    first, removed = {}, set()
+    for i, text, _ in documents(MIDDLE):
+        for k, part in enumerate(text.split("\n")):
+            words = b" ".join(part.encode().lower().split())
+            if words.count(b" ") >= 4 and first.setdefault(words, (i, k)) != (i, k):
+                removed.add((i, k))
+    parts = {(i, k): part.split() for i, t, _ in documents(MIDDLE) for k, part in enumerate(t.split("\n"))}
+    assert any(len(parts[r]) < 15 for r in removed)
+    got = query(spark, "op2_paragraph_dedup", MIDDLE)
+    assert removed <= {(r.doc_id, r.paragraph) for r in got.itertuples() if r.n_words == len(parts[r.doc_id, r.paragraph])}
+
+
 def test_bands_have_the_recall():
     bands, rows = paragraph_dedup.tuned_bands()
     assert 1 - (1 - paragraph_dedup.SIMILARITY**rows) ** bands >= paragraph_dedup.RECALL
