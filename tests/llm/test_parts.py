@@ -5,12 +5,13 @@ import zipfile
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corvane.llm import golay, tokens, warc, zip_reader
+from corvane.llm import golay, packing, tokens, warc, zip_reader
 from corvane.llm.graph import LEADERS, bucket_components, components
 from corvane.llm.queries import tokenizer_path
 
@@ -91,6 +92,27 @@ TEXTS = st.text(st.sampled_from("abcXYZ'sdlvemrt 019 \n\t.,!<|>éÉßÀŸİΣς
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_tokens_are_the_tokenizers(text):
-    want = reference()
-    got = np.frombuffer(tokens.encoder(tokenizer_path())(text), dtype="<u4").tolist()
-    assert got == want.encode(text, add_special_tokens=False).ids
+    texts = [text, "", text[:7], "the end, it's 42", text + "x"]
+    ids, sizes = tokens.encoder(tokenizer_path())(pa.array(texts))
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    assert [p.tolist() for p in parts] == [reference().encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def plain_differencing(sizes, k):
+    """The same merges as packing.differencing, one by one, with lists of the sizes behind every sum."""
+    parts = [sorted([(size, [i]), *[(0, [])] * (k - 1)], key=lambda x: -x[0]) for i, size in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1][0] - p[0][0])
+        n = max(1, int(len(parts) * packing.MERGED / 2))
+        merged = []
+        for a, b in zip(parts[: 2 * n : 2], parts[1 : 2 * n : 2], strict=True):
+            merged.append(sorted([(x + y, u + v) for (x, u), (y, v) in zip(a, b[::-1], strict=True)], key=lambda x: -x[0]))
+        parts = merged + parts[2 * n :]
+    return {i: w for w, (_, members) in enumerate(parts[0] if parts else []) for i in members}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 300), max_size=40), st.integers(1, 9))
+def test_differencing(sizes, k):
+    got = packing.differencing(np.array(sizes, dtype=np.int64), k)
+    assert dict(enumerate(got.tolist())) == plain_differencing(sizes, k)
