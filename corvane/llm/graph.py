@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import saved
@@ -73,24 +73,26 @@ def bucket_components(
     those first, and components of these links are found. Then only members outside of the bucket's
     main component are compared with the rest of it, only across components, and within the join, so
     that no unlinked pair leaves it. No link is lost: two members that are linked are in one
-    component, or were compared. A bucket of which all members but one are leaders is done by then.
+    component, or were compared. A bucket's size and leaders come from windows, so its members are joined
+    by their key only where a bucket still holds several components.
     """
-    members = saved(members.select("key", "node", "sign").distinct())
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    weights = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
+    whole = Window.partitionBy("key")
+    members = members.select("key", "node", "sign").distinct()
+    members = saved(members.withColumn("size", F.count(F.lit(1)).over(whole)).filter("size > 1"))
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
     entry, rank = F.struct("node", "sign"), F.struct("weight", "node")
-    ranked = members.join(weights, "node").groupBy("key").agg(
-        F.max_by(entry, rank).alias("m0"), *(F.min_by(entry, F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in range(1, LEADERS))
-    )
-    leaders = ranked.select("key", F.array_distinct(F.array(*(f"m{i}" for i in range(LEADERS)))).alias("leaders"))
+    first = F.max_by(entry, rank).over(whole)
+    others = (F.min_by(entry, F.xxhash64("node", F.lit(i))).over(whole) for i in range(1, LEADERS))
+    members = members.join(weights, "node").withColumn("leaders", F.array_distinct(F.array(first, *others)))
 
     def fits(leader: Column) -> Column:
         other = leader["node"] != F.col("node")
         return other & close(leader["sign"], F.col("sign")) if close else other
 
+    near = F.transform(F.filter("leaders", fits), lambda x: x["node"])
+    members = saved(members.select("key", "node", "sign", "size", F.size("leaders").alias("led"), near.alias("near")))
     # a node's leaders over all its buckets are as few as its keys, so they are made distinct by node
-    near = members.join(leaders, "key").select("node", F.transform(F.filter("leaders", fits), lambda x: x["node"]).alias("near"))
-    near = near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    near = members.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     stars = near.select(F.col("node").alias("a"), F.explode("near").alias("b"))
     if texts and alike:
         stars = saved(stars)
@@ -101,9 +103,9 @@ def bucket_components(
         stars = both.filter(alike(F.col("x"), F.col("y"))).select("a", "b")
     first = saved(components(stars))
 
-    open_keys = leaders.join(sizes, "key").filter(F.size("leaders") < F.col("size") - 1).select("key")
-    known = members.join(open_keys, "key").join(first, "node", "left").withColumn("own", F.coalesce("component", "node"))
-    known = saved(known.select("key", "node", "sign", "own"))
+    # where all members but one are leaders, every pair has been compared
+    known = members.filter("led < size - 1").select("key", "node", "sign").join(first, "node", "left")
+    known = saved(known.select("key", "node", "sign", F.coalesce("component", "node").alias("own")))
     main = known.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
         F.max_by("own", F.struct("n", "own")).alias("main"), (F.count(F.lit(1)) > 1).alias("several")
     )

@@ -20,6 +20,8 @@ Equal fingerprints are one node, and nothing here forms all pairs of a bucket: s
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +51,6 @@ BATCH = 256
 BROADCAST_ROWS = 500_000
 #: Stands for a null id.
 NO_ID = (1 << 63) - 1
-KEYS = "key long, node long, sign long"
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -88,17 +89,18 @@ def _fingerprints(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def _keys(index: bool, exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keys of (node, sign, seed) under which signs are indexed, or looked up; above bit 40 the key's family.
+    """Keys under which fingerprints, the column fp, are indexed, or looked up, before all columns of their rows.
 
-    exact: with the keys that a guarantee for ``DISTANCE`` needs besides those of pairs of segments.
+    Above bit 40 a key has its family. exact: with the keys that a guarantee for ``DISTANCE`` needs besides
+    those of pairs of segments.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, sign, seed = (c.to_numpy().astype(np.int64) for c in batch.columns)
-            if not len(node):
+            n = batch.num_rows
+            if not n:
                 continue
-            bits = sign.view(np.uint64)
+            bits = batch.column("fp").to_numpy().astype(np.int64).view(np.uint64)
             parts = [(bits >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
             near = [golay.near(p) for p in parts]
             for family, (i, j) in enumerate(PAIRS):
@@ -106,40 +108,42 @@ def _keys(index: bool, exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     one, other = golay.decoded(parts[i])[:, None], golay.decoded(parts[j])[:, None]
                 else:
                     one, other = near[i], near[j]
-                keys = (one[:, :, None] << 12 | other[:, None, :]).reshape(len(node), -1)
-                used = ((one[:, :, None] >= 0) & (other[:, None, :] >= 0)).reshape(len(node), -1)
-                yield _rows(keys | (seed[:, None] * 8 + family) << 40, used, node, sign)
+                keys = (one[:, :, None] << 12 | other[:, None, :]).reshape(n, -1)
+                used = ((one[:, :, None] >= 0) & (other[:, None, :] >= 0)).reshape(n, -1)
+                yield _rows(keys | family << 40, used, batch)
             for i in range(3) if exact else ():
                 other = near[(i + 1) % 3]
-                yield _rows(parts[i][:, None] << 12 | other | (seed[:, None] * 8 + 3 + i) << 40, other >= 0, node, sign)
+                yield _rows(parts[i][:, None] << 12 | other | (3 + i) << 40, other >= 0, batch)
 
     return run
 
 
-def _rows(keys: np.ndarray, used: np.ndarray, node: np.ndarray, sign: np.ndarray) -> pa.RecordBatch:
+def _rows(keys: np.ndarray, used: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
     at = np.nonzero(used)
-    return pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(node[at[0]]), pa.array(sign[at[0]])], ["key", "node", "sign"])
+    rows = batch.take(pa.array(at[0]))
+    return pa.RecordBatch.from_arrays([pa.array(keys[at]), *rows.columns], ["key", *batch.schema.names])
 
 
 def _differ(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def linked(signs: DataFrame, distance: int, exact: bool) -> DataFrame:
-    """node, component of every node that some other one is linked to, from rows (node, sign, seed).
+def meetings(prints: DataFrame, reach: int, exact: bool) -> DataFrame:
+    """key and the columns of ``prints`` for fingerprints (the column fp) that meet another one under a key.
 
-    Signs of one seed that share a key meet; those within ``distance`` bits are linked.
+    Under a key of one fingerprint, those beyond ``reach`` bits of it are left out.
     """
-    index = signs.mapInArrow(_keys(True, exact), KEYS)
-    lookups = signs.mapInArrow(_keys(False, exact), KEYS).alias("l")
-    leaders = index.groupBy("key").agg(F.min(F.struct("node", "sign")).alias("leader"), (F.count(F.lit(1)) > 1).alias("several"))
-    leaders = leaders.alias("i")
-    meets = (F.col("l.key") == F.col("i.key")) & (F.col("l.node") != F.col("leader.node"))
-    near = _differ(F.col("l.sign"), F.col("leader.sign")) <= distance
-    met = saved(lookups.join(leaders, meets & (F.col("several") | near)).select("l.key", "l.node", "l.sign", "leader"))
-    heads = met.select("key", "leader.node", "leader.sign").distinct()
-    members = met.select("key", "node", "sign").unionByName(heads)
-    return bucket_components(members, lambda a, b: _differ(a, b) <= distance)
+    columns = prints.columns
+    schema = "key long, " + ", ".join(f"{c} {kind}" for c, kind in prints.dtypes)
+    index = prints.mapInArrow(_keys(True, exact), schema)
+    lookups = prints.mapInArrow(_keys(False, exact), schema).alias("l")
+    least = F.struct(F.min("fp").alias("fp")) if columns == ["fp"] else F.min(F.struct(*columns))
+    leaders = index.groupBy("key").agg(least.alias("leader"), (F.count(F.lit(1)) > 1).alias("several")).alias("i")
+    other = [F.col(f"l.{c}") != F.col(f"leader.{c}") for c in columns]
+    near = _differ(F.col("l.fp"), F.col("leader.fp")) <= reach
+    meets = (F.col("l.key") == F.col("i.key")) & reduce(or_, other) & (F.col("several") | near)
+    met = saved(lookups.join(leaders, meets).select("l.*", "leader"))
+    return met.select("key", *columns).unionByName(met.select("key", "leader.*").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -153,8 +157,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col))
     rows = saved(named.mapInArrow(_fingerprints(width), FINGERPRINT))
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    signs = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("sign"), F.lit(0).cast("long").alias("seed"))
-    groups = saved(linked(signs, DISTANCE, True)).withColumnRenamed("node", "fp")
+    members = meetings(nodes.select("fp"), DISTANCE, True).select("key", F.col("fp").alias("node"), F.col("fp").alias("sign"))
+    groups = bucket_components(members, lambda a, b: _differ(a, b) <= DISTANCE)
+    groups = saved(groups).withColumnRenamed("node", "fp")
     names = groups.join(nodes, "fp").groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_fp = nodes.join(groups.join(names, "component").select("fp", "component_id"), "fp", "left")
     of_fp = of_fp.select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
