@@ -1,33 +1,35 @@
 """Exact dedup by a tree merge of sorted digest runs.
 
-Every document becomes a row of its normalised text's digest. The rows are dealt into runs, and a
-run is sorted by digest and keeps one entry for each digest: how many rows it stands for and the
-best of them. In each round a fixed number of neighbouring runs meet and are merged, which again
-leaves one entry a digest, until a single run is left. A run is cut by digest into shards, so that
-no task ever holds a whole run: one task merges one shard of the meeting runs, as a stream.
+Every document becomes an entry with its normalised text's digest. Each partition sorts its entries into a run,
+with one entry for each digest: how many rows it stands for and the best of them. In each round
+neighbouring runs meet, eight at a time, which is three binomial rounds at once, and a multiway merge of the
+sorted runs again leaves one entry a digest, until a single run is left. A run is cut by digest into shards
+whose number follows the number of rows, so a row holds one shard of one run, and no task ever holds
+a whole run.
 
 A group of copies of any size is one entry in each run, so hot groups cost no more than others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACE, only, partitions, power_of_two, saved, text_of
+from corvane.llm.common import SPACE, only, packed, power_of_two, saved, small, text_of
 
 #: Runs that meet in a round, as a power of two.
 FAN_BITS = 3
-#: Stands for a null id while runs are merged.
-NO_ID = (1 << 63) - 1
-#: Shards of the digest's range for each shuffle partition, so that shards spread evenly.
-SHARDS_PER_PARTITION = 16
+#: Rows that a shard of the last run stands for, about.
+SHARD_ROWS = 20_000
 
-ENTRY = "shard int, run int, digest string, size long, check long, n_chars long, doc_id long, rows long"
-KEY = ["shard", "run", "digest", "size", "check"]
+LISTS = ("digest", "size", "check", "n_chars", "doc_id", "rows")
+RUN = "shard int, run int, digest array<string>, size array<long>, check array<long>, n_chars array<long>, doc_id array<long>, rows array<long>"
+#: digest, size, check, then better ones first: more characters, an id, a smaller id; at last the rows.
+Entry = tuple[str, int, int, int, bool, int, int]
 
 
 def normalised(text: Column) -> Column:
@@ -36,9 +38,9 @@ def normalised(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (NO_ID for null), n_chars (code points of the whole text), and digest, size and check of the normalised text."""
+    """doc_id, n_chars (code points of the whole text), and digest, size and check of the normalised text."""
     whole = text_of(text_col)
-    bare = only(docs, doc_id=F.coalesce(F.col(id_col), F.lit(NO_ID)), n_chars=F.length(whole).cast("long"), bare=normalised(whole))
+    bare = only(docs, doc_id=F.col(id_col).cast("long"), n_chars=F.length(whole).cast("long"), bare=normalised(whole))
     return bare.select(
         "doc_id",
         "n_chars",
@@ -48,57 +50,76 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One entry for each key of a stream sorted by key and then best first; batches may split a key."""
-    held: pd.DataFrame | None = None
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if rows.empty:
+def merged(runs: Iterable[Iterable[Entry]]) -> Iterator[Entry]:
+    """One entry for each digest, size and check of sorted runs: the best, which is the first, with the rows of all."""
+    held: Entry | None = None
+    for entry in heapq.merge(*runs):
+        if held is not None and entry[:3] == held[:3]:
+            held = (*held[:6], held[6] + entry[6])
             continue
-        first = rows.drop_duplicates(KEY, keep="first").copy()
-        first["rows"] = rows.groupby(KEY, sort=False, dropna=False)["rows"].sum().to_numpy()
-        held = first.iloc[-1:]
-        yield first.iloc[:-1]
+        if held is not None:
+            yield held
+        held = entry
     if held is not None:
         yield held
 
 
-def merged(runs: DataFrame, n: int) -> DataFrame:
-    """The sorted entries of each shard of each run, merged."""
-    best = [F.col("n_chars").desc(), F.col("doc_id")]
-    dealt = runs.repartition(n, "shard", "run").sortWithinPartitions(*KEY, *best)
-    return dealt.mapInPandas(_merge, ENTRY)
+def _entries(lists: Iterable[list]) -> Iterator[Entry]:
+    for digest, size, check, n_chars, doc_id, rows in zip(*lists, strict=True):
+        yield digest, size, check, -n_chars, doc_id is None, doc_id or 0, rows
+
+
+def _run(shard: int, run: int, entries: Iterable[Entry]) -> pa.Table:
+    lists: list[list] = [[] for _ in LISTS]
+    for digest, size, check, chars, no_id, doc_id, rows in entries:
+        for values, value in zip(lists, (digest, size, check, -chars, None if no_id else doc_id, rows), strict=True):
+            values.append(value)
+    types = [pa.string(), *[pa.int64()] * 5]
+    columns = [pa.array([x], pa.list_(t)) for x, t in zip(lists, types, strict=True)]
+    return pa.Table.from_arrays([pa.array([shard], pa.int32()), pa.array([run], pa.int32()), *columns], ["shard", "run", *LISTS])
+
+
+def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of one partition to a run for each shard; a shard may go on in the next batch."""
+    at, held = (0, 0), []
+    for batch in batches:
+        shards, runs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        entries = _entries([*(c.to_pylist() for c in batch.columns[2:]), [1] * batch.num_rows])
+        for shard, run, entry in zip(shards, runs, entries, strict=True):
+            if held and at != (shard, run):
+                yield from _run(*at, held).to_batches()
+                held = []
+            at = (shard, run)
+            if held and held[-1][:3] == entry[:3]:
+                held[-1] = (*held[-1][:6], held[-1][6] + 1)
+            else:
+                held.append(entry)
+    if held:
+        yield from _run(*at, held).to_batches()
+
+
+def _merge(runs: pa.Table) -> pa.Table:
+    """The runs of one shard that meet, as one."""
+    rows = runs.to_pylist()
+    return _run(rows[0]["shard"], rows[0]["run"], merged(_entries([r[c] for c in LISTS]) for r in rows))
 
 
 def exact_groups(rows: DataFrame) -> DataFrame:
-    """One row for each distinct text of ``digests``: digest, size, check, keep_id, keep_chars, group_size.
+    """One row for each distinct text of ``digests``, a saved table: digest, size, check, keep_id, keep_chars, group_size.
 
     Entries only merge where SHA-256, the length and a second hash agree, at every level.
     """
-    n = partitions(rows.sparkSession)
-    levels = -(-(power_of_two(n).bit_length() - 1) // FAN_BITS)
-    shards = power_of_two(n * SHARDS_PER_PARTITION)
-    entries = rows.groupBy(
-        F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"),
-        F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << (FAN_BITS * levels))).cast("int").alias("run"),
-        "digest",
-        "size",
-        "check",
-    ).agg(
-        F.max(F.struct(F.col("n_chars"), F.bitwise_not("doc_id").alias("back"))).alias("best"),
-        F.count(F.lit(1)).alias("rows"),
-    )
-    runs = entries.select(*KEY, "best.n_chars", F.bitwise_not("best.back").alias("doc_id"), "rows")
-    for _ in range(levels):
-        runs = merged(runs.withColumn("run", F.shiftright("run", FAN_BITS)), n)
-    return runs.select(
-        "digest",
-        "size",
-        "check",
-        F.col("doc_id").alias("keep_id"),
-        F.col("n_chars").alias("keep_chars"),
-        F.col("rows").alias("group_size"),
-    )
+    numbered = rows.select(F.spark_partition_id().alias("run"))
+    n, last = numbered.agg(F.count(F.lit(1)), F.coalesce(F.max("run"), F.lit(0))).first()
+    shards = power_of_two(n / SHARD_ROWS)
+    shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int")
+    order = ["shard", "digest", "size", "check", F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last()]
+    dealt = rows.select(shard.alias("shard"), F.spark_partition_id().alias("run"), *LISTS[:-1]).sortWithinPartitions(*order)
+    runs = dealt.mapInArrow(_first_runs, RUN)
+    for _ in range(-(-int(last).bit_length() // FAN_BITS)):
+        runs = runs.withColumn("run", F.shiftright("run", FAN_BITS)).groupBy("shard", "run").applyInArrow(_merge, RUN)
+    found = runs.select(F.inline(F.arrays_zip(*LISTS))).toDF(*LISTS)
+    return found.withColumnsRenamed({"doc_id": "keep_id", "n_chars": "keep_chars", "rows": "group_size"})
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,10 +132,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = saved(digests(docs, id_col, text_col))
     return rows.join(exact_groups(rows), ["digest", "size", "check"]).select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
-        F.nullif("keep_id", F.lit(NO_ID)).alias("keep_id"),
+        "doc_id",
+        "keep_id",
         "group_size",
-        (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
@@ -122,18 +143,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each distinct text, with all its columns: the one that ``exact_dedup`` keeps."""
     found = saved(exact_groups(saved(digests(docs, id_col, text_col))))
-    whole = text_of(F.col(f"`{text_col}`"))
-    bare = normalised(whole)
-    keys = {
-        "_digest": F.sha2(bare, 256),
-        "_size": F.octet_length(bare).cast("long"),
-        "_check": F.xxhash64(bare),
-        "_id": F.coalesce(F.col(f"`{id_col}`"), F.lit(NO_ID)),
-        "_chars": F.length(whole).cast("long"),
-    }
-    kept = only(found, _digest="digest", _size="size", _check="check", _id="keep_id", _chars="keep_chars")
-    rows = docs.withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+    def keys(doc_id: Column, n_chars: Column) -> list[Column]:
+        return [n_chars.alias("chars"), F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id")]
+
+    kept = found.select("digest", "size", "check", *keys(F.col("keep_id"), F.col("keep_chars")))
+    whole, doc_id = text_of(F.col("row")[text_col]), F.col("row")[id_col].cast("long")
+    rows = packed(docs).withColumn("bare", normalised(whole)).select(
+        "row",
+        F.sha2("bare", 256).alias("digest"),
+        F.octet_length("bare").cast("long").alias("size"),
+        F.xxhash64("bare").alias("check"),
+        *keys(doc_id, F.length(whole).cast("long")),
+    )
+    return rows.join(small(kept), kept.columns, "left_semi").dropDuplicates(kept.columns).select("row.*")
 
 
 ORACLE_SQL = r"""
