@@ -6,14 +6,22 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as a pattern class, and its negation: a word.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes up to which a table is broadcast, by its counted rows and the kinds of its columns.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of the texts that a worker takes at once, about; a single text is never cut.
+BATCH_BYTES = 4 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -48,8 +56,38 @@ def power_of_two(n: float) -> int:
     return 1 << max(0, int(n) - 1).bit_length()
 
 
+def small(df: DataFrame, items: Column | None = None) -> DataFrame:
+    """For a join with a larger table: broadcast if it is small, so that the larger one need not move.
+
+    Its rows are counted, so it is a saved table; ``items`` has the elements of a row that holds a list. Texts and
+    digests count 64 bytes, other values 16, and a row 32 more.
+    """
+    n = df.agg(F.coalesce(F.sum(items), F.lit(0)) if items is not None else F.count(F.lit(1))).first()[0]
+    width = 32 + sum(64 if kind in ("string", "binary") else 16 for _, kind in df.dtypes)
+    return F.broadcast(df) if n * width <= BROADCAST_BYTES else df
+
+
+def batches_of(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """First and last row (that one excluded) of parts of about so many bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most))
+        yield at, max(to, at + 1)
+        at = max(to, at + 1)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """Each row as one struct, row, so that its columns never clash with an operator's own."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
 def only(df: DataFrame, **columns: Column | str) -> DataFrame:
-    """The named columns alone, so that further columns of the input never clash with an operator's own."""
+    """The named columns alone, so that further columns of the input never clash with an operator's own.
+
+    Every operator begins here, so this also sends the package to the executors.
+    """
+    ship(df.sparkSession)
     return df.select(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()))
 
 

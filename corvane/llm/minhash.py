@@ -18,13 +18,12 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
-def band_keys(shingles: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """For each set of shingle hashes, none empty, a 64-bit key of each band."""
-    flat, starts = np.concatenate(shingles), np.cumsum([0, *map(len, shingles[:-1])])
+def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each set of shingle hashes, one after another from ``starts`` on and none empty, a 64-bit key of each band."""
     factors, shifts = _permutations(bands * rows)
-    keys = np.zeros((len(shingles), bands), dtype=np.uint64)
-    for i, (a, b) in enumerate(zip(factors, shifts, strict=True)):
-        least = np.minimum.reduceat(flat * a + b, starts)
+    keys = np.zeros((len(starts), bands), dtype=np.uint64)
+    for i, (a, b) in enumerate(zip(factors, shifts, strict=True) if len(starts) else ()):
+        least = np.minimum.reduceat(hashes * a + b, starts)
         band = i // rows
         keys[:, band] = (keys[:, band] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)
         keys[:, band] ^= keys[:, band] >> np.uint64(29)

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import only, saved, text_of
-from corvane.llm.tokens import batches_of, encoder
+from corvane.llm.common import batches_of, only, saved, text_of
+from corvane.llm.tokens import encoder
 
 CAPACITY = 2048
 #: Windows that a group of pieces fills, about.

@@ -1,53 +1,58 @@
-"""Substring dedup: paragraphs that repeat, by MinHash banding, and passages that repeat within them.
+"""Substring dedup: paragraphs that repeat, by MinHash banding, and passages that repeat wherever they lie.
 
-Every paragraph is reduced where it is read to two digests and the keys of its bands; texts do not
-move. Equal paragraphs are one node. Different ones that share a band meet, their texts are
-fetched, and the exact Jaccard similarity of their five-word shingles decides. Linked paragraphs make
-components; of each, the first paragraph stays and all others are removed.
+Every document is reduced where it is read: each paragraph to a digest and the keys of its bands, the
+whole text to pieces of fixed length. Equal paragraphs are one node. Different ones that share a band
+meet, their texts are fetched, and the exact Jaccard similarity of their five-word shingles decides.
+Linked paragraphs make components; of each, the first paragraph stays and all others are removed.
 
-A passage inside of otherwise different paragraphs leaves their similarity low. So a paragraph also
-has pieces of fixed length, which begin where a shingle's hash is the least of its neighbourhood:
-wherever a run of ``RUN`` words or more occurs, one of its pieces at least begins at the same word.
-Equal pieces of two documents are parts of a passage; the first document keeps it.
+A passage inside of otherwise different paragraphs, or over several short ones, leaves their
+similarity low. So pieces of the document's whole sequence of words, line ends or not, are compared
+too. They begin where a shingle's hash is the least of its neighbourhood: wherever a run of ``RUN``
+words or more occurs, one of its pieces at least begins at the same word. Equal pieces in a row are an
+island; its words are compared with those of the first document that has them, and it grows to both
+sides as far as these agree. The first document keeps the passage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import minhash
-from corvane.llm.common import only, saved, text_of
+from corvane.llm.common import WORD, batches_of, only, saved, small, text_of
 from corvane.llm.graph import bucket_components
-from corvane.llm.minhash import band_keys
-from corvane.llm.simhash import alike, shingle_hashes, small
+from corvane.llm.simhash import alike
 
 WIDTH = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 MAX_ROWS_OF_A_BAND = 3
-#: Words from which on a paragraph counts in the query: those of one shingle; and unless a caller says otherwise.
-MIN_WORDS = WIDTH
-LONG = 40
+#: Words from which on a line counts as a paragraph: three shingles that share no word.
+MIN_WORDS = 3 * WIDTH
 #: Words of a shared run that is certain to be found, and of a piece.
 RUN = 50
 PIECE_WORDS = 30
-#: Repeated pieces up to which their table is broadcast.
-BROADCAST_PIECES = 1_000_000
-#: Documents whose shingles are held at once.
-BATCH = 256
-SPAN = ["doc_id", "paragraph", "start", "length"]
-
-PARAGRAPHS = (
-    "doc_id long, paragraph int, start long, length long, words int, d1 long, d2 long, "
-    "bands array<long>, pieces array<long>, places array<int>"
+#: Words by which an island grows at most: further ones belong to another island.
+REACH = RUN - PIECE_WORDS
+
+LISTS = ("starts", "lengths", "first_words", "sizes", "digests", "bands")
+DOCUMENT = (
+    "doc_id long, starts array<long>, lengths array<long>, first_words array<int>, sizes array<int>, "
+    "digests array<binary>, bands array<array<long>>, pieces array<long>, places array<int>"
 )
+CUT = "doc_id long, a int, b int, digest binary, before array<string>, after array<string>, starts array<long>, ends array<long>"
+RESULT = ["doc_id", "kind", "start", "length", "first_word", "n_words", "keep_doc_id", "keep_start", "group_size"]
+
+_WORD = re.compile(WORD)
+_FACTORS = np.array([xxhash.xxh64_intdigest(bytes([i])) | 1 for i in range(WIDTH + PIECE_WORDS // WIDTH)], dtype=np.uint64)
 
 
 def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MAX_ROWS_OF_A_BAND) -> tuple[int, int]:
@@ -55,139 +60,262 @@ def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: in
     return minhash.tuned_bands(similarity, recall, most)
 
 
-def pieces_of(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash and the first word of each piece of a paragraph, from its shingles' hashes in order.
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of texts, A-Z in lower case, and the number of each text's."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = found.flatten()
+    filled = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))
+    return flat.filter(filled), np.diff(before[np.concatenate([[0], ends]).astype(np.int64)])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(29)
+
+
+def shingles_of(words: pa.Array) -> np.ndarray:
+    """A hash of every run of ``WIDTH`` words."""
+    coded = words.dictionary_encode()
+    hashes = map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist())
+    own = np.fromiter(hashes, dtype=np.uint64, count=len(coded.dictionary))[coded.indices.to_numpy()]
+    n = max(0, len(own) - WIDTH + 1)
+    return _mixed(sum((own[j : j + n] * _FACTORS[j] for j in range(WIDTH)), np.zeros(n, dtype=np.uint64)))
 
-    A piece of n shingles has a polynomial of their hashes as its hash, by differences of one sum.
+
+def _sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """``op`` of every ``width`` neighbours."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = op(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def pieces_of(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of pieces in the words of all texts, and their hashes; ``sizes`` has the words of each text.
+
+    A place is taken if its shingle is the least of the possible first shingles of the pieces of some run.
     """
-    length, around = PIECE_WORDS - WIDTH + 1, RUN - PIECE_WORDS + 1
-    n = len(shingles)
-    if n < length:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
-    windows = np.lib.stride_tricks.sliding_window_view(shingles, min(around, n))
-    places = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    places = places[places <= n - length]
-    base = np.full(n, 0x9E3779B97F4A7C15, dtype=np.uint64)
-    inverse = np.full(n, pow(0x9E3779B97F4A7C15, -1, 1 << 64), dtype=np.uint64)
-    base[0] = inverse[0] = 1
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(shingles * np.cumprod(base))])
-    hashes = (sums[places + length] - sums[places]) * np.cumprod(inverse)[places]
-    return (hashes ^ hashes >> np.uint64(31)).view(np.int64), places.astype(np.int32)
-
-
-def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts), kind))
-
-
-def _paragraphs(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    runs, around = int(sizes.sum()) - RUN + 1, RUN - PIECE_WORDS + 1
+    if runs <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    least = _sliding(np.minimum, shingles | np.uint64(1), around)[:runs]
+    least = np.where(text[:runs] == text[RUN - 1 :], least, np.uint64(0))
+    edge = np.zeros(around - 1, dtype=np.uint64)
+    most = _sliding(np.maximum, np.concatenate([edge, least, edge]), around)
+    at = np.nonzero(most == shingles[: len(most)] | np.uint64(1))[0]
+    parts = (shingles[at + WIDTH * k] * _FACTORS[WIDTH + k] for k in range(PIECE_WORDS // WIDTH))
+    return at, _mixed(sum(parts, np.zeros(len(at), dtype=np.uint64))).view(np.int64)
+
+
+def _lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def _offsets(counts: np.ndarray) -> np.ndarray:
+    return np.cumsum(counts) - counts
+
+
+def _digests(words: pa.Array, counts: np.ndarray) -> list[bytes]:
+    """128 bits for each text of so many words."""
+    return [xxhash.xxh3_128_digest(x) for x in pc.binary_join(_lists(words, counts), " ").to_pylist()]
+
+
+def _documents(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of ``DOCUMENT`` for (doc_id, text)."""
     bands, rows = tuned_bands()
-    names = [c.strip().split()[0] for c in PARAGRAPHS.split(",")]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     for whole in batches:
-        for at in range(0, whole.num_rows, BATCH):
-            batch = whole.slice(at, BATCH)
-            found, shingles = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                start = 0
-                for i, part in enumerate(text.split("\n")):
-                    words = part.encode("utf-8", "replace").lower().split()
-                    if len(words) >= min_words:
-                        found.append((doc_id, i, start, len(part), len(words), *_digest(words)))
-                        shingles.append(shingle_hashes(part, WIDTH))
-                    start += len(part) + 1
+        for a, b in batches_of(whole.column(1)):
+            batch = whole.slice(a, b - a)
+            split = pc.split_pattern(batch.column(1), "\n")
+            lines, per_doc = split.flatten(), pc.list_value_length(split).to_numpy()
+            words, counts = words_of(lines)
+            shingles = shingles_of(words)
+            of_line = np.repeat(np.arange(len(lines)), counts)
+            doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
+            heads = _offsets(per_doc)
+
+            taken = np.nonzero(counts >= min_words)[0]
+            chars, at = pc.utf8_length(lines).to_numpy(), _offsets(counts)
+            lengths = chars[taken]
+            starts = _offsets(chars + 1)[taken] - _offsets(chars + 1)[heads][doc_of[taken]]
+            first = at[taken] - at[heads][doc_of[taken]]
+            mine = np.isin(of_line, taken)
+            own = shingles[mine[: len(shingles)] & (of_line[: len(shingles)] == of_line[WIDTH - 1 :])]
+            keys = minhash.band_keys(own, _offsets(counts[taken] - WIDTH + 1), bands, rows)
+            per_taken = np.bincount(doc_of[taken], minlength=len(per_doc))
+
+            sizes = np.add.reduceat(counts, heads) if len(heads) else counts
+            places, hashes = pieces_of(shingles, sizes)
+            doc_of_piece = np.searchsorted(np.cumsum(sizes), places, side="right")
+            per_piece = np.bincount(doc_of_piece, minlength=len(per_doc))
+            columns = [
+                _lists(pa.array(starts, pa.int64()), per_taken),
+                _lists(pa.array(lengths, pa.int64()), per_taken),
+                _lists(pa.array(first, pa.int32()), per_taken),
+                _lists(pa.array(counts[taken], pa.int32()), per_taken),
+                _lists(pa.array(_digests(words.filter(pa.array(mine)), counts[taken]), pa.binary()), per_taken),
+                _lists(_lists(pa.array(keys.ravel()), np.full(len(taken), bands)), per_taken),
+                _lists(pa.array(hashes), per_piece),
+                _lists(pa.array(places - _offsets(sizes)[doc_of_piece], pa.int32()), per_piece),
+            ]
+            found = pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *LISTS, "pieces", "places"])
+            yield found.filter(pa.array((per_taken > 0) | (per_piece > 0)))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest and text of a paragraph to its set of shingles; texts of another document with that id are passed over."""
+    for batch in batches:
+        words, counts = words_of(batch.column(1))
+        shingles, at = shingles_of(words), _offsets(counts)
+        right = [x == y for x, y in zip(_digests(words, counts), batch.column(0).to_pylist(), strict=True)]
+        sets = [np.unique(shingles[i : i + n - WIDTH + 1]).view(np.int64) for i, n, ok in zip(at, counts, right, strict=True) if ok]
+        columns = [batch.column(0).filter(pa.array(right, pa.bool_())), pa.array(sets, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "body"])
+
+
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (doc_id, text, spans of words [a, b)) each span's digest, and the words on both sides with their offsets."""
+    names = [c.strip().split()[0] for c in CUT.split(",")]
+    for batch in batches:
+        for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            low = text.encode("utf-8", "replace").lower().decode()
+            at = [m.span() for m in _WORD.finditer(low)]
+            found = []
+            for a, b in sorted((s["a"], s["b"]) for s in spans):
+                if b > len(at):
+                    continue
+                words = [low[x:y] for x, y in at[max(0, a - REACH) : b + REACH]]
+                left = min(a, REACH)
+                middle = " ".join(words[left : left + b - a])
+                before, after = words[:left][::-1], words[left + b - a :]
+                starts = [at[i][0] for i in range(a, a - left - 1, -1)]
+                ends = [at[i][1] for i in range(b - 1, b + len(after))]
+                found.append((doc_id, a, b, xxhash.xxh3_128_digest(middle), before, after, starts, ends))
             if found:
-                keys = band_keys(shingles, bands, rows)
-                pieces = [pieces_of(x) for x in shingles]
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.string())] * 2, *[pa.list_(pa.int64())] * 2]
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
-                columns.append(_lists(list(keys), pa.int64()))
-                columns += [_lists([p[0] for p in pieces], pa.int64()), _lists([p[1] for p in pieces], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def _digest(words: list[bytes]) -> list[int]:
-    return np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), dtype="<i8").tolist()
+def _common(x: str, y: str) -> Column:
+    """The number of first elements in which two arrays agree."""
+    same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
+    return F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """d1 and text of a paragraph to its set of shingles; texts of another document with that id are passed over."""
-    for batch in batches:
-        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        found = [(d1, text) for d1, text in rows if _digest(text.encode("utf-8", "replace").lower().split())[0] == d1]
-        sets = [np.unique(shingle_hashes(text, WIDTH)).view(np.int64) for _, text in found]
-        columns = [pa.array([d1 for d1, _ in found], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["node", "body"])
+def _same(x: DataFrame, y: DataFrame, **columns: str) -> Column:
+    """The condition that columns of x are those of y, nulls included."""
+    condition = F.lit(True)
+    for mine, other in columns.items():
+        condition = condition & x[mine].eqNullSafe(y[other])
+    return condition
 
 
-def _repeated_passages(rows: DataFrame) -> DataFrame:
-    """doc_id, paragraph, first_word, n_words, keep_doc_id, keep_paragraph, group_size of passages of
-    which an earlier document has the same; overlapping pieces of one paragraph are one passage."""
-    pieces = rows.select("doc_id", "paragraph", F.explode(F.arrays_zip("pieces", "places")).alias("p"))
-    pieces = pieces.select("doc_id", "paragraph", F.col("p.pieces").alias("piece"), F.col("p.places").alias("at"))
-    shared = pieces.groupBy("piece").agg(
-        F.min(F.struct("doc_id", "paragraph")).alias("keep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")
+def repeated_passages(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """Columns ``RESULT`` for passages of which an earlier document has the same."""
+    pieces = rows.select("doc_id", F.inline(F.arrays_zip("pieces", "places"))).toDF("doc_id", "piece", "at")
+    counts = pieces.groupBy("piece").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("with_id")
     )
-    shared = saved(shared.filter(~F.col("keep.doc_id").eqNullSafe(F.col("last"))).select("piece", "keep", "n"))
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_PIECES else shared
-    hits = pieces.join(shared, "piece").filter(~F.col("doc_id").eqNullSafe(F.col("keep.doc_id")))
-    order = Window.partitionBy("doc_id", "paragraph").orderBy("at")
+    several = (F.col("least") < F.col("last")) | ((F.col("with_id") > 0) & (F.col("with_id") < F.col("n")))
+    shared = saved(counts.filter(several).select("piece", "n"))
+    hits = saved(pieces.join(small(shared), "piece"))
+    keep = hits.groupBy("piece").agg(F.min(F.struct("doc_id", "at")).alias("keep"))
+    hits = hits.join(keep, "piece").filter(~F.col("doc_id").eqNullSafe(F.col("keep.doc_id")))
+    hits = hits.select("doc_id", "at", F.col("keep.doc_id").alias("keep_id"), (F.col("keep.at") - F.col("at")).alias("shift"), "n")
+    order = Window.partitionBy("doc_id", "keep_id", "shift").orderBy("at")
     apart = F.col("at") > F.coalesce(F.lag("at").over(order), F.lit(-1 - PIECE_WORDS)) + PIECE_WORDS
-    islands = hits.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(order))
-    return islands.groupBy("doc_id", "paragraph", "island").agg(
-        F.min("at").alias("first_word"),
-        (F.max("at") - F.min("at") + PIECE_WORDS).cast("int").alias("n_words"),
-        F.min("keep").alias("keep"),
-        F.max("n").alias("group_size"),
+    numbered = hits.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(order))
+    islands = numbered.groupBy("doc_id", "keep_id", "shift", "island").agg(
+        F.min("at").alias("a"), (F.max("at") + PIECE_WORDS).alias("b"), F.max("n").alias("n")
+    )
+    islands = islands.withColumns({"keep_a": F.col("a") + F.col("shift"), "keep_b": F.col("b") + F.col("shift")})
+    islands = saved(islands.drop("shift", "island"))
+    asked = islands.select("doc_id", "a", "b").unionByName(
+        islands.select(F.col("keep_id").alias("doc_id"), F.col("keep_a").alias("a"), F.col("keep_b").alias("b"))
+    )
+    asked = saved(asked.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    found = named.join(small(asked, F.size("spans")), _same(named, asked, doc_id="doc_id"))
+    cuts = saved(found.select(named["doc_id"], "text", "spans").mapInArrow(_cuts, CUT).distinct())
+    mine, other = cuts.alias("m"), cuts.alias("o")
+    both = islands.alias("i").join(
+        mine, F.expr("i.doc_id <=> m.doc_id and i.a = m.a and i.b = m.b")
+    ).join(other, F.expr("i.keep_id <=> o.doc_id and i.keep_a = o.a and i.keep_b = o.b and m.digest = o.digest"))
+    grown = both.withColumns({"left": _common("m.before", "o.before"), "right": _common("m.after", "o.after")})
+    start = F.get("m.starts", F.col("left"))
+    return grown.select(
+        F.col("i.doc_id").alias("doc_id"),
+        F.lit("passage").alias("kind"),
+        start.alias("start"),
+        (F.get("m.ends", F.col("right")) - start).alias("length"),
+        (F.col("i.a") - F.col("left")).alias("first_word"),
+        (F.col("i.b") - F.col("i.a") + F.col("left") + F.col("right")).alias("n_words"),
+        F.col("i.keep_id").alias("keep_doc_id"),
+        F.get("o.starts", F.col("left")).alias("keep_start"),
+        F.col("i.n").alias("group_size"),
     )
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = LONG) -> DataFrame:
-    """One row a removed paragraph or passage: doc_id, paragraph (its number), start, length (of the
-    paragraph), first_word, n_words (of what is removed of it), keep_doc_id, keep_paragraph, group_size.
-
-    Paragraphs end at line feeds; start and length are in code points. Those of fewer
-    than ``min_words`` words are left alone. Words are compared with A-Z in lower case and white space as
-    one space. Of each group the paragraph of the smallest doc_id, and the first in it, stays; a
-    passage stays in the smallest doc_id. Documents without repeats have no row, and null texts have
-    no paragraphs. A null doc_id comes before others. Rows that repeat an id and text count as one
-    document.
-    """
-    named = only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col))
-    rows = saved(named.mapInArrow(partial(_paragraphs, min_words), PARAGRAPHS))
-    place = F.struct("doc_id", "paragraph")
-    nodes = rows.groupBy("d1").agg(
-        F.min("d2").alias("d2"), F.min(F.struct("doc_id", "paragraph", "start", "length")).alias("first"), F.count(F.lit(1)).alias("n")
-    )
-    nodes = saved(nodes)
-    bands = rows.select("d1", "bands").dropDuplicates(["d1"]).select("d1", F.explode("bands").alias("key"))
-    leaders = bands.groupBy("key").agg(F.min("d1").alias("leader"), F.max("d1").alias("last")).filter("leader <> last")
-    met = bands.join(leaders.select("key"), "key").select("key", F.col("d1").alias("node"), F.lit(0).cast("long").alias("sign"))
-    met = saved(met)
+def _texts(named: DataFrame, nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function from paragraphs (node: the digest) to their shingles, by the first document that has them."""
 
     def texts(ids: DataFrame) -> DataFrame:
-        """The shingles of paragraphs, from the document that has them first."""
-        wanted = saved(ids.withColumnRenamed("node", "d1").join(nodes, "d1").select("d1", "first.*"))
-        found = named.join(small(wanted), named["doc_id"].eqNullSafe(wanted["doc_id"]))
-        pieces = found.select("d1", F.expr("substring(text, cast(start as int) + 1, cast(length as int))").alias("piece"))
-        return saved(pieces.mapInArrow(_shingles, "node long, body array<long>").dropDuplicates(["node"]))
-
-    groups = saved(bucket_components(met, texts=texts, alike=alike)).withColumnRenamed("node", "d1")
-    linked = nodes.join(groups, "d1", "left").withColumn("group", F.coalesce("component", "d1"))
+        wanted = saved(ids.withColumnRenamed("node", "digest").join(nodes, "digest").select("digest", "first.*"))
+        found = named.join(small(wanted), _same(named, wanted, doc_id="doc_id"))
+        pieces = found.select("digest", F.expr("substring(text, cast(start as int) + 1, cast(length as int))").alias("piece"))
+        return saved(pieces.mapInArrow(_sets, "node binary, body array<long>").dropDuplicates(["node"]))
+
+    return texts
+
+
+def repeated_paragraphs(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """Columns ``RESULT`` for paragraphs that are equal or similar to an earlier one."""
+    parts = rows.select("doc_id", F.inline(F.arrays_zip(*LISTS)))
+    parts = parts.toDF("doc_id", "start", "length", "first_word", "n_words", "digest", "bands")
+    nodes = parts.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "length")).alias("first"), F.count(F.lit(1)).alias("n"))
+    nodes = saved(nodes)
+    keys = parts.select(F.xxhash64("digest").alias("code"), F.explode("bands").alias("key"))
+    keys = keys.groupBy("key").agg(F.min("code").alias("least"), F.max("code").alias("last")).filter("least <> last")
+    keys = saved(keys.select("key"))
+    met = parts.select(F.col("digest").alias("node"), F.explode("bands").alias("key"), F.lit(0).alias("sign"))
+    met = met.join(small(keys), "key", "left_semi")
+    groups = saved(bucket_components(met, texts=_texts(named, nodes), alike=alike)).withColumnRenamed("node", "digest")
+    linked = nodes.join(groups, "digest", "left").withColumn("group", F.coalesce("component", "digest"))
     linked = linked.filter(F.col("component").isNotNull() | (F.col("n") > 1))
     heads = linked.groupBy("group").agg(
-        F.min(F.struct("first.doc_id", "first.paragraph")).alias("keep"), F.sum("n").alias("group_size")
+        F.min(F.struct("first.doc_id", "first.start")).alias("keep"), F.sum("n").alias("group_size")
+    )
+    of_node = saved(linked.select("digest", "group").join(heads, "group").select("digest", "keep", "group_size"))
+    repeats = parts.drop("bands").join(small(of_node), "digest")
+    repeats = repeats.filter(~F.struct("doc_id", "start").eqNullSafe(F.col("keep"))).withColumn("kind", F.lit("paragraph"))
+    return repeats.withColumns({"keep_doc_id": F.col("keep.doc_id"), "keep_start": F.col("keep.start")}).select(*RESULT)
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row a removed span: doc_id, kind (paragraph or passage), start, length (in code points), first_word,
+    n_words (in the document's words), keep_doc_id, keep_start (of what stays), group_size.
+
+    Paragraphs end at line feeds; those of fewer than ``min_words`` words are lines, which the line
+    dedup counts, and are removed only as part of a passage. Words are compared with A-Z in lower case
+    and any ASCII white space as one space. Of each group the paragraph of the smallest doc_id, and the
+    first in it, stays. Every run of ``RUN`` words or more that an earlier document has too is found,
+    wherever its line ends are; up to ``REACH`` words at its ends may stay if only a later one of its
+    documents has them. Shorter runs are found where a piece falls into them. Passages that lie in a
+    removed paragraph are not listed; spans may overlap otherwise. Documents without repeats have no row,
+    and null texts have no words. A null doc_id comes before others. Rows that repeat an id are one document.
+    """
+    named = only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col))
+    rows = saved(named.mapInArrow(partial(_documents, min_words), DOCUMENT))
+    whole = saved(repeated_paragraphs(named, rows).distinct())
+    passages = repeated_passages(named, rows).alias("p")
+    removed = whole.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("removed")).alias("r")
+    inside = F.expr(
+        "exists(removed, x -> x.first_word <= p.first_word and p.first_word + p.n_words <= x.first_word + x.n_words)"
     )
-    of_node = linked.select("d1", "d2", "group").join(heads, "group").select("d1", "d2", "keep", "group_size")
-    whole = rows.join(of_node, ["d1", "d2"]).filter(~place.eqNullSafe(F.col("keep")))
-    whole = saved(whole.select(*SPAN, F.lit(0).alias("first_word"), F.col("words").alias("n_words"), "keep", "group_size"))
-    same = ["doc_id", "paragraph"]
-    passages = _repeated_passages(rows).join(whole.select(*same), same, "left_anti").join(rows.select(*SPAN).distinct(), same)
-    both = whole.unionByName(passages.select(*SPAN, "first_word", "n_words", "keep", "group_size"))
-    return both.select(
-        *SPAN,
-        "first_word",
-        "n_words",
-        F.col("keep.doc_id").alias("keep_doc_id"),
-        F.col("keep.paragraph").alias("keep_paragraph"),
-        "group_size",
-    ).distinct()
+    other = passages.join(removed, F.expr("p.doc_id <=> r.doc_id"), "left").filter(~F.coalesce(inside, F.lit(False))).select("p.*")
+    return whole.unionByName(other.distinct())

@@ -27,7 +27,7 @@ def tokenizer_path() -> str:
 
 
 def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.repeated_paragraphs(_table(spark, sf_dir, "documents"), min_words=paragraph_dedup.MIN_WORDS)
+    return paragraph_dedup.repeats(_table(spark, sf_dir, "documents"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ So every such pair meets under some key, and meetings are verified.
 
 ``near_duplicates`` links fingerprints by their distance alone. ``similar`` finds texts whose shingles
 have a given Jaccard similarity: with a similarity of 0.8 their own fingerprints differ in some ten
-bits, beyond any guarantee, and fewer changed words than a paragraph's move signs of words as far. So
-MinHash bands, whose recall depends on the similarity alone, make the pairs meet and the texts decide.
+bits, beyond any guarantee. So the fuzzy keys make those pairs meet whose segments allow it, MinHash
+bands, whose recall depends on the similarity alone, all others, and the texts decide.
 
 Equal fingerprints are one node, and nothing here forms all pairs of a bucket: see
 ``graph.bucket_components``.
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import golay
-from corvane.llm.common import only, saved, text_of
+from corvane.llm.common import batches_of, only, packed, saved, small, text_of
 from corvane.llm.graph import bucket_components
 from corvane.llm.minhash import band_keys, tuned_bands
 
@@ -39,18 +39,13 @@ DISTANCE = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 FINGERPRINT = "doc_id long, fp long"
-SETS = "node long, body array<long>"
 #: Similarity of texts, over shingles of so many words; part of the pairs of that similarity that meet, wherever they differ.
 SIMILARITY = 0.8
 WIDTH = 5
 RECALL = 0.999
 ROWS_OF_A_BAND = 5
-#: Texts whose shingles are held at once.
-BATCH = 256
-#: Rows up to which a table of longs is broadcast.
-BROADCAST_ROWS = 500_000
-#: Stands for a null id.
-NO_ID = (1 << 63) - 1
+#: Bits by which fingerprints of such texts may differ that share a fuzzy key: ten or so are usual.
+REACH = 10
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -168,15 +163,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of a text's distinct shingles and the keys of its bands; texts without words share all keys."""
+    """The fingerprint of a text, its number of distinct shingles and the keys of its bands; texts without words share all keys."""
     bands, rows = tuned_bands(SIMILARITY, RECALL, ROWS_OF_A_BAND)
     for whole in batches:
-        for at in range(0, whole.num_rows, BATCH):
-            batch = whole.slice(at, BATCH)
-            sets = [np.unique(shingle_hashes(t, WIDTH)) for t in batch.column(2).to_pylist()]
-            keys = band_keys([x if len(x) else np.zeros(1, dtype=np.uint64) for x in sets], bands, rows)
-            columns = [batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "sign", "bands"])
+        for a, b in batches_of(whole.column(2)):
+            batch = whole.slice(a, b - a)
+            hashes = [shingle_hashes(t, WIDTH) for t in batch.column(2).to_pylist()]
+            sets = [np.unique(x) for x in hashes]
+            filled = [x if len(x) else np.zeros(1, dtype=np.uint64) for x in sets]
+            starts = np.cumsum([0, *map(len, filled[:-1])])
+            keys = band_keys(np.concatenate(filled), starts, bands, rows)
+            columns = [pa.array(map(fingerprint, hashes), pa.int64()), pa.array(map(len, sets), pa.int64())]
+            columns.append(pa.array(list(keys), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "node", "fp", "sign", "bands"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,32 +196,38 @@ def alike(x: Column, y: Column) -> Column:
     return F.when(low < SIMILARITY * high, F.lit(False)).otherwise(shared >= SIMILARITY * (low + high - shared))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """For a join with whole texts: broadcast if its counted rows are few, so that the texts need not move."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def node_of(text: Column) -> Column:
+    """What stands for a text among others: 128 bits of it."""
+    return F.unhex(F.md5(text))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Groups of texts whose five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
 
-    Gives one row for each distinct text: node (its hash), first_id, n (its rows), group (the least
-    node of its component); and the rows doc_id, node. Texts that share a MinHash band of their
-    shingles meet, as a pair of that similarity does with a probability of ``RECALL`` or more wherever
-    it differs. Of those that meet and are of fitting sizes, the shingles of both whole texts decide.
+    Gives one row for each distinct text: node (its digest), first_id (null only if all its ids are), n (its
+    rows), group (the least node of its component); and the rows doc_id, node. Texts meet whose fingerprints share a
+    fuzzy key and differ in at most ``REACH`` bits, and texts that share a MinHash band of their
+    shingles, as a pair of that similarity does with a probability of ``RECALL`` or more wherever it differs.
+    Of those that meet and are of fitting sizes, the shingles of both whole texts decide.
     """
-    named = only(docs, doc_id=F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), text=text_of(text_col))
-    named = named.select("doc_id", F.xxhash64("text").alias("node"), "text")
-    rows = saved(named.mapInArrow(_bands, "doc_id long, node long, sign long, bands array<long>"))
+    named = only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col))
+    named = named.select("doc_id", node_of(F.col("text")).alias("node"), "text")
+    rows = saved(named.mapInArrow(_bands, "doc_id long, node binary, fp long, sign long, bands array<long>"))
     nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
-    bands = rows.select("node", "sign", "bands").dropDuplicates(["node"]).select("node", "sign", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last")).filter("least <> last").select("key")
+    keys = rows.select(F.xxhash64("node").alias("code"), F.explode("bands").alias("key"))
+    keys = keys.groupBy("key").agg(F.min("code").alias("least"), F.max("code").alias("last")).filter("least <> last")
+    keys = saved(keys.select("key"))
+    by_band = rows.select(F.explode("bands").alias("key"), "node", "sign").join(small(keys), "key", "left_semi")
+    prints = saved(rows.select("node", "fp", "sign").dropDuplicates(["node"]))
+    by_print = meetings(prints, REACH, False).select("key", "node", "sign")
 
     def texts(ids: DataFrame) -> DataFrame:
-        wanted = small(saved(ids.join(nodes, "node").select("node", F.col("first_id").alias("doc_id"))))
-        sets = named.join(wanted, ["node", "doc_id"], "left_semi").select("node", "text").mapInArrow(_shingle_sets, SETS)
+        wanted = small(saved(ids.join(nodes, "node").select("node", F.col("first_id").alias("id"))))
+        same = (named["node"] == wanted["node"]) & named["doc_id"].eqNullSafe(wanted["id"])
+        sets = named.join(wanted, same, "left_semi").select("node", "text").mapInArrow(_shingle_sets, "node binary, body array<long>")
         return saved(sets.dropDuplicates(["node"]))
 
-    groups = saved(bucket_components(bands.join(shared, "key"), _as_large, texts, alike))
+    groups = saved(bucket_components(by_band.unionByName(by_print), _as_large, texts, alike))
     of_node = nodes.join(groups, "node", "left").select("node", "first_id", "n", F.coalesce("component", "node").alias("group"))
     return of_node, rows.select("doc_id", "node")
 
@@ -235,23 +240,22 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of_node, rows = similar(docs, id_col, text_col)
     of_node = saved(of_node)
     names = of_node.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    named = rows.join(of_node.join(names, "group").select("node", "component_id"), "node")
-    return named.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+    return rows.join(of_node.join(names, "group").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: of each group of ``similar`` texts the smallest doc_id.
 
-    Rows that repeat both the id and the text that stay are one document and all stay. Only groups
-    of several rows are joined to the texts.
+    A null id stays only if all are null. Rows that repeat both the id and the text that stay are one
+    document and all stay. Only groups of several rows are joined to the texts.
     """
     of_node, _ = similar(docs, id_col, text_col)
     of_node = saved(of_node)
-    heads = of_node.groupBy("group").agg(F.min(F.struct("first_id", "node")).alias("head"), F.sum("n").alias("rows"))
+    head = F.min(F.struct(F.col("first_id").isNull(), "first_id", "node"))
+    heads = of_node.groupBy("group").agg(head["node"].alias("head"), F.sum("n").alias("rows"))
     touched = of_node.join(heads.filter("rows > 1"), "group")
-    touched = touched.select(F.col("node").alias("_node"), F.when(F.col("node") == F.col("head.node"), F.col("first_id")).alias("_keep"))
-    touched = small(saved(touched))
-    keys = {"_node_of": F.xxhash64(text_of(F.col(f"`{text_col}`"))), "_id_of": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))}
-    joined = docs.withColumns(keys).join(touched, F.col("_node_of") == F.col("_node"), "left")
-    stays = F.col("_node").isNull() | F.coalesce(F.col("_id_of") == F.col("_keep"), F.lit(False))
-    return joined.filter(stays).select(*(F.col(f"`{c}`") for c in docs.columns))
+    touched = small(saved(touched.select("node", (F.col("node") == F.col("head")).alias("stays"), F.col("first_id"))))
+    rows = packed(docs).withColumn("own", node_of(text_of(F.col("row")[text_col])))
+    joined = rows.join(touched, rows["own"] == touched["node"], "left")
+    stays = F.col("node").isNull() | (F.col("stays") & F.col("row")[id_col].cast("long").eqNullSafe(F.col("first_id")))
+    return joined.filter(stays).select("row.*")

@@ -71,7 +71,7 @@ def test_every_row_has_a_result(spark, name):
 
 @pytest.mark.parametrize("name", [*OPERATORS, "paragraph_dedup"])
 def test_empty_table(spark, name):
-    operator = OPERATORS.get(name, paragraph_dedup.repeated_paragraphs)
+    operator = OPERATORS.get(name, paragraph_dedup.repeats)
     assert operator(docs(spark, [])).collect() == []
 
 
@@ -106,15 +106,30 @@ def test_ties_go_to_the_smallest_id(spark):
 
 
 def test_paragraph_in_two_documents(spark):
-    got = paragraph_dedup.repeated_paragraphs(docs(spark)).collect()
-    assert [(r.doc_id, r.paragraph, r.start, r.keep_doc_id, r.keep_paragraph, r.group_size) for r in got] == [(9, 0, 0, 8, 1, 2)]
-
-
-def test_passage_in_other_paragraphs(spark):
-    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40 * i)) + f" {PASSAGE} " + f"end{i} " * 30, "en", "x", None) for i in (1, 2, 3)]
-    got = paragraph_dedup.repeated_paragraphs(docs(spark, rows)).collect()
-    assert {(r.doc_id, r.keep_doc_id) for r in got} == {(2, 1), (3, 1)}
-    assert all(40 * r.doc_id <= r.first_word and r.first_word + r.n_words <= 40 * r.doc_id + 60 for r in got)
+    got = paragraph_dedup.repeats(docs(spark)).collect()
+    assert [(r.doc_id, r.kind, r.start, r.n_words, r.keep_doc_id, r.keep_start, r.group_size) for r in got] == [(9, "paragraph", 0, 60, 8, 6, 2)]
+
+
+@pytest.mark.parametrize("ends", [" ", "\n", " \r\n\t"])
+def test_passage_in_other_paragraphs(spark, ends):
+    """The whole passage is removed, and nothing else, though its lines are short and end elsewhere in each document."""
+    rows = [(9, "", "en", "x", None), (None, None, "en", "x", None)]
+    for i in (1, 2, 3):
+        words = PASSAGE.split()
+        lines = ends.join(" ".join(words[a : a + 7 + i]) for a in range(0, 60, 7 + i))
+        rows.append((i, " ".join(f"w{i}x{j}" for j in range(40 * i)) + f"\n{lines.upper()} " + " ".join(f"end{i}x{j}" for j in range(30)), "en", "x", None))
+    got = paragraph_dedup.repeats(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.kind, r.first_word, r.n_words, r.keep_doc_id) for r in got} == {(i, "passage", 40 * i, 60, 1) for i in (2, 3)}
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        assert texts[r.doc_id][r.start : r.start + r.length].lower().split() == PASSAGE.split()
+        assert texts[1][r.keep_start :].lower().split()[:60] == PASSAGE.split()
+
+
+def test_hot_passage(spark):
+    rows = [(i, f"own{i} words{i} {PASSAGE} more{i}", "en", "x", None) for i in range(500)]
+    got = paragraph_dedup.repeats(docs(spark, rows), min_words=1000).collect()
+    assert {(r.doc_id, r.first_word, r.n_words, r.keep_doc_id, r.group_size) for r in got} == {(i, 2, 60, 0, 500) for i in range(1, 500)}
 
 
 def test_packing_of_odd_texts(spark):
