@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import saved
 
-#: Leaders of a bucket.
-LEADERS = 4
+#: Leaders of a bucket, and of one whose members' texts are fetched.
+LEADERS, LEADERS_WITH_TEXTS = 4, 2
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -76,13 +76,13 @@ def bucket_components(
     component, or were compared. A bucket's size and leaders come from windows, so its members are joined
     by their key only where a bucket still holds several components.
     """
-    whole = Window.partitionBy("key")
+    whole, n_leaders = Window.partitionBy("key"), LEADERS_WITH_TEXTS if texts else LEADERS
     members = members.select("key", "node", "sign").distinct()
     members = saved(members.withColumn("size", F.count(F.lit(1)).over(whole)).filter("size > 1"))
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
     entry, rank = F.struct("node", "sign"), F.struct("weight", "node")
     first = F.max_by(entry, rank).over(whole)
-    others = (F.min_by(entry, F.xxhash64("node", F.lit(i))).over(whole) for i in range(1, LEADERS))
+    others = (F.min_by(entry, F.xxhash64("node", F.lit(i))).over(whole) for i in range(1, n_leaders))
     members = members.join(weights, "node").withColumn("leaders", F.array_distinct(F.array(first, *others)))
 
     def fits(leader: Column) -> Column:

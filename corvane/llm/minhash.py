@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def tuned_bands(similarity: float, recall: float, most: int) -> tuple[int, int]:
@@ -28,3 +30,15 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) ->
         keys[:, band] = (keys[:, band] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)
         keys[:, band] ^= keys[:, band] >> np.uint64(29)
     return keys.view(np.int64)
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """key, node, sign for keys that several of the distinct nodes (node, sign, bands) have.
+
+    Only 64 bits of a node move with all of its keys.
+    """
+    whole, code = Window.partitionBy("key"), F.xxhash64("node").alias("code")
+    keyed = nodes.select(code, F.explode("bands").alias("key"))
+    ends = keyed.withColumns({"least": F.min("code").over(whole), "last": F.max("code").over(whole)})
+    met = ends.filter("least <> last").select("key", "code")
+    return met.join(nodes.select(code, "node", "sign"), "code").select("key", "node", "sign")

@@ -48,7 +48,7 @@ DOCUMENT = (
     "doc_id long, starts array<long>, lengths array<long>, first_words array<int>, sizes array<int>, "
     "digests array<binary>, bands array<array<long>>, pieces array<long>, places array<int>"
 )
-CUT = "doc_id long, a int, b int, digest binary, before array<string>, after array<string>, starts array<long>, ends array<long>"
+CUT = "doc_id long, a int, b int, digest binary, before array<long>, after array<long>, starts array<int>, ends array<int>"
 RESULT = ["doc_id", "kind", "start", "length", "first_word", "n_words", "keep_doc_id", "keep_start", "group_size"]
 
 _WORD = re.compile(WORD)
@@ -179,7 +179,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, text, spans of words [a, b)) each span's digest, and the words on both sides with their offsets."""
+    """Of (doc_id, text, spans of words [a, b)) each span's digest, and on both sides 64 bits of each word and its offset."""
+    hashed = xxhash.xxh64_intdigest
     names = [c.strip().split()[0] for c in CUT.split(",")]
     for batch in batches:
         for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -192,12 +193,12 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = [low[x:y] for x, y in at[max(0, a - REACH) : b + REACH]]
                 left = min(a, REACH)
                 middle = " ".join(words[left : left + b - a])
-                before, after = words[:left][::-1], words[left + b - a :]
+                before, after = ([hashed(w) - (1 << 63) for w in x] for x in (words[:left][::-1], words[left + b - a :]))
                 starts = [at[i][0] for i in range(a, a - left - 1, -1)]
                 ends = [at[i][1] for i in range(b - 1, b + len(after))]
                 found.append((doc_id, a, b, xxhash.xxh3_128_digest(middle), before, after, starts, ends))
             if found:
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.string())] * 2, *[pa.list_(pa.int64())] * 2]
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 2]
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -216,8 +217,8 @@ def _same(x: DataFrame, y: DataFrame, **columns: str) -> Column:
     return condition
 
 
-def repeated_passages(named: DataFrame, rows: DataFrame) -> DataFrame:
-    """Columns ``RESULT`` for passages of which an earlier document has the same."""
+def repeated_passages(named: DataFrame, rows: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Columns ``RESULT`` for passages of which an earlier document has the same and that lie in no removed paragraph."""
     pieces = rows.select("doc_id", F.inline(F.arrays_zip("pieces", "places"))).toDF("doc_id", "piece", "at")
     counts = pieces.groupBy("piece").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("with_id")
@@ -235,13 +236,16 @@ def repeated_passages(named: DataFrame, rows: DataFrame) -> DataFrame:
         F.min("at").alias("a"), (F.max("at") + PIECE_WORDS).alias("b"), F.max("n").alias("n")
     )
     islands = islands.withColumns({"keep_a": F.col("a") + F.col("shift"), "keep_b": F.col("b") + F.col("shift")})
-    islands = saved(islands.drop("shift", "island"))
+    removed = paragraphs.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("removed"))
+    inside = F.expr("exists(removed, x -> x.first_word <= i.a and i.b <= x.first_word + x.n_words)")
+    islands = islands.drop("shift", "island").alias("i").join(removed.alias("r"), F.expr("i.doc_id <=> r.doc_id"), "left")
+    islands = saved(islands.filter(~F.coalesce(inside, F.lit(False))).select("i.*"))
     asked = islands.select("doc_id", "a", "b").unionByName(
         islands.select(F.col("keep_id").alias("doc_id"), F.col("keep_a").alias("a"), F.col("keep_b").alias("b"))
     )
     asked = saved(asked.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
     found = named.join(small(asked, F.size("spans")), _same(named, asked, doc_id="doc_id"))
-    cuts = saved(found.select(named["doc_id"], "text", "spans").mapInArrow(_cuts, CUT).distinct())
+    cuts = saved(found.select(named["doc_id"], "text", "spans").mapInArrow(_cuts, CUT))
     mine, other = cuts.alias("m"), cuts.alias("o")
     both = islands.alias("i").join(
         mine, F.expr("i.doc_id <=> m.doc_id and i.a = m.a and i.b = m.b")
@@ -251,12 +255,12 @@ def repeated_passages(named: DataFrame, rows: DataFrame) -> DataFrame:
     return grown.select(
         F.col("i.doc_id").alias("doc_id"),
         F.lit("passage").alias("kind"),
-        start.alias("start"),
-        (F.get("m.ends", F.col("right")) - start).alias("length"),
+        start.cast("long").alias("start"),
+        (F.get("m.ends", F.col("right")) - start).cast("long").alias("length"),
         (F.col("i.a") - F.col("left")).alias("first_word"),
         (F.col("i.b") - F.col("i.a") + F.col("left") + F.col("right")).alias("n_words"),
         F.col("i.keep_id").alias("keep_doc_id"),
-        F.get("o.starts", F.col("left")).alias("keep_start"),
+        F.get("o.starts", F.col("left")).cast("long").alias("keep_start"),
         F.col("i.n").alias("group_size"),
     )
 
@@ -277,13 +281,11 @@ def repeated_paragraphs(named: DataFrame, rows: DataFrame) -> DataFrame:
     """Columns ``RESULT`` for paragraphs that are equal or similar to an earlier one."""
     parts = rows.select("doc_id", F.inline(F.arrays_zip(*LISTS)))
     parts = parts.toDF("doc_id", "start", "length", "first_word", "n_words", "digest", "bands")
-    nodes = parts.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "length")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct("doc_id", "start", "length")).alias("first")
+    nodes = parts.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     nodes = saved(nodes)
-    keys = parts.select(F.xxhash64("digest").alias("code"), F.explode("bands").alias("key"))
-    keys = keys.groupBy("key").agg(F.min("code").alias("least"), F.max("code").alias("last")).filter("least <> last")
-    keys = saved(keys.select("key"))
-    met = parts.select(F.col("digest").alias("node"), F.explode("bands").alias("key"), F.lit(0).alias("sign"))
-    met = met.join(small(keys), "key", "left_semi")
+    met = minhash.meetings(nodes.select(F.col("digest").alias("node"), F.lit(0).alias("sign"), "bands"))
+    nodes = nodes.drop("bands")
     groups = saved(bucket_components(met, texts=_texts(named, nodes), alike=alike)).withColumnRenamed("node", "digest")
     linked = nodes.join(groups, "digest", "left").withColumn("group", F.coalesce("component", "digest"))
     linked = linked.filter(F.col("component").isNotNull() | (F.col("n") > 1))
@@ -312,10 +314,4 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     named = only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col))
     rows = saved(named.mapInArrow(partial(_documents, min_words), DOCUMENT))
     whole = saved(repeated_paragraphs(named, rows).distinct())
-    passages = repeated_passages(named, rows).alias("p")
-    removed = whole.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("removed")).alias("r")
-    inside = F.expr(
-        "exists(removed, x -> x.first_word <= p.first_word and p.first_word + p.n_words <= x.first_word + x.n_words)"
-    )
-    other = passages.join(removed, F.expr("p.doc_id <=> r.doc_id"), "left").filter(~F.coalesce(inside, F.lit(False))).select("p.*")
-    return whole.unionByName(other.distinct())
+    return whole.unionByName(repeated_passages(named, rows, whole).distinct())

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm import golay
+from corvane.llm import golay, minhash
 from corvane.llm.common import batches_of, only, packed, saved, small, text_of
 from corvane.llm.graph import bucket_components
 from corvane.llm.minhash import band_keys, tuned_bands
@@ -213,12 +213,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col))
     named = named.select("doc_id", node_of(F.col("text")).alias("node"), "text")
     rows = saved(named.mapInArrow(_bands, "doc_id long, node binary, fp long, sign long, bands array<long>"))
-    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
-    keys = rows.select(F.xxhash64("node").alias("code"), F.explode("bands").alias("key"))
-    keys = keys.groupBy("key").agg(F.min("code").alias("least"), F.max("code").alias("last")).filter("least <> last")
-    keys = saved(keys.select("key"))
-    by_band = rows.select(F.explode("bands").alias("key"), "node", "sign").join(small(keys), "key", "left_semi")
-    prints = saved(rows.select("node", "fp", "sign").dropDuplicates(["node"]))
+    own = [F.first(c).alias(c) for c in ("fp", "sign", "bands")]
+    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *own))
+    by_band = minhash.meetings(nodes.select("node", "sign", "bands"))
+    prints = nodes.select("node", "fp", "sign")
     by_print = meetings(prints, REACH, False).select("key", "node", "sign")
 
     def texts(ids: DataFrame) -> DataFrame:
