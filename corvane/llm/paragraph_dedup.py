@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import minhash
-from corvane.llm.common import WORD, batches_of, only, saved, small, text_of
+from corvane.llm.common import WORD, batches_of, only, saved, small, text_of, written
 from corvane.llm.graph import bucket_components
 from corvane.llm.simhash import alike
 
@@ -48,7 +48,7 @@ DOCUMENT = (
     "doc_id long, starts array<long>, lengths array<long>, first_words array<int>, sizes array<int>, "
     "digests array<binary>, bands array<array<long>>, pieces array<long>, places array<int>"
 )
-CUT = "doc_id long, a int, b int, digest binary, before array<long>, after array<long>, starts array<int>, ends array<int>"
+CUT = "doc_id long, a int, b int, digest binary, before array<int>, after array<int>, starts array<int>, ends array<int>"
 RESULT = ["doc_id", "kind", "start", "length", "first_word", "n_words", "keep_doc_id", "keep_start", "group_size"]
 
 _WORD = re.compile(WORD)
@@ -179,8 +179,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, text, spans of words [a, b)) each span's digest, and on both sides 64 bits of each word and its offset."""
-    hashed = xxhash.xxh64_intdigest
+    """Of (doc_id, text, spans of words [a, b)) each span's digest, and on both sides 32 bits of each word and its offset."""
+    hashed = xxhash.xxh32_intdigest
     names = [c.strip().split()[0] for c in CUT.split(",")]
     for batch in batches:
         for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -193,12 +193,12 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = [low[x:y] for x, y in at[max(0, a - REACH) : b + REACH]]
                 left = min(a, REACH)
                 middle = " ".join(words[left : left + b - a])
-                before, after = ([hashed(w) - (1 << 63) for w in x] for x in (words[:left][::-1], words[left + b - a :]))
+                before, after = ([hashed(w) - (1 << 31) for w in x] for x in (words[:left][::-1], words[left + b - a :]))
                 starts = [at[i][0] for i in range(a, a - left - 1, -1)]
                 ends = [at[i][1] for i in range(b - 1, b + len(after))]
                 found.append((doc_id, a, b, xxhash.xxh3_128_digest(middle), before, after, starts, ends))
             if found:
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 2]
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int32())] * 4]
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -244,8 +244,10 @@ def repeated_passages(named: DataFrame, rows: DataFrame, paragraphs: DataFrame)
         islands.select(F.col("keep_id").alias("doc_id"), F.col("keep_a").alias("a"), F.col("keep_b").alias("b"))
     )
     asked = saved(asked.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
-    found = named.join(small(asked, F.size("spans")), _same(named, asked, doc_id="doc_id"))
-    cuts = saved(found.select(named["doc_id"], "text", "spans").mapInArrow(_cuts, CUT))
+    ids = asked.select(F.col("doc_id").alias("id"))
+    texts = named.join(small(ids), _same(named, ids, doc_id="id"), "left_semi")
+    found = texts.join(asked.withColumnRenamed("doc_id", "id"), F.expr("doc_id <=> id")).select("doc_id", "text", "spans")
+    cuts = written(found.mapInArrow(_cuts, CUT), "cuts")
     mine, other = cuts.alias("m"), cuts.alias("o")
     both = islands.alias("i").join(
         mine, F.expr("i.doc_id <=> m.doc_id and i.a = m.a and i.b = m.b")
@@ -283,7 +285,7 @@ def repeated_paragraphs(named: DataFrame, rows: DataFrame) -> DataFrame:
     parts = parts.toDF("doc_id", "start", "length", "first_word", "n_words", "digest", "bands")
     first = F.min(F.struct("doc_id", "start", "length")).alias("first")
     nodes = parts.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
-    nodes = saved(nodes)
+    nodes = written(nodes, "nodes")
     met = minhash.meetings(nodes.select(F.col("digest").alias("node"), F.lit(0).alias("sign"), "bands"))
     nodes = nodes.drop("bands")
     groups = saved(bucket_components(met, texts=_texts(named, nodes), alike=alike)).withColumnRenamed("node", "digest")
@@ -312,6 +314,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     and null texts have no words. A null doc_id comes before others. Rows that repeat an id are one document.
     """
     named = only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col))
-    rows = saved(named.mapInArrow(partial(_documents, min_words), DOCUMENT))
+    rows = written(named.mapInArrow(partial(_documents, min_words), DOCUMENT), "paragraphs")
     whole = saved(repeated_paragraphs(named, rows).distinct())
     return whole.unionByName(repeated_passages(named, rows, whole).distinct())
