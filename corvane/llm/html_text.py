@@ -1,17 +1,23 @@
 """Main text of web pages from the standard library's parser events.
 
-The parser's events make lines: one for each block of the page, with its characters of text and its
-tags. The text-to-tag ratio of the lines is smoothed with a Gaussian, and lines are clustered into
-content and the rest by a threshold. Lines inside of elements that never hold the article (menus,
-forms, scripts, adverts and so on, by tag, role or class) cut the page into regions; a region counts
-as content by its best line, so that its short paragraphs and headings stay with it.
+The parser's events make lines: one for each block of the page, with its characters of text outside of
+links, and its tags. Containers cut the lines into regions. The text-to-tag ratio of the lines is
+smoothed with a Gaussian within their region, and a region counts by its best line, so that short paragraphs
+and headings stay with it. A threshold on the regions' ratios, from the spread of all lines of the page, parts content
+from the rest.
+
+What a page says of its parts weighs its regions before the threshold: an article raises them, an element that is no
+article by its name, role or class lowers them. Neither settles a region alone, and an element that
+holds most of the page's text is no menu whatever it is called.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +28,20 @@ from corvane.llm.common import only, text_of
 
 # HTML's element names by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
-    "figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section "
-    "summary table tbody td tfoot th thead title tr ul".split()
+CONTAINERS = frozenset(
+    "article aside body center details dialog dir div dl fieldset footer form head header html main menu nav ol section table ul".split()
+)
+BLOCK = CONTAINERS | frozenset(
+    "address blockquote caption dd dt figcaption figure h1 h2 h3 h4 h5 h6 hr legend li option p pre summary "
+    "tbody td tfoot th thead title tr".split()
 )
 SPACED = frozenset("br img input".split())
-NEVER = frozenset(
-    "aside audio button canvas datalist dialog embed footer form head iframe map math menu nav noscript object "
-    "script select style svg template textarea title video".split()
+UNREAD = frozenset(
+    "audio button canvas datalist embed head iframe map math noscript object script select style svg template "
+    "textarea title video".split()
 )
+APART = frozenset("aside dialog footer form menu nav".split())
+ARTICLE = frozenset("article main".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs comment "
@@ -42,22 +52,31 @@ MARKS = frozenset(
 )
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 
-#: Standard deviation of the Gaussian, in lines, and the part of the ratios' own that content reaches.
+#: Standard deviation of the Gaussian, in lines; and of the lines' ratios, the part that content reaches.
 SIGMA = 1.0
 THRESHOLD = 0.5
+#: Weights of regions: in an article, apart from it by its name, and elsewhere on a page with an article at least.
+IN_ARTICLE, NAMED_APART, BESIDE = 8.0, 1 / 64, 1 / 8
+#: Characters a tag, so weighed, that are enough in an article, so that its short parts stay beside its long ones; and
+#: that what is named apart has to reach at least.
+ENOUGH = 12.0
+#: Parts of the page's text from which on an element is not apart from it: by its class or role, by its tag.
+MOST, NEARLY_ALL = 0.5, 0.9
 _WORDS = re.compile(r"[^0-9a-z]+")
 
 
-def _is_noise(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-    """inside: within an article, whose own header belongs to it."""
-    if tag in NEVER or (tag == "header" and not inside):
+def is_apart(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+    """Whether an element says that it is no part of the article. inside: within an article, whose own header belongs to it."""
+    if tag in APART or (tag == "header" and not inside):
         return True
+    if tag in ARTICLE or tag in ("html", "body"):
+        return False
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         if not value:
             continue
-        if name in ("class", "id") and tag not in ("html", "body", "main"):
+        if name in ("class", "id"):
             low = value.lower()
             if not MARKS.isdisjoint(low.split()) or not MARKS.isdisjoint(_WORDS.split(low)):
                 return True
@@ -66,58 +85,89 @@ def _is_noise(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bo
     return False
 
 
+class Line(NamedTuple):
+    text: str
+    chars: int
+    tags: int
+    region: int
+    article: bool
+    apart: int
+
+
+class Open(NamedTuple):
+    tag: str
+    apart: int
+    unread: bool
+    article: bool
+    link: bool
+
+
 class Lines(HTMLParser):
-    """Collects a page's lines: text, tags, whether noise came before it, and the article it is in."""
+    """Collects a page's lines: text, characters outside of links, tags, region, whether in an article, and the
+    innermost element around it that is named apart, if any. ``apart`` has for each of those the next
+    one around it and its tag."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.stack: list[tuple[str, bool]] = []
-        self.noise = self.articles = self.article = self.region = self.tags = 0
+        self.lines: list[Line] = []
+        self.stack: list[Open] = []
+        self.blocks: list[int] = []
+        self.open: Counter[str] = Counter()
+        self.apart: list[tuple[int, str]] = []
+        self.unread = self.links = self.articles = self.any_article = self.region = self.tags = self.linked = 0
         self.parts: list[str] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split()) if self.parts else ""
-        self.parts.clear()
         if text:
-            self.lines.append((text, max(1, self.tags), self.region, self.article))
+            chars = max(0, len(text) - self.linked)
+            inner = self.stack[-1].apart if self.stack else -1
+            self.lines.append(Line(text, chars, max(1, self.tags), self.region, self.articles > 0, inner))
             self.tags = 0
+        self.parts.clear()
+        self.linked = 0
 
     def pop_to(self, at: int) -> None:
-        for tag, noisy in self.stack[at:]:
-            self.noise -= noisy
-            if tag == "article":
-                self.article = 0
+        for one in self.stack[at:]:
+            self.open[one.tag] -= 1
+            self.unread -= one.unread
+            self.articles -= one.article
+            self.links -= one.link
         del self.stack[at:]
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.flush()
-            for at in range(len(self.stack) - 1, -1, -1):
-                name = self.stack[at][0]
-                if tag in CLOSED_BY.get(name, ()):
-                    self.pop_to(at)
-                    break
-                if name in BLOCK and not (name == "head" and tag == "body"):
-                    break
-                if name == "head":
+            while self.blocks:
+                at = self.blocks[-1]
+                name = self.stack[at].tag
+                if name == "head" or tag in CLOSED_BY.get(name, ()):
                     self.pop_to(at)
+                else:
                     break
         elif tag in SPACED:
             self.parts.append(" ")
         self.tags += 1
         if tag in VOID:
             return
-        noisy = _is_noise(tag, attrs, self.article > 0)
-        if noisy:
+        apart = self.stack[-1].apart if self.stack else -1
+        if is_apart(tag, attrs, self.articles > 0):
             self.flush()
-            self.noise += 1
+            self.apart.append((apart, tag))
+            apart = len(self.apart) - 1
+        if tag in CONTAINERS:
             self.region += 1
-        elif tag in ("article", "main") and not self.article and not self.noise:
-            self.articles += 1
-            self.article = self.articles
-            tag = "article"
-        self.stack.append((tag, noisy))
+        one = Open(tag, apart, tag in UNREAD, tag in ARTICLE, tag == "a")
+        self.unread += one.unread
+        self.articles += one.article
+        self.any_article |= one.article
+        self.links += one.link
+        self.open[tag] += 1
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(one)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -128,17 +178,22 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.flush()
         self.tags += 1
-        names = ("article", tag) if tag == "main" else (tag,)
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] in names:
-                if any(noisy for _, noisy in self.stack[at:]):
-                    self.flush()
-                self.pop_to(at)
-                return
+        if not self.open[tag]:
+            return
+        at = len(self.stack) - 1
+        while self.stack[at].tag != tag:
+            at -= 1
+        if self.stack[at].apart != (self.stack[at - 1].apart if at else -1):
+            self.flush()
+        self.pop_to(at)
+        if tag in CONTAINERS:
+            self.region += 1
 
     def handle_data(self, data: str) -> None:
-        if not self.noise:
+        if not self.unread:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(" ".join(data.split()))
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -149,28 +204,58 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return total / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
+def names_that_hold(page: Lines) -> np.ndarray:
+    """For each element that is named apart, whether it is: not if it holds most of the text, and the article's if there is one."""
+    whole, articles = np.zeros(len(page.apart) + 1, dtype=np.int64), np.zeros(len(page.apart) + 1, dtype=np.int64)
+    for line in page.lines:
+        whole[line.apart] += len(line.text)
+        articles[line.apart] += len(line.text) if line.article else 0
+    for i in range(len(page.apart) - 1, -1, -1):  # elements come after those around them
+        whole[page.apart[i][0]] += whole[i]
+        articles[page.apart[i][0]] += articles[i]
+    part = np.array([NEARLY_ALL if tag in APART or tag == "header" else MOST for _, tag in page.apart])
+    if articles[-1]:
+        large = articles[:-1] > MOST * articles[-1]
+    else:
+        large = (whole[:-1] > part * whole[-1]) & (not page.any_article)
+    return ~large
+
+
+def content(page: Lines) -> list[str]:
+    """The lines of the regions that count as content."""
+    lines = page.lines
+    holds, named = names_that_hold(page), np.zeros(len(page.apart) + 1, dtype=bool)
+    for i, (around, _) in enumerate(page.apart):
+        named[i] = holds[i] or (around >= 0 and named[around])
+    apart = named[[x.apart for x in lines]]
+    article = np.array([x.article for x in lines]) & ~apart
+    chars = np.array([x.chars for x in lines], dtype=float)
+    # a region goes on as long as neither its container nor what is said of it changes
+    labels = [(x.region, a) for x, a in zip(lines, apart.tolist(), strict=True)]
+    bounds = [0, *(i for i in range(1, len(lines)) if labels[i] != labels[i - 1]), len(lines)]
+    ratio = chars / np.array([x.tags for x in lines])
+    beside = np.maximum(BESIDE, np.add.reduceat(chars, bounds[:-1]) / max(1.0, chars[article].sum())) if article.any() else None
+    taken, best = [], np.empty(len(bounds) - 1)
+    for r, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        ratio[a:b] = smoothed(ratio[a:b])
+        weight = NAMED_APART if apart[a] else IN_ARTICLE if article[a] else 1.0 if beside is None else min(1.0, beside[r])
+        ratio[a:b] *= weight
+        best[r] = ratio[a:b].max()
+    limit = THRESHOLD * ratio.std()
+    for r, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        enough = min(limit, ENOUGH) if article[a] else max(limit, ENOUGH) if apart[a] else limit
+        if best[r] > 0 and best[r] >= enough or not apart[a] and best[r] >= best.max():
+            taken += lines[a:b]
+    return [x.text for x in taken]
+
+
 def main_text(html: str) -> str:
     """The blocks of the page's content regions, joined by blank lines; empty if there is no text."""
     page = Lines()
     page.feed(html)
     page.close()
     page.flush()
-    lines = page.lines
-    if not lines:
-        return ""
-    ratio = smoothed(np.array([len(t) / n for t, n, _, _ in lines]))
-    limit = THRESHOLD * ratio.std()
-    if page.articles and any(a for *_, a in lines):
-        lines, ratio = zip(*((x, r) for x, r in zip(lines, ratio.tolist(), strict=True) if x[3]), strict=True)
-        of = [x[3] for x in lines]
-    else:
-        of = [x[2] for x in lines]
-    best: dict[int, float] = {}
-    for region, r in zip(of, ratio, strict=True):
-        best[region] = max(best.get(region, 0.0), r)
-    top = max(best.values())
-    content = {region for region, r in best.items() if r >= min(limit, top)}
-    return "\n\n".join(x[0] for x, region in zip(lines, of, strict=True) if region in content)
+    return "\n\n".join(content(page)) if page.lines else ""
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,13 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import only, saved, shared_path, text_of
+from corvane.llm.common import only, saved, shared_path, small, text_of
 
 RATIO = 0.2
-#: Pages that must contain a line before it can be boilerplate.
-MIN_PAGES = 5
-#: Hosts up to which their lists are broadcast.
-BROADCAST_HOSTS = 1_000
+#: Pages that must contain a line before it can be boilerplate: on a page alone it repeats nothing.
+MIN_PAGES = 2
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 #: Elements without readable text, and comments; one that is not closed goes on to the end.
@@ -28,7 +26,8 @@ UNSEEN = (
     r"|noscript\b.*?(?:</noscript\s*>|\z)|template\b.*?(?:</template\s*>|\z)|!--.*?(?:-->|\z))"
 )
 INLINE = r"(?i)</?(?:a|abbr|b|bdi|bdo|cite|code|em|font|i|kbd|mark|q|s|samp|small|span|strong|sub|sup|tt|u|var)(?:\s[^>]*)?>"
-TAGS = r" *(?:<[A-Za-z/!?][^>]*> *)+"
+#: One tag; no group repeats, so a page of any number of tags in a row takes no stack.
+TAG = r"<[A-Za-z/!?][^>]*>"
 # The references that HTML needs for its own signs; the ampersand is last.
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
@@ -41,7 +40,7 @@ def host_of(url: Column) -> Column:
 def lines_of(html: Column) -> Column:
     """The page's lines, trimmed, white space in them made one space, empty ones left out."""
     text = F.regexp_replace(F.regexp_replace(html, UNSEEN, "<p>"), r"[\x09-\x0D]+", " ")
-    text = F.regexp_replace(F.regexp_replace(text, INLINE, ""), TAGS, "\n")
+    text = F.regexp_replace(F.regexp_replace(text, INLINE, ""), TAG, "\n")
     for name, sign in REFERENCES:
         text = F.replace(text, F.lit(name), F.lit(sign))
     lines = F.transform(F.split(F.regexp_replace(text, r" {2,}", " "), "\n"), lambda line: F.trim(line))
@@ -68,7 +67,7 @@ def without_boilerplate(
     """One row a page: page_id, host, n_lines, n_dropped, text (the lines that stay, one a line).
 
     A null or empty page has no lines. Pages whose url is null or has no host are one site. Repeated
-    rows are pages of their own. Hosts with fewer than ``min_pages`` pages lose nothing.
+    rows are pages of their own. A line on fewer than ``min_pages`` pages stays.
     """
     rows = only(
         pages, page_id=F.col(id_col), host=host_of(F.col(url_col)), lines=lines_of(text_of(html_col))
@@ -78,7 +77,9 @@ def without_boilerplate(
     rows.write.parquet(path)
     rows = pages.sparkSession.read.parquet(path)
     common = saved(boilerplate(rows, ratio, min_pages))
-    lists = F.broadcast(common) if common.count() <= BROADCAST_HOSTS else common
+    # the bytes of the lists, as texts of 64
+    bytes_of = F.aggregate("common", F.lit(0).cast("long"), lambda n, line: n + 64 + F.octet_length(line))
+    lists = small(common, (bytes_of / 64).cast("long"))
     stay = F.filter("lines", lambda line: ~F.array_contains("common", line))
     kept = F.when(F.col("common").isNull(), F.col("lines")).otherwise(stay)
     return (
@@ -110,7 +111,7 @@ WITH a AS (
            regexp_replace(regexp_replace(coalesce(html, ''), {_sql(UNSEEN)}, '<p>', 'g'), '[\x09-\x0D]+', ' ', 'g') AS t
     FROM pages
 ), b AS (
-    SELECT page_id, host, regexp_replace(regexp_replace(t, {_sql(INLINE)}, '', 'g'), {_sql(TAGS)}, chr(10), 'g') AS t FROM a
+    SELECT page_id, host, regexp_replace(regexp_replace(t, {_sql(INLINE)}, '', 'g'), {_sql(TAG)}, chr(10), 'g') AS t FROM a
 ), c AS (
     SELECT page_id, host, regexp_replace({_references("t")}, ' {{2,}}', ' ', 'g') AS t FROM b
 ), p AS (

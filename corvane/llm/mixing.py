@@ -4,35 +4,57 @@ Every document draws the key -ln(u) / quality, with u from its id and text, so t
 A source whose target is more than its size is taken whole as often as it fits; what is left of the
 target goes to its documents in ascending order of the key until the words are used up.
 
-The running sum over a source runs in two levels, as one source may hold most rows: the keys of a
-source are cut into buckets, sums by bucket give each bucket's start, and a window within the bucket
-gives the rest. The number of buckets follows the number of rows, so a window stays small.
+The running sum over a source runs in two levels, as one source may hold most rows: the rows are
+partitioned by ranges of source and key of about equal size, sums by range give each range's start, and a
+window within the range gives the rest.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD, only, power_of_two, saved, text_of
+from corvane.llm.common import SPACE, WORD, only, packed, saved, small, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_EPOCHS = 2.0
-#: Rows of a source that one window should hold, about.
-BUCKET_ROWS = 4096
-#: Sources up to which their table is broadcast; it has one row a source.
-BROADCAST_SOURCES = 10_000
+#: Rows of a range, about.
+BUCKET_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def letter_share(text: Column) -> Column:
-    """Quality of a text in [0.1, 1]: the share of its bytes that digits, marks and signs leave to letters."""
-    marks = F.regexp_count(text, F.lit(r"[\x21-\x40\x5B-\x60\x7B-\x7E]+"))
-    return F.greatest(F.lit(0.1), 1 - 4 * marks / F.greatest(F.length(text), F.lit(1)))
+def quality(text: Column) -> Column:
+    """Quality of a text in [0.1, 1]: a product of five shares, each 1 for ordinary prose.
+
+    Bytes that are marks or digits, words in capitals, words far from the usual length, and lines that
+    repeat within the text take from it.
+    """
+    chars, words = F.greatest(F.length(text), F.lit(1)), F.greatest(F.size(F.split(text, f"{SPACE}+")), F.lit(1))
+    lines = F.split(text, "\n")
+    marks = F.regexp_count(text, F.lit(r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"))
+    digits = F.regexp_count(text, F.lit(r"[0-9]"))
+    capitals = F.regexp_count(text, F.lit(r"\b[A-Z]{2,}\b"))
+    length = chars / words
+
+    def beyond(value: Column, usual: float, none: float) -> Column:
+        """1 up to the usual value, falling to 0 at another."""
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (none - value) / (none - usual)))
+
+    shares = (
+        beyond(marks / chars, 0.05, 0.3),
+        beyond(digits / chars, 0.05, 0.4),
+        beyond(capitals / words, 0.1, 1.0),
+        F.least(beyond(length, 12.0, 40.0), F.least(F.lit(1.0), length / 3)),
+        F.size(F.array_distinct(lines)) / F.size(lines),
+    )
+    return F.greatest(F.lit(0.1), reduce(mul, shares))
 
 
 def targets(
@@ -44,7 +66,7 @@ def targets(
     ``most`` times the source's size and the excess goes to the others by weight: sources in the
     order of cap / weight are capped as long as the level that the others reach is above theirs;
     past the first that is not, that level only falls.
-    The windows hold one row a source.
+    The windows hold one row a source, so one task takes as many rows as there are sources.
     """
     own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     all_words = F.sum("source_size").over(Window.partitionBy())
@@ -67,7 +89,7 @@ def targets(
 
 
 def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, and the sampling key mapped to [0, 1), ascending as the key does."""
+    """doc_id, source, size, the sampling key mapped to [0, 1), ascending as the key does, and a hash of the text."""
     text = text_of(text_col)
     named = only(docs, doc_id=F.col(id_col), source=F.col(source_col), text=text)
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) + 1).cast("double") / float(1 << 53)
@@ -75,7 +97,8 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
         "doc_id",
         "source",
         word_count(F.col("text")).alias("size"),
-        (1 - F.pow(u, 1 / letter_share(F.col("text")))).alias("key"),
+        (1 - F.pow(u, 1 / quality(F.col("text")))).alias("key"),
+        F.xxhash64("text").alias("text_hash"),
     )
 
 
@@ -88,7 +111,7 @@ def mix(
     share: float = SHARE,
     most: float = MOST_EPOCHS,
 ) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken, epochs, copies.
+    """One row a document: doc_id, size, source_size, target, taken, epochs, copies, source, text_hash.
 
     ``taken`` counts words with repeats; the document at which the fractional part ends gives its
     first words only, so a source's taken words differ from its target by less than one. ``copies``
@@ -97,11 +120,11 @@ def mix(
     source is a source of its own. Repeated rows are documents of their own.
     """
     rows = saved(sampled(docs, id_col, text_col, source_col))
-    n_rows = rows.count()
-    n_buckets = power_of_two(max(64, n_rows // BUCKET_ROWS))
-    rows = rows.withColumn("bucket", F.floor(F.col("key") * n_buckets).cast("int"))
+    ranges = -(-rows.count() // BUCKET_ROWS) or 1
+    # ranges of equal numbers of rows, whatever the keys' distribution: whole sources, or parts of large ones
+    rows = rows.repartitionByRange(ranges, "source", "key", "doc_id").withColumn("bucket", F.spark_partition_id())
+    rows = saved(rows)
     by_source = saved(targets(rows, weights, share, most))
-    few = by_source.count() <= BROADCAST_SOURCES
 
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,13 +135,12 @@ def mix(
     starts = starts.alias("s")
     same = (F.col("r.source").eqNullSafe(F.col("s.source"))) & (F.col("r.bucket") == F.col("s.bucket"))
     placed = placed.join(starts, same).select("r.*", (F.col("within") + F.col("start")).alias("before")).alias("p")
-    small = F.broadcast(by_source) if few else by_source
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     return (
-        placed.join(small.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
-        .select("doc_id", "size", "source_size", "target", "before", whole.alias("epochs"))
+        placed.join(small(by_source).alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
+        .select("doc_id", "p.source", "text_hash", "size", "source_size", "target", "before", whole.alias("epochs"))
         .withColumn("rest", rest)
         .withColumn("part", part.cast("long"))
         .select(
@@ -129,6 +151,8 @@ def mix(
             (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
             "epochs",
             (F.col("epochs") + ((F.col("part") * 2 >= F.col("size")) & (F.col("size") > 0)).cast("long")).alias("copies"),
+            "source",
+            "text_hash",
         )
     )
 
@@ -136,10 +160,13 @@ def mix(
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix, each repeated as often as it is taken, with all columns of ``docs``.
 
-    An id that several rows share counts by its most taken row; documents without an id or words go.
+    Rows that share id, text and source count by their most taken one; documents without words go. A null id
+    is one like any other.
     """
-    taken = mix(docs, id_col, text_col, source_col).filter("copies > 0").groupBy(F.col("doc_id").alias("_mix_id"))
-    taken = taken.agg(F.max("copies").cast("int").alias("_copies"))
-    joined = docs.join(taken, docs[id_col] == F.col("_mix_id"))
-    again = joined.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return again.select(*(again[f"`{c}`"] for c in docs.columns))
+    taken = mix(docs, id_col, text_col, source_col).filter("copies > 0").groupBy("doc_id", "source", "text_hash")
+    taken = saved(taken.agg(F.max("copies").cast("int").alias("copies")))
+    rows, row = packed(docs), F.col("row")
+    same = row[id_col].eqNullSafe(F.col("doc_id")) & row[source_col].eqNullSafe(F.col("source"))
+    joined = rows.join(small(taken), same & (F.xxhash64(text_of(row[text_col])) == F.col("text_hash")))
+    again = joined.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return again.select("row.*")

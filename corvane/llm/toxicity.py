@@ -22,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import only, saved, text_of
+from corvane.llm.common import only, packed, saved, text_of
 
 #: Labelled rows that a fit takes at most; beyond that, a sample by the hash of the id.
 MAX_LABELLED = 24_000
@@ -33,6 +33,8 @@ MIN_TEXTS = 3
 MIN_LOG_ODDS = 3.0
 MIN_DEVIATIONS = 2.2
 REJECT = 0.7
+#: What the trees' own probability adds at most within a step of the calibration.
+TIE = 1e-4
 #: Words to either side in which a word of the second person counts as near.
 NEAR = 4
 
@@ -187,17 +189,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``_toxicity``, its other columns untouched."""
+    """row (all columns of ``docs``) and toxicity: the calibrated value.
+
+    Isotonic calibration gives a step function. Within a step, the trees' own probability orders the
+    texts by ``TIE`` at most, and never moves one over ``REJECT``.
+    """
+    rows = packed(docs)
     if model.trees is None:
-        return docs.withColumn("_toxicity", F.lit(float(model.prior)))
-    ready = docs.withColumn("_tox_features", array_to_vector(features(text_of(F.col(f"`{text_col}`")), model.lexicon)))
-    trees = model.trees.copy().setFeaturesCol("_tox_features").setRawPredictionCol("_tox_raw")
-    trees = trees.setProbabilityCol("_tox_both").setPredictionCol("_tox_class")
-    raw = trees.transform(ready).withColumn("_tox_p", vector_to_array("_tox_both")[1])
-    calibration = model.calibration.copy().setFeaturesCol("_tox_p").setPredictionCol("_tox_iso")
-    # the calibrated value is a step function; a little of the trees' own keeps the order on a step
-    value = 0.98 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_tox_iso"))) + 0.02 * F.col("_tox_p")
-    return calibration.transform(raw).select(*(F.col(f"`{c}`") for c in docs.columns), value.alias("_toxicity"))
+        return rows.withColumn("toxicity", F.lit(float(model.prior)))
+    ready = rows.withColumn("features", array_to_vector(features(text_of(F.col("row")[text_col]), model.lexicon)))
+    raw = model.trees.transform(ready).withColumn("p", vector_to_array("probability")[1]).drop("prediction")
+    step = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))
+    value = (1 - TIE) * step + TIE * F.col("p")
+    side = F.when(step >= REJECT, F.greatest(F.lit(REJECT), value)).otherwise(F.least(F.lit(REJECT - TIE), value))
+    return model.calibration.transform(raw).select("row", side.alias("toxicity"))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,14 +213,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     named = only(docs, doc_id=F.col(id_col), text=text_of(text_col))
     return scored(named, model).select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        F.col("_toxicity").alias("score"),
-        (F.col("_toxicity") >= REJECT).cast("int").alias("predicted"),
+        "row.doc_id",
+        held_out(F.col("row.doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= REJECT).cast("int").alias("predicted"),
     )
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below ``REJECT``, with all their columns."""
-    rows = scored(docs, model, text_col)
-    return rows.filter(rows["_toxicity"] < REJECT).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return scored(docs, model, text_col).filter(F.col("toxicity") < REJECT).select("row.*")

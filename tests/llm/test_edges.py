@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import math
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,6 +86,85 @@ def test_stages_keep_the_columns(spark, stage):
     assert stage(spark, docs(spark, []), "").collect() == []
 
 
+def fitted(spark):
+    texts = [(i, f"you are a fool and an idiot {i} " * 3 if i % 2 else f"a calm sentence of number {i} " * 3) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    return toxicity.fit(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+
+
+def test_fitted_toxicity_of_edges(spark):
+    model = fitted(spark)
+    assert model.trees is not None
+    got = toxicity.score(docs(spark), model).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((r[0] is None, r[0] or 0) for r in ROWS)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= toxicity.REJECT) for r in got)
+    assert len({r.score for r in got if r.doc_id in (3, 4)}) == 1
+    assert toxicity.score(docs(spark, []), model).collect() == []
+    both = spark.createDataFrame([(1, "you fool, you idiot"), (2, "a calm sentence")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score(both, model).collect()} == {1: 1, 2: 0}
+    assert toxicity.accepted(docs(spark), model).columns == DOCS.fieldNames()
+
+
+def features_plainly(text, lexicon):
+    """The features of a text by counting, word by word and letter by letter."""
+    words = [w.strip(toxicity._EDGES) for w in text.lower().split()]
+    n, chars = max(1, len(words)), max(1, len(text.encode()))
+    hits = [i for i, w in enumerate(words) if w in lexicon]
+    you = [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    odd = []
+    for w in text.split():
+        inner = [i for i, c in enumerate(w) if c in "0123456789@$!|*"]
+        runs = [i for i in inner if i - 1 not in inner]
+        if any(i > 0 and w[i - 1].isalpha() and w[i:].lstrip("0123456789@$!|*")[:1].isalpha() for i in runs):
+            odd.append(w.lower().strip(toxicity._EDGES))
+    return [
+        len(hits) / n,
+        sum(lexicon[words[i]] for i in hits) / n,
+        math.log1p(len(hits)),
+        len({words[i] for i in hits}),
+        sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in hits) / n,
+        len(you) / n,
+        sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text) / chars,
+        sum(w.isupper() and len(w) > 2 for w in text.split()) / n,
+        (text.count("!") + text.count("?")) / n,
+        sum(c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for c in text) / chars,
+        len(odd) / n,
+        sum("".join(dict(zip("0134578@$!|", "oieastbasil", strict=True)).get(c, c) for c in w) in lexicon for w in odd) / n,
+        math.log1p(len(words)),
+    ]
+
+
+@pytest.mark.parametrize("text", ["", " \n", "You FOOL, y0u id1ot!! why? a1 1a b@d|y", "x " * 50 + "you are. not a fool", "Ünï ÉÉÉ! 😀 fool fool", "a*b c$ $d e!!f"])
+def test_features(text):
+    lexicon = {"fool": 2.0, "idiot": 3.5, "bad": 1.0}
+    assert toxicity.features_of(text, lexicon) == pytest.approx(features_plainly(text, lexicon))
+
+
+def test_names_that_operators_use(spark):
+    """Columns of the input by the names that operators use for their own are returned as they are."""
+    own = ["row", "own", "node", "stays", "first_id", "bare", "chars", "id", "no_id", "digest", "check", "copies", "again", "text_hash", "features", "p", "prediction", "toxicity", "_id"]
+    rows = [(i, t, "en", s, *[f"{c}{i}" for c in own]) for i, t, s in ((1, "some words", "x"), (2, "other words here", "y"), (None, "third", None))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in own))
+    for name, result in {
+        "exact": exact_dedup.deduplicated(frame),
+        "near": simhash.representatives(frame),
+        "toxic": toxicity.accepted(frame, fitted(spark)),
+    }.items():
+        assert result.columns == frame.columns, name
+        assert {tuple(r) for r in result.collect()} == set(rows), name
+    got = mixing.mixed(frame)
+    assert got.columns == frame.columns
+    assert {tuple(r) for r in got.collect()} <= set(rows)
+
+
+def test_largest_id(spark):
+    last = (1 << 63) - 1
+    frame = spark.createDataFrame([(last, "a text"), (None, "another text"), (1, "a text")], "doc_id long, text string")
+    assert {r.doc_id for r in order_minhash.fingerprints_of_edits(frame).collect()} == {last, None, 1}
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_dedup(frame).collect()} == {(last, 1), (None, None), (1, 1)}
+    assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(frame).collect()} == {(last, 1), (None, None), (1, 1)}
+
+
 def test_toxicity_stage(spark):
     model = toxicity.fit(docs(spark), spark.createDataFrame([(1, 1), (2, None), (None, 1)], "doc_id long, toxic int"))
     assert model.trees is None
@@ -167,6 +249,63 @@ def test_pages(spark):
     assert html_text.extract(pages(spark, [])).collect() == []
 
 
+STORY = "<h1>A title of the story</h1>" + "".join(f"<p>{'A sentence of the story. ' * (5 * i + 1)}</p>" for i in range(5))
+PLAIN_STORY = html_text.main_text(f"<article>{STORY}</article>")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout has-sidebar'><article>{}</article></div>",
+        "<article class='post share-enabled'>{}</article>",
+        "<nav><a href='/'>Home</a> <a href='/n'>News</a><article>{}</article>",
+        "<form><nav><a>Home</a></nav><article>{}</article><footer>Words at the foot of the page</footer></form>",
+        "<div><a>Home</a> <a>News</a> <a>Sport</a></div><div>{}</div>",
+        "<article>{}<ul><li><a>Related one</a></li><li><a>Related two</a></li></ul></article>",
+        "<article>{}<div class='comments'><p>A reader likes this a lot and says so at some length.</p></div></article>",
+        "<div>{}</div><div><span>Log</span><span>in</span> <i>or</i> <b>join</b></div>",
+    ],
+)
+def test_content_of_pages(page):
+    assert html_text.main_text(page.format(STORY)) == PLAIN_STORY
+
+
+def test_content_beside_a_teaser():
+    got = html_text.main_text(f"<article><p>A few words of a teaser.</p></article><div>{STORY}</div>")
+    assert got == f"A few words of a teaser.\n\n{PLAIN_STORY}"
+    assert html_text.main_text("<nav><a>x</a></nav><article></article><footer>Words at the foot of the page.</footer>") == ""
+
+
+def test_short_parts_of_an_article_stay():
+    got = html_text.main_text(f"<article>{STORY}<ul><li>First point</li><li>Second</li></ul><section><h2>Next</h2><p>Done.</p></section></article>")
+    assert got == f"{PLAIN_STORY}\n\nFirst point\n\nSecond\n\nNext\n\nDone."
+
+
+def test_the_method_decides(monkeypatch):
+    """Without the threshold, or without smoothing, other lines are taken: one long line makes no content of a menu."""
+    menu = "<ul><li>One</li><li>Two</li><li>A line of the menu that is somewhat long</li><li>Four</li><li>Five</li></ul>"
+    page = f"<ul>{menu}</ul><div>{STORY}</div>"
+    assert html_text.main_text(page) == PLAIN_STORY
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: 4 * ratios)
+    assert html_text.main_text(page) != PLAIN_STORY
+    monkeypatch.undo()
+    monkeypatch.setattr(html_text, "THRESHOLD", 0.0)
+    assert html_text.main_text(page) != PLAIN_STORY
+
+
+@pytest.mark.parametrize("page", ["<span>" * 20_000 + "</b>" * 20_000, "<span>" * 20_000 + "<p>x</p>" * 20_000, "<div><p>" * 20_000])
+def test_pages_of_many_tags(page):
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_lines_of_many_tags(spark):
+    rows = [(1, "http://a/1", "<div>" * 100_000 + "x" + "</div>" * 100_000), (2, "http://a/2", "y<!-- open " + "<p>z" * 50_000), (3, "http://a/3", "<" * 100_000)]
+    got = {r.page_id: r for r in line_dedup.without_boilerplate(pages(spark, rows)).collect()}
+    assert (got[1].text, got[2].text) == ("x", "y")
+
+
 def test_archives(spark):
     got = warc.round_trip(spark, pages(spark)).collect()
     found = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to) for r in got)

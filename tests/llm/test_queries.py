@@ -1,5 +1,6 @@
 """The registered queries on the given tables, against SQL or a brute-force version."""
 
+import bisect
 import collections
 import hashlib
 import html
@@ -10,10 +11,13 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from corvane.llm import order_minhash, packing, paragraph_dedup, simhash, toxicity
+import corpus_pipeline
+from corvane.llm import mixing, order_minhash, packing, paragraph_dedup, simhash, toxicity
+from corvane.llm.common import saved
 from corvane.llm.queries import tokenizer_path
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -73,12 +77,15 @@ def order_minhash_of(text):
         h = spark_hash(*words[i : i + order_minhash.K]) & mask
         kmers.append((h if not seen[h] else spark_hash(h, np.int32(seen[h])) & mask, i))
         seen[h] += 1
-    kmers.sort()
     out = []
-    for b in range(order_minhash.PERMUTATIONS):
-        least = sorted(kmers, key=lambda k: (k[0] - b * ((mask + 1) // order_minhash.PERMUTATIONS)) % (mask + 1))
-        chosen = sorted(least[: order_minhash.TUPLE], key=lambda k: (k[1], k[0]))
-        out.append(f"{spark_hash(*(k[0] for k in chosen)):016x}"[8:])
+    turns = order_minhash.PERMUTATIONS // order_minhash.ORDERS
+    for factor in order_minhash.FACTORS:
+        own = sorted(((k * factor) & mask, i) for k, i in kmers)
+        for b in range(turns):
+            at = bisect.bisect_left(own, (b * ((mask + 1) // turns), 0))
+            least = (own[at:] + own[:at])[: order_minhash.TUPLE]
+            chosen = sorted(least, key=lambda k: (k[1], k[0]))
+            out.append(f"{spark_hash(*(k[0] for k in chosen)):016x}"[8:])
     return out
 
 
@@ -93,16 +100,13 @@ def test_order_minhash(spark):
         row = got.loc[doc_id]
         assert row.n_chars == len(text)
         assert row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        prints[i] = order_minhash_of(text) if len(text) < 8000 else None
-        if prints[i]:
-            other = order_minhash_of(edited)
-            assert row.fingerprint == "".join(prints[i])
-            assert row.edited_fingerprint == "".join(other)
-            assert row.near_edited == sum(a == b for a, b in zip(prints[i], other, strict=True)) / len(other)
+        prints[i], other = order_minhash_of(text), order_minhash_of(edited)
+        assert row.fingerprint == "".join(prints[i])
+        assert row.edited_fingerprint == "".join(other)
+        assert row.near_edited == sum(a == b for a, b in zip(prints[i], other, strict=True)) / len(other)
     for i, doc_id in enumerate(r[0] for r in rows):
-        if prints[i] and prints.get((i + 1) % len(rows)):
-            same = sum(a == b for a, b in zip(prints[i], prints[(i + 1) % len(rows)], strict=True))
-            assert got.loc[doc_id].near_next == same / len(prints[i])
+        same = sum(a == b for a, b in zip(prints[i], prints[(i + 1) % len(rows)], strict=True))
+        assert got.loc[doc_id].near_next == same / len(prints[i])
     assert got.near_edited.mean() > 0.05 > got.near_next.mean()
 
 
@@ -329,6 +333,48 @@ def test_near_copies_that_differ_in_a_block(spark):
 
 
 def test_pipeline(spark):
+    """What each stage keeps of what it is given, and the rows of the whole."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    given, kept = docs.toPandas(), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = saved(stage(spark, docs, MIDDLE))
+        kept[name] = docs.toPandas()
+        assert list(kept[name].columns) == list(given.columns)
+    ids = {name: set(x.doc_id) for name, x in kept.items()}
+    labels = duckdb.sql(f"SELECT doc_id, toxic FROM '{MIDDLE}/labels.parquet'").df()
+    toxic, clean = set(labels[labels.toxic == 1].doc_id), set(labels[labels.toxic == 0].doc_id)
+    assert len(toxic & ids["toxicity"]) < 0.5 * len(toxic)
+    assert len(clean & ids["toxicity"]) > 0.98 * len(clean)
+    bare = lambda frame: frame.text.fillna("").map(lambda t: "".join(t.encode().decode("utf-8").split()))
+    before = kept["toxicity"].assign(bare=bare(kept["toxicity"]), n=kept["toxicity"].text.fillna("").str.len())
+    best = before.sort_values(["n", "doc_id"], ascending=[False, True]).drop_duplicates("bare")
+    assert ids["exact_dedup"] == set(best.doc_id)
+    rows = kept["exact_dedup"].sort_values("doc_id")
+    made = list(zip(rows.doc_id, rows.text.fillna(""), strict=True))
+    sets, holders, groups = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in made], collections.defaultdict(list), Groups(len(made))
+    for i, s in enumerate(sets):
+        for shingle in s or {0}:
+            holders[shingle].append(i)
+    for a, b in {(a, b) for v in holders.values() for a in v for b in v if a < b}:
+        shared = len(sets[a] & sets[b])
+        if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
+            groups.join(a, b)
+    assert ids["simhash"] == {made[groups.find(i)][0] for i in range(len(made))}
+    mix = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(kept["simhash"])).collect() if r.copies}
+    assert collections.Counter(kept["mixing"].doc_id.tolist()) == mix
     got = query(spark, "pipeline", MIDDLE)
     assert got.groupby("sequence_id").length.sum().max() <= 2048
-    assert set(got.doc_id) <= {r[0] for r in documents(MIDDLE)}
+    whole = got[got.start == 0].doc_id.tolist()
+    assert collections.Counter(whole) == mix
+    assert got.groupby("doc_id").length.sum().to_dict() == {r.doc_id: r.doc_tokens * mix[r.doc_id] for r in got.itertuples()}
+
+
+def test_ranges_of_the_mix(spark):
+    """A twentieth of the rows of low quality does not fill one range."""
+    rows = [(i, "9 8 7 6 % $ # @ !" if i % 20 == 0 else "plain words of a usual text here", "s") for i in range(60_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = mixing.sampled(frame)
+    sizes = keys.repartitionByRange(12, "source", "key", "doc_id").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert sizes.max() < 2 * 60_000 / 12
+    got = mixing.mix(frame).agg(F.sum("taken"), F.first("target")).first()
+    assert 0 <= got[1] - got[0] < 1
