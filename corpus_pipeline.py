@@ -11,13 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import exact_dedup, mixing, packing, simhash, toxicity
-from corvane.llm.common import shared_path, ship
+from corvane.llm.common import removed, shared_path
 from corvane.llm.queries import tokenizer_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fits on the labelled documents among ``docs`` and rejects scores from ``toxicity.REJECT`` on."""
-    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.accepted(docs, toxicity.fit(docs, labels))
 
@@ -56,11 +55,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all sequences that the documents of ``sf_dir`` make."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
