@@ -48,7 +48,8 @@ DOCUMENT = (
     "doc_id long, starts array<long>, lengths array<long>, first_words array<int>, sizes array<int>, "
     "digests array<binary>, bands array<array<long>>, pieces array<long>, places array<int>"
 )
-CUT = "doc_id long, a int, b int, digest binary, before array<int>, after array<int>, starts array<int>, ends array<int>"
+#: keep_a is null where the island is what another one keeps.
+CUT = "doc_id long, a int, b int, keep_id long, keep_a int, n long, digest binary, before array<int>, after array<int>, starts array<int>, ends array<int>"
 RESULT = ["doc_id", "kind", "start", "length", "first_word", "n_words", "keep_doc_id", "keep_start", "group_size"]
 
 _WORD = re.compile(WORD)
@@ -168,26 +169,28 @@ def _documents(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest and text of a paragraph to its set of shingles; texts of another document with that id are passed over."""
+    """(text, spans of paragraphs [start, start + length)) to the digest of each paragraph and its set of shingles."""
     for batch in batches:
-        words, counts = words_of(batch.column(1))
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        words, counts = words_of(pa.array([t[s["start"] : s["start"] + s["length"]] for t, spans in rows for s in spans], pa.string()))
         shingles, at = shingles_of(words), _offsets(counts)
-        right = [x == y for x, y in zip(_digests(words, counts), batch.column(0).to_pylist(), strict=True)]
-        sets = [np.unique(shingles[i : i + n - WIDTH + 1]).view(np.int64) for i, n, ok in zip(at, counts, right, strict=True) if ok]
-        columns = [batch.column(0).filter(pa.array(right, pa.bool_())), pa.array(sets, pa.list_(pa.int64()))]
+        sets = [np.unique(shingles[i : i + max(0, n - WIDTH + 1)]).view(np.int64) for i, n in zip(at, counts, strict=True)]
+        columns = [pa.array(_digests(words, counts), pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, ["node", "body"])
 
 
 def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, text, spans of words [a, b)) each span's digest, and on both sides 32 bits of each word and its offset."""
+    """Of (doc_id, text, islands) each island [a, b) of words with its digest, and on both sides 32 bits of each word and its offset."""
     hashed = xxhash.xxh32_intdigest
     names = [c.strip().split()[0] for c in CUT.split(",")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), *[pa.list_(pa.int32())] * 4]
     for batch in batches:
-        for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc_id, text, islands in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             low = text.encode("utf-8", "replace").lower().decode()
             at = [m.span() for m in _WORD.finditer(low)]
             found = []
-            for a, b in sorted((s["a"], s["b"]) for s in spans):
+            for island in islands:
+                a, b = island["a"], island["b"]
                 if b > len(at):
                     continue
                 words = [low[x:y] for x, y in at[max(0, a - REACH) : b + REACH]]
@@ -196,9 +199,9 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before, after = ([hashed(w) - (1 << 31) for w in x] for x in (words[:left][::-1], words[left + b - a :]))
                 starts = [at[i][0] for i in range(a, a - left - 1, -1)]
                 ends = [at[i][1] for i in range(b - 1, b + len(after))]
-                found.append((doc_id, a, b, xxhash.xxh3_128_digest(middle), before, after, starts, ends))
+                of = (doc_id, a, b, island["keep_id"], island["keep_a"], island["n"])
+                found.append((*of, xxhash.xxh3_128_digest(middle), before, after, starts, ends))
             if found:
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int32())] * 4]
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -235,30 +238,32 @@ def repeated_passages(named: DataFrame, rows: DataFrame, paragraphs: DataFrame)
     islands = numbered.groupBy("doc_id", "keep_id", "shift", "island").agg(
         F.min("at").alias("a"), (F.max("at") + PIECE_WORDS).alias("b"), F.max("n").alias("n")
     )
-    islands = islands.withColumns({"keep_a": F.col("a") + F.col("shift"), "keep_b": F.col("b") + F.col("shift")})
     removed = paragraphs.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("removed"))
     inside = F.expr("exists(removed, x -> x.first_word <= i.a and i.b <= x.first_word + x.n_words)")
-    islands = islands.drop("shift", "island").alias("i").join(removed.alias("r"), F.expr("i.doc_id <=> r.doc_id"), "left")
+    islands = islands.withColumn("keep_a", F.col("a") + F.col("shift")).drop("shift", "island").alias("i")
+    islands = islands.join(removed.alias("r"), F.expr("i.doc_id <=> r.doc_id"), "left")
     islands = saved(islands.filter(~F.coalesce(inside, F.lit(False))).select("i.*"))
-    asked = islands.select("doc_id", "a", "b").unionByName(
-        islands.select(F.col("keep_id").alias("doc_id"), F.col("keep_a").alias("a"), F.col("keep_b").alias("b"))
+    kept = islands.select("keep_id", "keep_a", (F.col("keep_a") + F.col("b") - F.col("a")).alias("keep_b")).distinct()
+    nothing = [F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("int").alias("keep_a"), F.lit(None).cast("long").alias("n")]
+    asked = islands.select("doc_id", "a", "b", "keep_id", "keep_a", "n").unionByName(
+        kept.select(F.col("keep_id").alias("doc_id"), F.col("keep_a").alias("a"), F.col("keep_b").alias("b"), *nothing)
     )
-    asked = saved(asked.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
-    ids = asked.select(F.col("doc_id").alias("id"))
+    asked = saved(asked.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("a", "b", "keep_id", "keep_a", "n")).alias("islands")))
+    ids = asked.select("id")
     texts = named.join(small(ids), _same(named, ids, doc_id="id"), "left_semi")
-    found = texts.join(asked.withColumnRenamed("doc_id", "id"), F.expr("doc_id <=> id")).select("doc_id", "text", "spans")
-    cuts = written(found.mapInArrow(_cuts, CUT), "cuts")
-    mine, other = cuts.alias("m"), cuts.alias("o")
-    both = islands.alias("i").join(
-        mine, F.expr("i.doc_id <=> m.doc_id and i.a = m.a and i.b = m.b")
-    ).join(other, F.expr("i.keep_id <=> o.doc_id and i.keep_a = o.a and i.keep_b = o.b and m.digest = o.digest"))
-    grown = both.withColumns({"left": _common("m.before", "o.before"), "right": _common("m.after", "o.after")})
-    start = F.get("m.starts", F.col("left"))
+    cuts = texts.join(asked, F.expr("doc_id <=> id")).select("doc_id", "text", "islands").mapInArrow(_cuts, CUT)
+    cuts = written(cuts, "cuts")
+    other = cuts.filter("keep_a is null").drop("keep_id", "keep_a", "n", "ends").alias("o")
+    both = cuts.filter("keep_a is not null").alias("i").join(
+        other, F.expr("i.keep_id <=> o.doc_id and i.keep_a = o.a and i.b - i.a = o.b - o.a and i.digest = o.digest")
+    )
+    grown = both.withColumns({"left": _common("i.before", "o.before"), "right": _common("i.after", "o.after")})
+    start = F.get("i.starts", F.col("left"))
     return grown.select(
         F.col("i.doc_id").alias("doc_id"),
         F.lit("passage").alias("kind"),
         start.cast("long").alias("start"),
-        (F.get("m.ends", F.col("right")) - start).cast("long").alias("length"),
+        (F.get("i.ends", F.col("right")) - start).cast("long").alias("length"),
         (F.col("i.a") - F.col("left")).alias("first_word"),
         (F.col("i.b") - F.col("i.a") + F.col("left") + F.col("right")).alias("n_words"),
         F.col("i.keep_id").alias("keep_doc_id"),
@@ -271,10 +276,11 @@ def _texts(named: DataFrame, nodes: DataFrame) -> Callable[[DataFrame], DataFram
     """A function from paragraphs (node: the digest) to their shingles, by the first document that has them."""
 
     def texts(ids: DataFrame) -> DataFrame:
-        wanted = saved(ids.withColumnRenamed("node", "digest").join(nodes, "digest").select("digest", "first.*"))
-        found = named.join(small(wanted), _same(named, wanted, doc_id="doc_id"))
-        pieces = found.select("digest", F.expr("substring(text, cast(start as int) + 1, cast(length as int))").alias("piece"))
-        return saved(pieces.mapInArrow(_sets, "node binary, body array<long>").dropDuplicates(["node"]))
+        wanted = ids.withColumnRenamed("node", "digest").join(nodes, "digest").select("first.*")
+        wanted = wanted.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+        wanted = saved(wanted)
+        found = named.join(small(wanted, F.size("spans")), _same(named, wanted, doc_id="id")).select("text", "spans")
+        return saved(found.mapInArrow(_sets, "node binary, body array<long>").dropDuplicates(["node"]))
 
     return texts
 
