@@ -283,10 +283,10 @@ def test_short_parts_of_an_article_stay():
 
 def test_the_method_decides(monkeypatch):
     """Without the threshold, or without smoothing, other lines are taken: one long line makes no content of a menu."""
-    menu = "<ul><li>One</li><li>Two</li><li>A line of the menu that is somewhat long</li><li>Four</li><li>Five</li></ul>"
+    menu = f"<ul><li>One</li><li>Two</li><li>{'A line of the menu. ' * 8}</li><li>Four</li><li>Five</li></ul>"
     page = f"<ul>{menu}</ul><div>{STORY}</div>"
     assert html_text.main_text(page) == PLAIN_STORY
-    monkeypatch.setattr(html_text, "smoothed", lambda ratios: 4 * ratios)
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: ratios)
     assert html_text.main_text(page) != PLAIN_STORY
     monkeypatch.undo()
     monkeypatch.setattr(html_text, "THRESHOLD", 0.0)
