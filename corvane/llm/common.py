@@ -21,7 +21,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes up to which a table is broadcast, by its counted rows and the kinds of its columns.
 BROADCAST_BYTES = 16 << 20
 #: Bytes of the texts that a worker takes at once, about; a single text is never cut.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: Rows that an Arrow batch has at most: rows hold whole texts, and each task holds a batch or two beside the heap.
+ARROW_ROWS = "1000"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -92,15 +94,16 @@ def batches_of(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int,
 
 def packed(df: DataFrame) -> DataFrame:
     """Each row as one struct, row, so that its columns never clash with an operator's own."""
+    ready(df.sparkSession)
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
 
 
 def only(df: DataFrame, **columns: Column | str) -> DataFrame:
     """The named columns alone, so that further columns of the input never clash with an operator's own.
 
-    Every operator begins here, so this also sends the package to the executors.
+    Every operator begins here or with ``packed``, so the session is made ready by the way.
     """
-    ship(df.sparkSession)
+    ready(df.sparkSession)
     return df.select(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()))
 
 
@@ -109,8 +112,9 @@ def text_of(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session, so that it need not be installed there."""
+def ready(spark: SparkSession) -> None:
+    """Bounds the rows of Arrow batches, and sends this package to the executors, once a session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     context = spark.sparkContext
     if getattr(context, "_corvane_shipped", False):
         return
