@@ -112,6 +112,11 @@ def bucket_components(
     mixed = saved(known.join(main.filter("several").select("key", "main"), "key"))
     rest = mixed.withColumn("body", F.lit(0))
     if texts and alike:
+        if close:
+            # texts are fetched only of members that fit one of another component; no pair leaves this join
+            other = mixed.select(F.col("key").alias("at"), F.col("sign").alias("signed"), F.col("own").alias("part"))
+            fit = (F.col("at") == F.col("key")) & (F.col("part") != F.col("own")) & close(F.col("signed"), F.col("sign"))
+            mixed = saved(mixed.join(other, fit, "left_semi"))
         rest = mixed.join(texts(mixed.select("node").distinct()), "node")
     rest = saved(rest.select("key", "node", "sign", "own", "main", "body"))
     apart = rest.filter("own <> main").select(

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bits of a sketch of a set: one of the least element under each of the first permutations.
+SKETCH = 64
+
 
 def tuned_bands(similarity: float, recall: float, most: int) -> tuple[int, int]:
     """Bands, and rows of a band, so that a pair of this similarity shares a band with this probability.
@@ -20,16 +25,42 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
-def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """For each set of shingle hashes, one after another from ``starts`` on and none empty, a 64-bit key of each band."""
+def keys_and_sketches(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of shingle hashes, one after another from ``starts`` on and none empty, a 64-bit key of each band, and a sketch."""
     factors, shifts = _permutations(bands * rows)
-    keys = np.zeros((len(starts), bands), dtype=np.uint64)
+    keys, sketches = np.zeros((len(starts), bands), dtype=np.uint64), np.zeros(len(starts), dtype=np.uint64)
     for i, (a, b) in enumerate(zip(factors, shifts, strict=True) if len(starts) else ()):
         least = np.minimum.reduceat(hashes * a + b, starts)
         band = i // rows
         keys[:, band] = (keys[:, band] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)
         keys[:, band] ^= keys[:, band] >> np.uint64(29)
-    return keys.view(np.int64)
+        if i < SKETCH:
+            bit = ((least ^ least >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+            sketches |= bit << np.uint64(i)
+    return keys.view(np.int64), sketches.view(np.int64)
+
+
+def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The keys of ``keys_and_sketches``."""
+    return keys_and_sketches(hashes, starts, bands, rows)[0]
+
+
+def differing(similarity: float, lost: float) -> int:
+    """Bits in which the sketches of sets of this similarity differ at most, but for so small a part of the pairs.
+
+    Each bit differs with half the probability that the least elements do.
+    """
+    p, within = (1 - similarity) / 2, 0.0
+    for most in range(SKETCH + 1):
+        within += comb(SKETCH, most) * p**most * (1 - p) ** (SKETCH - most)
+        if 1 - within <= lost:
+            break
+    return most
+
+
+def close(a: Column, b: Column, most: int) -> Column:
+    """Whether sketches differ in so many bits at most."""
+    return F.bit_count(a.bitwiseXOR(b)) <= most
 
 
 def meetings(nodes: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corvane.llm import golay, minhash
 from corvane.llm.common import batches_of, only, packed, saved, small, text_of
 from corvane.llm.graph import bucket_components
-from corvane.llm.minhash import band_keys, tuned_bands
+from corvane.llm.minhash import keys_and_sketches, tuned_bands
 
 SEED = 42
 DISTANCE = 4
@@ -44,6 +44,8 @@ SIMILARITY = 0.8
 WIDTH = 5
 RECALL = 0.999
 ROWS_OF_A_BAND = 5
+#: Part of such pairs whose sketches may differ in too many bits to be compared.
+LOST = 1e-5
 #: Bits by which fingerprints of such texts may differ that share a fuzzy key: ten or so are usual.
 REACH = 10
 
@@ -141,6 +143,26 @@ def meetings(prints: DataFrame, reach: int, exact: bool) -> DataFrame:
     return met.select("key", *columns).unionByName(met.select("key", "leader.*").distinct())
 
 
+def likely_meetings(prints: DataFrame) -> DataFrame:
+    """key and code of ``prints`` (code, fp, sketch) that meet a likely copy under a key.
+
+    Chance meetings grow with the square of the number of texts, so signs are compared within the join and no
+    pair leaves it: each member is a row if it has one such partner.
+    """
+    schema = "key long, code long, fp long, sketch long"
+    index = prints.mapInArrow(_keys(True, False), schema)
+    lookups = prints.mapInArrow(_keys(False, False), schema)
+    most = minhash.differing(SIMILARITY, LOST)
+
+    def having(some: DataFrame, other: DataFrame) -> DataFrame:
+        a, b = some.alias("a"), other.alias("b")
+        likely = (_differ(F.col("a.fp"), F.col("b.fp")) <= REACH) & minhash.close(F.col("a.sketch"), F.col("b.sketch"), most)
+        meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.code") != F.col("b.code")) & likely
+        return a.join(b, meets, "left_semi").select("key", "code")
+
+    return having(lookups, index).unionByName(having(index, lookups))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hexadecimal digits), component_id.
 
@@ -163,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The fingerprint of a text, its number of distinct shingles and the keys of its bands; texts without words share all keys."""
+    """The fingerprint of a text, its number of distinct shingles, their sketch and band keys; texts without words share all keys."""
     bands, rows = tuned_bands(SIMILARITY, RECALL, ROWS_OF_A_BAND)
     for whole in batches:
         for a, b in batches_of(whole.column(2)):
@@ -172,10 +194,10 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [np.unique(x) for x in hashes]
             filled = [x if len(x) else np.zeros(1, dtype=np.uint64) for x in sets]
             starts = np.cumsum([0, *map(len, filled[:-1])])
-            keys = band_keys(np.concatenate(filled), starts, bands, rows)
-            columns = [pa.array(map(fingerprint, hashes), pa.int64()), pa.array(map(len, sets), pa.int64())]
+            keys, sketches = keys_and_sketches(np.concatenate(filled), starts, bands, rows)
+            columns = [pa.array(map(fingerprint, hashes), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(sketches)]
             columns.append(pa.array(list(keys), pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "node", "fp", "sign", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "node", "fp", "size", "sketch", "bands"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +206,10 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "body"])
 
 
-def _as_large(a: Column, b: Column) -> Column:
-    """Whether sets of these sizes can have a similarity of ``SIMILARITY``."""
-    return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+def _likely(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes and sketches can have a similarity of ``SIMILARITY``, but for ``LOST`` of the pairs."""
+    as_large = F.least(a["size"], b["size"]) >= SIMILARITY * F.greatest(a["size"], b["size"])
+    return as_large & minhash.close(a["sketch"], b["sketch"], minhash.differing(SIMILARITY, LOST))
 
 
 def alike(x: Column, y: Column) -> Column:
@@ -208,16 +231,17 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows), group (the least node of its component); and the rows doc_id, node. Texts meet whose fingerprints share a
     fuzzy key and differ in at most ``REACH`` bits, and texts that share a MinHash band of their
     shingles, as a pair of that similarity does with a probability of ``RECALL`` or more wherever it differs.
-    Of those that meet and are of fitting sizes, the shingles of both whole texts decide.
+    Of those that meet and are of fitting sizes and sketches, the shingles of both whole texts decide.
     """
     named = only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col))
     named = named.select("doc_id", node_of(F.col("text")).alias("node"), "text")
-    rows = saved(named.mapInArrow(_bands, "doc_id long, node binary, fp long, sign long, bands array<long>"))
-    own = [F.first(c).alias(c) for c in ("fp", "sign", "bands")]
+    rows = saved(named.mapInArrow(_bands, "doc_id long, node binary, fp long, size long, sketch long, bands array<long>"))
+    own = [F.first(c).alias(c) for c in ("fp", "size", "sketch", "bands")]
     nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *own))
-    by_band = minhash.meetings(nodes.select("node", "sign", "bands"))
-    prints = nodes.select("node", "fp", "sign")
-    by_print = meetings(prints, REACH, False).select("key", "node", "sign")
+    signed = nodes.select(F.xxhash64("node").alias("code"), "node", F.struct("size", "sketch").alias("sign"))
+    by_band = minhash.meetings(nodes.select("node", F.struct("size", "sketch").alias("sign"), "bands"))
+    met = saved(likely_meetings(nodes.select(F.xxhash64("node").alias("code"), "fp", "sketch")).distinct())
+    by_print = met.join(signed, "code").select("key", "node", "sign")
 
     def texts(ids: DataFrame) -> DataFrame:
         wanted = small(saved(ids.join(nodes, "node").select("node", F.col("first_id").alias("id"))))
@@ -225,7 +249,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         sets = named.join(wanted, same, "left_semi").select("node", "text").mapInArrow(_shingle_sets, "node binary, body array<long>")
         return saved(sets.dropDuplicates(["node"]))
 
-    groups = saved(bucket_components(by_band.unionByName(by_print), _as_large, texts, alike))
+    groups = saved(bucket_components(by_band.unionByName(by_print), _likely, texts, alike))
     of_node = nodes.join(groups, "node", "left").select("node", "first_id", "n", F.coalesce("component", "node").alias("group"))
     return of_node, rows.select("doc_id", "node")
 
