@@ -88,18 +88,17 @@ def targets(
     )
 
 
+def _place(doc_id: Column, text: Column) -> dict[str, Column]:
+    """What decides a document's place in its source: the columns of ``sampled``."""
+    whole = text_of(text)
+    u = (F.shiftrightunsigned(F.xxhash64(doc_id, whole), 11) + 1).cast("double") / float(1 << 53)
+    key = 1 - F.pow(u, 1 / quality(whole))
+    return {"doc_id": doc_id, "size": word_count(whole), "key": key, "text_hash": F.xxhash64(whole)}
+
+
 def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, the sampling key mapped to [0, 1), ascending as the key does, and a hash of the text."""
-    text = text_of(text_col)
-    named = only(docs, doc_id=F.col(id_col), source=F.col(source_col), text=text)
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) + 1).cast("double") / float(1 << 53)
-    return named.select(
-        "doc_id",
-        "source",
-        word_count(F.col("text")).alias("size"),
-        (1 - F.pow(u, 1 / quality(F.col("text")))).alias("key"),
-        F.xxhash64("text").alias("text_hash"),
-    )
+    return only(docs, source=F.col(source_col), **_place(F.col(id_col), F.col(text_col)))
 
 
 def mix(
@@ -111,7 +110,7 @@ def mix(
     share: float = SHARE,
     most: float = MOST_EPOCHS,
 ) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken, epochs, copies, source, text_hash.
+    """One row a document: doc_id, size, source_size, target, taken, epochs, copies, source, text_hash, key.
 
     ``taken`` counts words with repeats; the document at which the fractional part ends gives its
     first words only, so a source's taken words differ from its target by less than one. ``copies``
@@ -140,7 +139,7 @@ def mix(
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     return (
         placed.join(small(by_source).alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
-        .select("doc_id", "p.source", "text_hash", "size", "source_size", "target", "before", whole.alias("epochs"))
+        .select("doc_id", "p.source", "text_hash", "key", "size", "source_size", "target", "before", whole.alias("epochs"))
         .withColumn("rest", rest)
         .withColumn("part", part.cast("long"))
         .select(
@@ -153,6 +152,7 @@ def mix(
             (F.col("epochs") + ((F.col("part") * 2 >= F.col("size")) & (F.col("size") > 0)).cast("long")).alias("copies"),
             "source",
             "text_hash",
+            "key",
         )
     )
 
@@ -160,13 +160,17 @@ def mix(
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix, each repeated as often as it is taken, with all columns of ``docs``.
 
-    Rows that share id, text and source count by their most taken one; documents without words go. A null id
-    is one like any other.
+    Rows that share id, text and source count by their most taken one; documents without words are taken in complete
+    epochs only. A null id is one like any other. In its source a document is taken once more up to the last place
+    that is, so only one row a source is joined to the documents, and no text is shuffled.
     """
-    taken = mix(docs, id_col, text_col, source_col).filter("copies > 0").groupBy("doc_id", "source", "text_hash")
-    taken = saved(taken.agg(F.max("copies").cast("int").alias("copies")))
-    rows, row = packed(docs), F.col("row")
-    same = row[id_col].eqNullSafe(F.col("doc_id")) & row[source_col].eqNullSafe(F.col("source"))
-    joined = rows.join(small(taken), same & (F.xxhash64(text_of(row[text_col])) == F.col("text_hash")))
-    again = joined.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return again.select("row.*")
+    own = packed(docs).withColumn("source", F.col("row")[source_col]).withColumn("at", F.struct(*(c.alias(n) for n, c in _place(F.col("row")[id_col], F.col("row")[text_col]).items())))
+    taken = mix(docs, id_col, text_col, source_col)
+    last = F.max(F.when((F.col("copies") > F.col("epochs")) & (F.col("size") > 0), F.struct("key", "doc_id", "size")))
+    sources = saved(taken.groupBy("source").agg(F.max("epochs").alias("epochs"), last.alias("last")))
+    rows = own.join(small(sources), own["source"].eqNullSafe(sources["source"]))
+    first = F.struct("at.key", "at.doc_id", "at.size") <= F.col("last")
+    more = F.coalesce(first & (F.col("at.size") > 0), F.lit(False))
+    copies = (F.col("epochs") + more.cast("long")).cast("int")
+    again = rows.withColumn("copies", copies).filter("copies > 0")
+    return again.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
