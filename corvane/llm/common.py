@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,12 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared path, and the path there."""
+    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+    return fs.FileSystem.from_uri(uri)
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """As ``saved``, as Parquet: for wide rows, which take less room so and are read by columns."""
     path = shared_path(df.sparkSession, kind)

@@ -57,6 +57,11 @@ def _loaded(path: str) -> tuple[Tokenizer, tiktoken.Encoding]:
     return Tokenizer.from_file(path), merges
 
 
+def vocabulary_size(path: str) -> int:
+    """Ids are below this number."""
+    return _loaded(path)[0].get_vocab_size()
+
+
 def encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from texts (without nulls) to the ids of all of them and the number of each one's ids.
 
