@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import exact_dedup, html_text, line_dedup, mixing, order_minhash, packing, paragraph_dedup, periodic_runs, simhash, token_files, toxicity, warc
+from corvane.llm import conversation_trie, exact_dedup, html_text, line_dedup, mixing, order_minhash, packing, paragraph_dedup, periodic_runs, simhash, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,13 +66,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(docs))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversation_trie.conversations(_table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(conversation_trie.with_lent_turns(found))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_paragraph_dedup, op3_mixing, op4_toxicity, op5_packing, op6_html_text, op7_simhash, op8_warc, op9_exact_dedup, op10_line_dedup, op11_periodic_runs, op13_token_files)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_paragraph_dedup, op3_mixing, op4_toxicity, op5_packing, op6_html_text, op7_simhash, op8_warc, op9_exact_dedup, op10_line_dedup, op11_periodic_runs, op12_conversation_trie, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": warc.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op8_warc": warc.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL, "op12_conversation_trie": conversation_trie.ORACLE_SQL}
