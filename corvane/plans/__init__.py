@@ -1,5 +1,5 @@
 """Whole jobs made of sources and operators."""
 
-from corvane.plans.listing import list_job
+from corvane.plans.listing import list_job, written_job
 
-__all__ = ["list_job"]
+__all__ = ["list_job", "written_job"]
