@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import saved
+from corvane.llm.common import saved, small
 
 #: Leaders of a bucket, and of one whose members' texts are fetched.
 LEADERS, LEADERS_WITH_TEXTS = 4, 2
@@ -56,11 +56,21 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def linked(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column]) -> DataFrame:
+    """The pairs a, b of a saved table whose bodies are alike; each body is fetched once."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    bodies = texts(ends)
+    both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
+    both = both.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
+    return both.filter(alike(F.col("x"), F.col("y"))).select("a", "b")
+
+
 def bucket_components(
     members: DataFrame,
     close: Callable[[Column, Column], Column] | None = None,
     texts: Callable[[DataFrame], DataFrame] | None = None,
     alike: Callable[[Column, Column], Column] | None = None,
+    across: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """node, component over the links of nodes that meet in buckets.
 
@@ -70,20 +80,24 @@ def bucket_components(
 
     In each bucket a few members are leaders: the one whose buckets are the largest taken together,
     as a text is from which others were made, and some by hashes. All members are compared with
-    those first, and components of these links are found. Then only members outside of the bucket's
-    main component are compared with the rest of it, only across components, and within the join, so
-    that no unlinked pair leaves it. No link is lost: two members that are linked are in one
-    component, or were compared. A bucket's size and leaders come from windows, so its members are joined
-    by their key only where a bucket still holds several components.
+    those first, and components of these links are found. Then only members of buckets that still hold several
+    components are compared, across components alone. ``across`` does so, if it is given: it takes those nodes
+    as node, own (their component) and returns their links a, b. Otherwise members outside of a bucket's main
+    component are compared with the rest of it within the join, so that no unlinked pair leaves it. No link is lost: two members that are linked are in one
+    component, or were compared. A bucket's size and leaders come from partial aggregates, one row a bucket, that
+    its members are joined to.
     """
-    whole, n_leaders = Window.partitionBy("key"), LEADERS_WITH_TEXTS if texts else LEADERS
-    members = members.select("key", "node", "sign").distinct()
-    members = saved(members.withColumn("size", F.count(F.lit(1)).over(whole)).filter("size > 1"))
-    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    n_leaders = LEADERS_WITH_TEXTS if texts else LEADERS
+    members = saved(members.select("key", "node", "sign").distinct())
     entry, rank = F.struct("node", "sign"), F.struct("weight", "node")
-    first = F.max_by(entry, rank).over(whole)
-    others = (F.min_by(entry, F.xxhash64("node", F.lit(i))).over(whole) for i in range(1, n_leaders))
-    members = members.join(weights, "node").withColumn("leaders", F.array_distinct(F.array(first, *others)))
+    others = [F.min_by(entry, F.xxhash64("node", F.lit(i))).alias(f"leader{i}") for i in range(1, n_leaders)]
+    buckets = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *others).filter("size > 1"))
+    members = saved(members.join(small(buckets.select("key", "size")), "key"))
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    first = members.join(weights, "node").groupBy("key").agg(F.max_by(entry, rank).alias("first"))
+    leaders = F.array_distinct(F.array("first", *(f"leader{i}" for i in range(1, n_leaders)))).alias("leaders")
+    led = saved(buckets.drop("size").join(first, "key").select("key", leaders))
+    members = members.join(small(led, 2 * F.size("leaders")), "key")
 
     def fits(leader: Column) -> Column:
         other = leader["node"] != F.col("node")
@@ -95,12 +109,7 @@ def bucket_components(
     near = members.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     stars = near.select(F.col("node").alias("a"), F.explode("near").alias("b"))
     if texts and alike:
-        stars = saved(stars)
-        ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-        bodies = texts(ends)
-        both = stars.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
-        both = both.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-        stars = both.filter(alike(F.col("x"), F.col("y"))).select("a", "b")
+        stars = linked(saved(stars), texts, alike)
     first = saved(components(stars))
 
     # where all members but one are leaders, every pair has been compared
@@ -110,6 +119,9 @@ def bucket_components(
         F.max_by("own", F.struct("n", "own")).alias("main"), (F.count(F.lit(1)) > 1).alias("several")
     )
     mixed = saved(known.join(main.filter("several").select("key", "main"), "key"))
+    if across:
+        bridges = saved(across(mixed.select("node", "own").distinct()).distinct())
+        return _bridged(first, bridges)
     rest = mixed.withColumn("body", F.lit(0))
     if texts and alike:
         if close:
@@ -129,6 +141,11 @@ def bucket_components(
     meets = meets & alike(F.col("against"), F.col("body")) if texts and alike else meets
     found = apart.join(rest, meets).select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b"))
     bridges = saved(found.distinct())
+    return _bridged(first, bridges)
+
+
+def _bridged(first: DataFrame, bridges: DataFrame) -> DataFrame:
+    """The components of links a, b besides those of ``first``."""
     if bridges.isEmpty():
         return first
     return components(bridges.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))

@@ -29,14 +29,17 @@ from pyspark.sql import functions as F
 from corvane.llm import minhash
 from corvane.llm.common import WORD, batches_of, only, saved, small, text_of, written
 from corvane.llm.graph import bucket_components
+from corvane.llm.set_join import links_across
 from corvane.llm.simhash import alike
 
 WIDTH = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 MAX_ROWS_OF_A_BAND = 3
-#: Words from which on a line counts as a paragraph: three shingles that share no word.
+#: Words from which on the registered query takes a line as a paragraph: three shingles that share no word. Any other number can be given.
 MIN_WORDS = 3 * WIDTH
+#: Ids that stand for rows without one, from the least long on, each row a document of its own.
+NO_ID, LAST_NO_ID = -(1 << 63), -(1 << 63) + (1 << 53)
 #: Words of a shared run that is certain to be found, and of a piece.
 RUN = 50
 PIECE_WORDS = 30
@@ -140,14 +143,16 @@ def _documents(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
             heads = _offsets(per_doc)
 
-            taken = np.nonzero(counts >= min_words)[0]
+            taken = np.nonzero(counts >= max(1, min_words))[0]
             chars, at = pc.utf8_length(lines).to_numpy(), _offsets(counts)
             lengths = chars[taken]
             starts = _offsets(chars + 1)[taken] - _offsets(chars + 1)[heads][doc_of[taken]]
             first = at[taken] - at[heads][doc_of[taken]]
             mine = np.isin(of_line, taken)
             own = shingles[mine[: len(shingles)] & (of_line[: len(shingles)] == of_line[WIDTH - 1 :])]
-            keys = minhash.band_keys(own, _offsets(counts[taken] - WIDTH + 1), bands, rows)
+            # a paragraph without a shingle has no band: it can only be equal to others
+            banded = counts[taken] >= WIDTH
+            keys = minhash.band_keys(own, _offsets(counts[taken][banded] - WIDTH + 1), bands, rows)
             per_taken = np.bincount(doc_of[taken], minlength=len(per_doc))
 
             sizes = np.add.reduceat(counts, heads) if len(heads) else counts
@@ -160,7 +165,7 @@ def _documents(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
                 _lists(pa.array(first, pa.int32()), per_taken),
                 _lists(pa.array(counts[taken], pa.int32()), per_taken),
                 _lists(pa.array(_digests(words.filter(pa.array(mine)), counts[taken]), pa.binary()), per_taken),
-                _lists(_lists(pa.array(keys.ravel()), np.full(len(taken), bands)), per_taken),
+                _lists(_lists(pa.array(keys.ravel()), np.where(banded, bands, 0)), per_taken),
                 _lists(pa.array(hashes), per_piece),
                 _lists(pa.array(places - _offsets(sizes)[doc_of_piece], pa.int32()), per_piece),
             ]
@@ -294,7 +299,9 @@ def repeated_paragraphs(named: DataFrame, rows: DataFrame) -> DataFrame:
     nodes = written(nodes, "nodes")
     met = minhash.meetings(nodes.select(F.col("digest").alias("node"), F.lit(0).alias("sign"), "bands"))
     nodes = nodes.drop("bands")
-    groups = saved(bucket_components(met, texts=_texts(named, nodes), alike=alike)).withColumnRenamed("node", "digest")
+    texts = _texts(named, nodes)
+    groups = bucket_components(met, texts=texts, alike=alike, across=lambda mixed: links_across(mixed, texts, alike, SIMILARITY))
+    groups = saved(groups).withColumnRenamed("node", "digest")
     linked = nodes.join(groups, "digest", "left").withColumn("group", F.coalesce("component", "digest"))
     linked = linked.filter(F.col("component").isNotNull() | (F.col("n") > 1))
     heads = linked.groupBy("group").agg(
@@ -310,16 +317,28 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     """One row a removed span: doc_id, kind (paragraph or passage), start, length (in code points), first_word,
     n_words (in the document's words), keep_doc_id, keep_start (of what stays), group_size.
 
-    Paragraphs end at line feeds; those of fewer than ``min_words`` words are lines, which the line
-    dedup counts, and are removed only as part of a passage. Words are compared with A-Z in lower case
+    Paragraphs end at line feeds; those of fewer than ``min_words`` words are lines and are removed only as part of a
+    passage. With ``min_words=1`` every line with a word is a paragraph: those of fewer than five words are compared whole.
+    Words are compared with A-Z in lower case
     and any ASCII white space as one space. Of each group the paragraph of the smallest doc_id, and the
     first in it, stays. Every run of ``RUN`` words or more that an earlier document has too is found,
     wherever its line ends are; up to ``REACH`` words at its ends may stay if only a later one of its
     documents has them. Shorter runs are found where a piece falls into them. Passages that lie in a
     removed paragraph are not listed; spans may overlap otherwise. Documents without repeats have no row,
-    and null texts have no words. A null doc_id comes before others. Rows that repeat an id are one document.
+    and null texts have no words. Rows without doc_id are documents of their own, which come before others. Rows that repeat an id are one document.
     """
-    named = only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col))
+    named = with_ids(only(docs, doc_id=F.col(id_col).cast("long"), text=text_of(text_col)))
     rows = written(named.mapInArrow(partial(_documents, min_words), DOCUMENT), "paragraphs")
     whole = saved(repeated_paragraphs(named, rows).distinct())
-    return whole.unionByName(repeated_passages(named, rows, whole).distinct())
+    found = whole.unionByName(repeated_passages(named, rows, whole).distinct())
+    own = lambda c: F.when(F.col(c) > LAST_NO_ID, F.col(c)).alias(c)
+    return found.select(*(own(c) if c.endswith("doc_id") else F.col(c) for c in RESULT))
+
+
+def with_ids(named: DataFrame) -> DataFrame:
+    """The rows (doc_id, text), those without doc_id with one of the numbers that stand for none; they are written so that each keeps its own."""
+    without = named.filter("doc_id is null")
+    if without.isEmpty():
+        return named
+    own = (F.lit(NO_ID) + F.monotonically_increasing_id()).alias("doc_id")
+    return named.filter("doc_id is not null").unionByName(written(without.select(own, "text"), "without-ids"))

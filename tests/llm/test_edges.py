@@ -192,6 +192,27 @@ def test_paragraph_in_two_documents(spark):
     assert [(r.doc_id, r.kind, r.start, r.n_words, r.keep_doc_id, r.keep_start, r.group_size) for r in got] == [(9, "paragraph", 0, 60, 8, 6, 2)]
 
 
+def test_equal_paragraphs_of_documents_without_id(spark):
+    rows = [(None, PASSAGE, "en", "x", 1), (None, PASSAGE, "en", "x", 1), (None, None, None, None, None), (4, f"more\n{PASSAGE}", "en", "x", 1)]
+    got = paragraph_dedup.repeats(docs(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.start, r.n_words, r.keep_doc_id, r.keep_start, r.group_size) for r in got) == [(0, 0, 60, None, 0, 3), (4, 5, 60, None, 0, 3)]
+    one = paragraph_dedup.repeats(docs(spark, rows[:1])).collect()
+    assert one == []
+
+
+def test_templates_never_meet(spark):
+    """Paragraphs of a template, that differ in a middle word, are not alike, and cost about as much as unrelated ones."""
+    n, took = 3000, []
+    line = [f"word{i}" for i in range(40)]
+    template = [(i, " ".join([*line[:20], f"name{i}", *line[21:]])) for i in range(n)]
+    unrelated = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(n)]
+    for rows in (unrelated, unrelated, template):
+        began = time.perf_counter()
+        assert paragraph_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).filter("kind = 'paragraph'").collect() == []
+        took.append(time.perf_counter() - began)
+    assert took[2] < 4 * took[1] + 10
+
+
 @pytest.mark.parametrize("ends", [" ", "\n", " \r\n\t"])
 def test_passage_in_other_paragraphs(spark, ends):
     """The whole passage is removed, and nothing else, though its lines are short and end elsewhere in each document."""
