@@ -25,15 +25,15 @@ from corvane.llm.graph import linked
 PLACES = 1 << 18
 
 
-def _place(elements: np.ndarray) -> np.ndarray:
-    return (elements.view(np.uint64) >> np.uint64(11)).astype(np.int64) % PLACES
+def _place(elements: np.ndarray, places: int) -> np.ndarray:
+    return (elements.view(np.uint64) >> np.uint64(11)).astype(np.int64) % places
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(places: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The elements of a task's sets to place and number, for the places that occur."""
-    counts = np.zeros(PLACES, dtype=np.int64)
+    counts = np.zeros(places, dtype=np.int64)
     for batch in batches:
-        counts += np.bincount(_place(batch.column(0).flatten().to_numpy()), minlength=PLACES)
+        counts += np.bincount(_place(batch.column(0).flatten().to_numpy(), places), minlength=places)
     used = np.nonzero(counts)[0]
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["place", "n"])
 
@@ -51,7 +51,7 @@ def _keys(counts: np.ndarray, similarity: float, batches: Iterator[pa.RecordBatc
         sizes = np.diff(sets.offsets.to_numpy())
         flat = sets.flatten().to_numpy()
         of = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((flat, counts[_place(flat)], of))
+        order = np.lexsort((flat, counts[_place(flat, len(counts))], of))
         rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         both = {n: prefixes(n, similarity) for n in np.unique(sizes).tolist()}
         looks, found = (np.array([both[n][i] for n in sizes.tolist()], dtype=np.int64) for i in (0, 1))
@@ -62,15 +62,19 @@ def _keys(counts: np.ndarray, similarity: float, batches: Iterator[pa.RecordBatc
 
 
 def links_across(
-    nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], similarity: float
+    nodes: DataFrame,
+    texts: Callable[[DataFrame], DataFrame],
+    alike: Callable[[Column, Column], Column],
+    similarity: float,
+    places: int = PLACES,
 ) -> DataFrame:
     """All links a, b between nodes (node, own) of different components own whose bodies, sets without nulls, are so similar.
 
     Under a key, only nodes outside of its main component are compared with the rest. Empty sets have no link.
     """
     bodies = saved(nodes.join(texts(nodes.select("node")), "node").select("node", "own", "body").filter(F.size("body") > 0))
-    table = np.zeros(PLACES, dtype=np.int64)
-    for place, n in bodies.select("body").mapInArrow(_counted, "place long, n long").groupBy("place").agg(F.sum("n")).collect():
+    table = np.zeros(places, dtype=np.int64)
+    for place, n in bodies.select("body").mapInArrow(partial(_counted, places), "place long, n long").groupBy("place").agg(F.sum("n")).collect():
         table[place] = n
     kinds = dict(bodies.dtypes)
     schema = f"key long, node {kinds['node']}, own {kinds['own']}, size long, indexed boolean"

@@ -25,8 +25,7 @@ def test_prefixes_are_long_enough():
 
 
 @pytest.mark.parametrize("places", [set_join.PLACES, 3])
-def test_links_across(spark, monkeypatch, places):
-    monkeypatch.setattr(set_join, "PLACES", places)
+def test_links_across(spark, places):
     rng, sets = random.Random(4), []
     for _ in range(12):
         base = rng.sample(range(-(10**9), 10**9), rng.randint(4, 60))
@@ -37,7 +36,7 @@ def test_links_across(spark, monkeypatch, places):
     own = [rng.randint(0, 3) for _ in sets]
     nodes = saved(spark.createDataFrame([(i, o) for i, o in enumerate(own)], "node long, own long"))
     bodies = spark.createDataFrame(list(enumerate(sets)), "node long, body array<long>")
-    got = set_join.links_across(nodes, lambda ids: bodies.join(ids, "node"), alike, 0.8)
+    got = set_join.links_across(nodes, lambda ids: bodies.join(ids, "node"), alike, 0.8, places)
     want = set()
     for (i, x), (j, y) in itertools.combinations(enumerate(map(set, sets)), 2):
         if own[i] != own[j] and x and len(x & y) >= 0.8 * len(x | y):
