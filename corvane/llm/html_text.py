@@ -1,14 +1,15 @@
 """Main text of web pages from the standard library's parser events.
 
-The parser's events make lines: one for each block of the page, with its characters of text outside of
-links, and its tags. Containers cut the lines into regions. The text-to-tag ratio of the lines is
-smoothed with a Gaussian within their region, and a region counts by its best line, so that short paragraphs
-and headings stay with it. A threshold on the regions' ratios, from the spread of all lines of the page, parts content
-from the rest.
-
-What a page says of its parts weighs its regions before the threshold: an article raises them, an element that is no
-article by its name, role or class lowers them. Neither settles a region alone, and an element that
-holds most of the page's text is no menu whatever it is called.
+The parser's events make lines: one for each block of the page, with its characters of text and its
+tags. Characters of links do not count as text, nor do those of elements that are no article by their name, role or class.
+The text-to-tag ratio of the lines is smoothed with a Gaussian within their container. Lines that have
+some text of their own are also carried by others: by the best of the
+same container or article; by near lines of other containers, more weakly with every line between and only from both sides, so that a short block between long ones is
+content and one beside them is not; and a heading by what it stands above. A threshold from the
+spread of the smoothed ratios parts the lines into regions of content and the rest.
+
+No name settles a line alone: an element that holds most of the page's text counts whatever it is called, and
+lines outside of an article weigh less only while the article has more text than they.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from corvane.llm.common import only, text_of
 # HTML's element names by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CONTAINERS = frozenset(
-    "article aside body center details dialog dir div dl fieldset footer form head header html main menu nav ol section table ul".split()
+    "article aside body center details dialog dir div dl fieldset footer form head header html main menu nav ol section table td th ul".split()
 )
 BLOCK = CONTAINERS | frozenset(
     "address blockquote caption dd dt figcaption figure h1 h2 h3 h4 h5 h6 hr legend li option p pre summary "
-    "tbody td tfoot th thead title tr".split()
+    "tbody tfoot thead title tr".split()
 )
 SPACED = frozenset("br img input".split())
 UNREAD = frozenset(
@@ -42,6 +43,7 @@ UNREAD = frozenset(
 )
 APART = frozenset("aside dialog footer form menu nav".split())
 ARTICLE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs comment "
@@ -52,14 +54,15 @@ MARKS = frozenset(
 )
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 
-#: Standard deviation of the Gaussian, in lines; and of the lines' ratios, the part that content reaches.
-SIGMA = 1.0
+#: Standard deviation of the Gaussian, in lines; that of the one by which lines of other containers carry; and of the lines' ratios, the part that content reaches.
+SIGMA, SPAN = 1.0, 8.0
 THRESHOLD = 0.5
-#: Weights of regions: in an article, apart from it by its name, and elsewhere on a page with an article at least.
-IN_ARTICLE, NAMED_APART, BESIDE = 8.0, 1 / 64, 1 / 8
-#: Characters a tag, so weighed, that are enough in an article, so that its short parts stay beside its long ones; and
-#: that what is named apart has to reach at least.
-ENOUGH = 12.0
+#: Part of its best line's ratio with which a container or an article carries each of its lines: no spread of the ratios sets a higher threshold.
+CARRIED = 0.25
+#: Least weight of a region beside an article.
+BESIDE = 1 / 4
+#: Characters a tag, smoothed, that are enough in an article, so that its short parts stay beside its long ones.
+ENOUGH = 4.0
 #: Parts of the page's text from which on an element is not apart from it: by its class or role, by its tag.
 MOST, NEARLY_ALL = 0.5, 0.9
 _WORDS = re.compile(r"[^0-9a-z]+")
@@ -90,8 +93,9 @@ class Line(NamedTuple):
     chars: int
     tags: int
     region: int
-    article: bool
+    article: int
     apart: int
+    heading: bool
 
 
 class Open(NamedTuple):
@@ -103,9 +107,9 @@ class Open(NamedTuple):
 
 
 class Lines(HTMLParser):
-    """Collects a page's lines: text, characters outside of links, tags, region, whether in an article, and the
-    innermost element around it that is named apart, if any. ``apart`` has for each of those the next
-    one around it and its tag."""
+    """Collects a page's lines: text, characters outside of links, tags, region, the number of the outermost article
+    around it (0: none), the innermost element around it that is named apart, if any, and whether it is a heading.
+    ``apart`` has for each of those elements the next one around it and its tag."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -114,7 +118,7 @@ class Lines(HTMLParser):
         self.blocks: list[int] = []
         self.open: Counter[str] = Counter()
         self.apart: list[tuple[int, str]] = []
-        self.unread = self.links = self.articles = self.any_article = self.region = self.tags = self.linked = 0
+        self.unread = self.links = self.articles = self.nth_article = self.headings = self.region = self.tags = self.linked = 0
         self.parts: list[str] = []
 
     def flush(self) -> None:
@@ -122,7 +126,8 @@ class Lines(HTMLParser):
         if text:
             chars = max(0, len(text) - self.linked)
             inner = self.stack[-1].apart if self.stack else -1
-            self.lines.append(Line(text, chars, max(1, self.tags), self.region, self.articles > 0, inner))
+            article = self.nth_article if self.articles else 0
+            self.lines.append(Line(text, chars, max(1, self.tags), self.region, article, inner, self.headings > 0))
             self.tags = 0
         self.parts.clear()
         self.linked = 0
@@ -132,6 +137,7 @@ class Lines(HTMLParser):
             self.open[one.tag] -= 1
             self.unread -= one.unread
             self.articles -= one.article
+            self.headings -= one.tag in HEADINGS
             self.links -= one.link
         del self.stack[at:]
         while self.blocks and self.blocks[-1] >= at:
@@ -161,8 +167,9 @@ class Lines(HTMLParser):
             self.region += 1
         one = Open(tag, apart, tag in UNREAD, tag in ARTICLE, tag == "a")
         self.unread += one.unread
+        self.nth_article += one.article and not self.articles
         self.articles += one.article
-        self.any_article |= one.article
+        self.headings += tag in HEADINGS
         self.links += one.link
         self.open[tag] += 1
         if tag in BLOCK:
@@ -196,7 +203,7 @@ class Lines(HTMLParser):
                 self.linked += len(" ".join(data.split()))
 
 
-def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+def by_gauss(ratios: np.ndarray, sigma: float) -> np.ndarray:
     """The ratios under a Gaussian of this standard deviation, cut at two of them; ends weigh what they have."""
     reach = max(1, round(2 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
@@ -204,6 +211,24 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return total / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
+def smoothed(ratios: np.ndarray, bounds: list[int], groups: np.ndarray, share: np.ndarray, heading: np.ndarray) -> np.ndarray:
+    """Each container's ratios, between two ``bounds``, under the Gaussian; or what a line is carried with, times the ``share`` of its text that counts."""
+    own = np.concatenate([by_gauss(ratios[a:b], SIGMA) for a, b in zip(bounds, bounds[1:], strict=False)])
+    n, (before, after) = len(own), np.zeros((2, len(own)))
+    for d in range(1, min(n, round(3 * SPAN) + 1)):
+        weaker = float(np.exp(-0.5 * (d / SPAN) ** 2))
+        np.maximum(before[d:], own[:-d] * weaker, out=before[d:])
+        np.maximum(after[:-d], own[d:] * weaker, out=after[:-d])
+    of = np.unique(groups, return_inverse=True)[1]
+    best = np.zeros(n)
+    np.maximum.at(best, of, own)
+    within = CARRIED * best[of]
+    value = np.maximum(own, share * np.maximum(within, np.minimum(before, after)))
+    for i in np.nonzero(heading[:-1])[0][::-1].tolist():
+        value[i] = max(value[i], share[i] * value[i + 1])
+    return value
+
+
 def names_that_hold(page: Lines) -> np.ndarray:
     """For each element that is named apart, whether it is: not if it holds most of the text, and the article's if there is one."""
     whole, articles = np.zeros(len(page.apart) + 1, dtype=np.int64), np.zeros(len(page.apart) + 1, dtype=np.int64)
@@ -217,10 +242,15 @@ def names_that_hold(page: Lines) -> np.ndarray:
     if articles[-1]:
         large = articles[:-1] > MOST * articles[-1]
     else:
-        large = (whole[:-1] > part * whole[-1]) & (not page.any_article)
+        large = (whole[:-1] > part * whole[-1]) & (not page.nth_article)
     return ~large
 
 
+def ratios(chars: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Characters of text a tag."""
+    return chars / tags
+
+
 def content(page: Lines) -> list[str]:
     """The lines of the regions that count as content."""
     lines = page.lines
@@ -228,31 +258,37 @@ def content(page: Lines) -> list[str]:
     for i, (around, _) in enumerate(page.apart):
         named[i] = holds[i] or (around >= 0 and named[around])
     apart = named[[x.apart for x in lines]]
-    article = np.array([x.article for x in lines]) & ~apart
-    chars = np.array([x.chars for x in lines], dtype=float)
-    # a region goes on as long as neither its container nor what is said of it changes
+    article = np.where(apart, 0, [x.article for x in lines])
+    chars = np.where(apart, 0.0, [x.chars for x in lines])
+    # a container's lines go on as long as neither it nor what is said of it changes
     labels = [(x.region, a) for x, a in zip(lines, apart.tolist(), strict=True)]
     bounds = [0, *(i for i in range(1, len(lines)) if labels[i] != labels[i - 1]), len(lines)]
-    ratio = chars / np.array([x.tags for x in lines])
-    beside = np.maximum(BESIDE, np.add.reduceat(chars, bounds[:-1]) / max(1.0, chars[article].sum())) if article.any() else None
-    taken, best = [], np.empty(len(bounds) - 1)
-    for r, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        ratio[a:b] = smoothed(ratio[a:b])
-        weight = NAMED_APART if apart[a] else IN_ARTICLE if article[a] else 1.0 if beside is None else min(1.0, beside[r])
-        ratio[a:b] *= weight
-        best[r] = ratio[a:b].max()
-    limit = THRESHOLD * ratio.std()
-    for r, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        enough = min(limit, ENOUGH) if article[a] else max(limit, ENOUGH) if apart[a] else limit
-        if best[r] > 0 and best[r] >= enough or not apart[a] and best[r] >= best.max():
-            taken += lines[a:b]
-    return [x.text for x in taken]
+    ratio = ratios(chars, np.array([x.tags for x in lines]))
+    if article.any():
+        of_region = np.add.reduceat(chars, bounds[:-1]) / max(1.0, chars[article > 0].sum())
+        ratio = ratio * np.where(article > 0, 1.0, np.repeat(np.clip(of_region, BESIDE, 1.0), np.diff(bounds)))
+    groups = np.where(article > 0, -article, [x.region for x in lines])
+    share = chars / np.array([len(x.text) for x in lines])
+    value = smoothed(ratio, bounds, groups, share, np.array([x.heading for x in lines]))
+    limit = THRESHOLD * value.std()
+    enough = np.where(article > 0, min(limit, ENOUGH), limit)
+    return [x.text for x, taken in zip(lines, value >= enough, strict=True) if taken] if value.max() > 0 else []
+
+
+def whole_tags(html: str) -> str:
+    """The page, in which every tag and comment that is begun has an end, so that the parser looks through each once.
+
+    A sign ``<`` that no ``>`` follows is text; a comment that is not closed goes on to the end.
+    """
+    at = html.rfind(">") + 1
+    html = html[:at] + html[at:].replace("<", "&lt;")
+    return html + "<!---->" if html.rfind("<!--") > html.rfind("-->") else html
 
 
 def main_text(html: str) -> str:
     """The blocks of the page's content regions, joined by blank lines; empty if there is no text."""
     page = Lines()
-    page.feed(html)
+    page.feed(whole_tags(html))
     page.close()
     page.flush()
     return "\n\n".join(content(page)) if page.lines else ""

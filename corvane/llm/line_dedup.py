@@ -37,10 +37,16 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
+def closed(text: Column) -> Column:
+    """The text, in which a sign ``<`` that no ``>`` follows is no tag's: every tag that is begun has an end, so each is looked through once."""
+    tail = F.substring_index(text, ">", -1)
+    return F.concat(F.left(text, F.length(text) - F.length(tail)), F.replace(tail, F.lit("<"), F.lit("&lt;")))
+
+
 def lines_of(html: Column) -> Column:
     """The page's lines, trimmed, white space in them made one space, empty ones left out."""
     text = F.regexp_replace(F.regexp_replace(html, UNSEEN, "<p>"), r"[\x09-\x0D]+", " ")
-    text = F.regexp_replace(F.regexp_replace(text, INLINE, ""), TAG, "\n")
+    text = F.regexp_replace(F.regexp_replace(closed(text), INLINE, ""), TAG, "\n")
     for name, sign in REFERENCES:
         text = F.replace(text, F.lit(name), F.lit(sign))
     lines = F.transform(F.split(F.regexp_replace(text, r" {2,}", " "), "\n"), lambda line: F.trim(line))
@@ -110,8 +116,10 @@ WITH a AS (
     SELECT page_id, lower(coalesce(regexp_extract(url, {_sql(HOST)}, 1), '')) AS host,
            regexp_replace(regexp_replace(coalesce(html, ''), {_sql(UNSEEN)}, '<p>', 'g'), '[\x09-\x0D]+', ' ', 'g') AS t
     FROM pages
+), u AS (
+    SELECT page_id, host, left(t, length(t) - length(string_split(t, '>')[-1])) || replace(string_split(t, '>')[-1], '<', '&lt;') AS t FROM a
 ), b AS (
-    SELECT page_id, host, regexp_replace(regexp_replace(t, {_sql(INLINE)}, '', 'g'), {_sql(TAG)}, chr(10), 'g') AS t FROM a
+    SELECT page_id, host, regexp_replace(regexp_replace(t, {_sql(INLINE)}, '', 'g'), {_sql(TAG)}, chr(10), 'g') AS t FROM u
 ), c AS (
     SELECT page_id, host, regexp_replace({_references("t")}, ' {{2,}}', ' ', 'g') AS t FROM b
 ), p AS (

@@ -1,8 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import html
 import math
+import re
 import time
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +15,7 @@ import corpus_pipeline
 from corvane.llm import exact_dedup, html_text, line_dedup, mixing, order_minhash, packing, paragraph_dedup, simhash, toxicity, warc
 from corvane.llm.queries import tokenizer_path
 
+MIDDLE = "/root/testdata/sf0.01"
 DOCS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -302,16 +307,53 @@ def test_short_parts_of_an_article_stay():
     assert got == f"{PLAIN_STORY}\n\nFirst point\n\nSecond\n\nNext\n\nDone."
 
 
-def test_the_method_decides(monkeypatch):
-    """Without the threshold, or without smoothing, other lines are taken: one long line makes no content of a menu."""
-    menu = f"<ul><li>One</li><li>Two</li><li>{'A line of the menu. ' * 8}</li><li>Four</li><li>Five</li></ul>"
-    page = f"<ul>{menu}</ul><div>{STORY}</div>"
-    assert html_text.main_text(page) == PLAIN_STORY
-    monkeypatch.setattr(html_text, "smoothed", lambda ratios: ratios)
-    assert html_text.main_text(page) != PLAIN_STORY
-    monkeypatch.undo()
-    monkeypatch.setattr(html_text, "THRESHOLD", 0.0)
-    assert html_text.main_text(page) != PLAIN_STORY
+def given_pages():
+    """The pages of the middle table, as they are and without article elements, and the blocks of their articles."""
+    found = []
+    for (page,) in duckdb.sql(f"SELECT html FROM '{MIDDLE}/pages.parquet' ORDER BY page_id").fetchall():
+        article = re.search(r"<article>(.*)</article>", page, re.DOTALL)[1]
+        blocks = (" ".join(html.unescape(re.sub("<(br|/?b)>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", article))
+        want = "\n\n".join(b for b in blocks if b)
+        found += [(page, want), (page.replace("<article>", "<div>").replace("</article>", "</div>"), want)]
+    return found
+
+
+def test_each_part_of_the_method_decides_on_the_given_pages(monkeypatch):
+    """Without the ratio, the smoothing or the threshold, given pages lose or gain lines, with article elements and without."""
+    given = given_pages()
+    wrong = lambda rows: sum(html_text.main_text(page) != want for page, want in rows)
+    assert wrong(given) == 0
+    parts = {"ratios": lambda chars, tags: np.full(len(chars), 50.0), "smoothed": lambda ratios, *_: ratios, "THRESHOLD": 0.0}
+    for name, without in parts.items():
+        monkeypatch.setattr(html_text, name, without)
+        assert wrong(given[::2]) > len(given) // 20, name
+        assert wrong(given[1::2]) > len(given) // 4, name
+        monkeypatch.undo()
+
+
+SHORT = "<div><h2>A heading</h2></div><div><p>{}</p></div><div><p>Yes.</p></div><div><p>{}</p></div><div><p>Why?</p></div><div><p>{}</p></div>"
+LONG_PARTS = [f"Sentence {i} of the story goes on and on about its matter, and says what there is to say of it. " * 3 for i in range(3)]
+
+
+@pytest.mark.parametrize("around", ["<main>{}</main>", "<article>{}</article>", "<div><ul><li><a>Home</a></ul></div><div>{}</div>", "{}"])
+def test_short_blocks_in_containers_of_their_own(around):
+    got = html_text.main_text(around.format(SHORT.format(*LONG_PARTS)))
+    one, two, three = (x.strip() for x in LONG_PARTS)
+    assert got == "\n\n".join(["A heading", one, "Yes.", two, "Why?", three])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='msg'><p>This site keeps cookies, as all do.</p></div><div>{}</div>",
+        "<div>{}</div><div class='msg'><p>This site keeps cookies, as all do.</p></div>",
+        "<table><tr><td>Home News</td><td>{}</td></tr></table>",
+        "<h3>Menu</h3><ul><li><a>One</a></li><li><a>Two</a></li></ul><div>{}</div>",
+        "<main>{}<div class='newsletter'><p>Subscribe to us and get a letter each and every week of the year.</p></div></main>",
+    ],
+)
+def test_unnamed_lines_beside_the_content_go(page):
+    assert html_text.main_text(page.format(STORY)) == PLAIN_STORY
 
 
 @pytest.mark.parametrize("page", ["<span>" * 20_000 + "</b>" * 20_000, "<span>" * 20_000 + "<p>x</p>" * 20_000, "<div><p>" * 20_000])
@@ -327,6 +369,23 @@ def test_lines_of_many_tags(spark):
     assert (got[1].text, got[2].text) == ("x", "y")
 
 
+@pytest.mark.parametrize("mark", ["<a ", '<a x="', "<!--", "</a", "<script", "<a <b", "&lt;<", "<p>x<"])
+def test_a_megabyte_of_open_tags(spark, mark):
+    page = "<p>Before</p>" + mark * ((1 << 20) // len(mark))
+    began = time.perf_counter()
+    (row,) = line_dedup.without_boilerplate(pages(spark, [(1, "http://a/1", page)])).collect()
+    assert row.text.startswith("Before")
+    assert html_text.main_text(page).startswith("Before")
+    assert html_text.main_text(page + ">").startswith("Before")
+    assert time.perf_counter() - began < 20
+
+
+def test_open_tags_are_text(spark):
+    rows = [(1, "http://a/1", "<p>a < b</p><p>one <b"), (2, "http://a/2", "x"), (3, "http://a/3", "<i>y</i> <"), (4, "http://a/4", "<a <b>z")]
+    got = {r.page_id: r.text for r in line_dedup.without_boilerplate(pages(spark, rows)).collect()}
+    assert got == {1: "a < b\none <b", 2: "x", 3: "y <", 4: "z"}
+
+
 def test_archives(spark):
     got = warc.round_trip(spark, pages(spark)).collect()
     found = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to) for r in got)
