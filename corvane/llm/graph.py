@@ -57,12 +57,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column]) -> DataFrame:
-    """The pairs a, b of a saved table whose bodies are alike; each body is fetched once."""
+    """The rows of a saved table whose a and b have bodies that are alike; each body is fetched once."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     bodies = texts(ends)
     both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
     both = both.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-    return both.filter(alike(F.col("x"), F.col("y"))).select("a", "b")
+    return both.filter(alike(F.col("x"), F.col("y"))).select(*pairs.columns)
 
 
 def bucket_components(

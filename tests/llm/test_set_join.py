@@ -41,5 +41,17 @@ def test_links_across(spark, places):
     for (i, x), (j, y) in itertools.combinations(enumerate(map(set, sets)), 2):
         if own[i] != own[j] and x and len(x & y) >= 0.8 * len(x | y):
             want.add((i, j))
-    assert {(r.a, r.b) for r in got.collect()} == want and len(want) > 10
+    links = {(min(r), max(r)) for r in map(tuple, got.collect())}
+    # all of them are links, and they join the components that all links join
+    assert links <= want and len(want) > 10 and joined(own, links) == joined(own, want)
     assert set_join.links_across(nodes.filter(F.lit(False)), lambda ids: bodies.join(ids, "node"), alike, 0.8).collect() == []
+
+
+def joined(own, links):
+    """The component of each node, by its least node, if nodes of one ``own`` and of a link are in one."""
+    part = [own.index(o) for o in own]
+    for _ in own:
+        for i, j in links:
+            one, other = sorted((part[i], part[j]))
+            part = [one if p == other else p for p in part]
+    return part
