@@ -3,9 +3,10 @@
 Every document becomes an entry with its normalised text's digest. Each partition sorts its entries into a run,
 with one entry for each digest: how many rows it stands for and the best of them. In each round
 neighbouring runs meet, eight at a time, which is three binomial rounds at once, and a multiway merge of the
-sorted runs again leaves one entry a digest, until a single run is left. A run is cut by digest into shards
-whose number follows the number of rows, so a row holds one shard of one run, and no task ever holds
-a whole run.
+sorted runs again leaves one entry a digest, until a single run is left. A run is cut into shards, ranges of
+digests: a row holds one shard of one run, and no task ever holds a whole run. A merge of eight runs
+cuts its shards into eight, so a shard stands for about as many rows in the first runs, however
+many partitions there are, as in the last.
 
 A group of copies of any size is one entry in each run, so hot groups cost no more than others.
 """
@@ -13,7 +14,8 @@ A group of copies of any size is one entry in each run, so hot groups cost no mo
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,8 +25,9 @@ from corvane.llm.common import SPACE, only, packed, power_of_two, saved, small,
 
 #: Runs that meet in a round, as a power of two.
 FAN_BITS = 3
-#: Rows that a shard of the last run stands for, about.
+#: Rows that a shard stands for, about; and the most bits of a digest that name a shard.
 SHARD_ROWS = 20_000
+SHARD_BITS = 28
 
 LISTS = ("digest", "size", "check", "n_chars", "doc_id", "rows")
 RUN = "shard int, run int, digest array<string>, size array<long>, check array<long>, n_chars array<long>, doc_id array<long>, rows array<long>"
@@ -98,10 +101,21 @@ def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _run(*at, held).to_batches()
 
 
-def _merge(runs: pa.Table) -> pa.Table:
-    """The runs of one shard that meet, as one."""
-    rows = runs.to_pylist()
-    return _run(rows[0]["shard"], rows[0]["run"], merged(_entries([r[c] for c in LISTS]) for r in rows))
+def shard_of(digest: str, bits: int) -> int:
+    """The first bits of a digest."""
+    return int(digest[:8], 16) >> (32 - bits)
+
+
+def _merge(bits: int) -> Callable[[pa.Table], pa.Table]:
+    """A function for applyInArrow: the runs of one shard that meet to one, cut into shards of so many bits."""
+
+    def run(runs: pa.Table) -> pa.Table:
+        rows = runs.to_pylist()
+        entries = merged(_entries([r[c] for c in LISTS]) for r in rows)
+        shards = groupby(entries, lambda entry: shard_of(entry[0], bits))
+        return pa.concat_tables([_run(shard, rows[0]["run"], part) for shard, part in shards])
+
+    return run
 
 
 def exact_groups(rows: DataFrame) -> DataFrame:
@@ -111,13 +125,17 @@ def exact_groups(rows: DataFrame) -> DataFrame:
     """
     numbered = rows.select(F.spark_partition_id().alias("run"))
     n, last = numbered.agg(F.count(F.lit(1)), F.coalesce(F.max("run"), F.lit(0))).first()
-    shards = power_of_two(n / SHARD_ROWS)
-    shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int")
+    rounds = -(-int(last).bit_length() // FAN_BITS)
+    most = min(SHARD_BITS, power_of_two(n / SHARD_ROWS).bit_length() - 1)
+    # a shard of the first runs has as many bits fewer as the rounds add
+    bits = max(0, most - rounds * FAN_BITS)
+    shard = F.shiftright(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), 32 - bits).cast("int")
     order = ["shard", "digest", "size", "check", F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last()]
     dealt = rows.select(shard.alias("shard"), F.spark_partition_id().alias("run"), *LISTS[:-1]).sortWithinPartitions(*order)
     runs = dealt.mapInArrow(_first_runs, RUN)
-    for _ in range(-(-int(last).bit_length() // FAN_BITS)):
-        runs = runs.withColumn("run", F.shiftright("run", FAN_BITS)).groupBy("shard", "run").applyInArrow(_merge, RUN)
+    for _ in range(rounds):
+        bits = min(most, bits + FAN_BITS)
+        runs = runs.withColumn("run", F.shiftright("run", FAN_BITS)).groupBy("shard", "run").applyInArrow(_merge(bits), RUN)
     found = runs.select(F.inline(F.arrays_zip(*LISTS))).toDF(*LISTS)
     return found.withColumnsRenamed({"doc_id": "keep_id", "n_chars": "keep_chars", "rows": "group_size"})
 
@@ -141,7 +159,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each distinct text, with all its columns: the one that ``exact_dedup`` keeps."""
+    """One row of ``docs`` for each distinct text, with all its columns: the one that ``exact_dedup`` keeps.
+
+    A null text is an empty one, and a null id is larger than any other. Of rows that tie in id and number of code points, the one of
+    the least hash of all columns but maps stays, so reruns agree. An empty table gives no rows.
+    """
     found = saved(exact_groups(saved(digests(docs, id_col, text_col))))
 
     def keys(doc_id: Column, n_chars: Column) -> list[Column]:
@@ -156,7 +178,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.xxhash64("bare").alias("check"),
         *keys(doc_id, F.length(whole).cast("long")),
     )
-    return rows.join(small(kept), kept.columns, "left_semi").dropDuplicates(kept.columns).select("row.*")
+    plain = [F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    whole_row = F.min_by("row", F.xxhash64(*plain)).alias("row")
+    return rows.join(small(kept), kept.columns, "left_semi").groupBy(*kept.columns).agg(whole_row).select("row.*")
 
 
 ORACLE_SQL = r"""
