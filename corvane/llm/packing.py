@@ -26,6 +26,8 @@ from corvane.llm.tokens import encoder
 CAPACITY = 2048
 #: Windows that a group of pieces fills, about.
 GROUP_WINDOWS = 128
+#: Pieces that a group has at most, about: the differencing keeps a sum for each piece and window.
+GROUP_PIECES = 1 << 15
 #: Part of a group's partial partitions that a round of the differencing merges.
 MERGED = 0.25
 #: Longest piece: the shorter the pieces, the more equal the windows.
@@ -157,19 +159,20 @@ def pack(
     A null or empty text is the end id alone. Documents of any length are cut into pieces, so none
     is too long. Repeated rows are packed as often as they occur, and a null id is kept. An empty
     table gives no rows. A group's total decides its number of windows, so a group that fills
-    ``GROUP_WINDOWS`` windows wastes a window or so.
+    ``GROUP_WINDOWS`` windows wastes a window or so; a group has ``GROUP_PIECES`` pieces or so at most.
     """
     pieces = saved(pieces_of(docs, tokenizer_path, id_col, text_col, capacity, piece, end_id))
-    total = pieces.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, round(total / (capacity * GROUP_WINDOWS)))
-    keyed = pieces.select(
+    n, total = pieces.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    groups = max(1, round(total / (capacity * GROUP_WINDOWS)), -(-n // GROUP_PIECES))
+    # rows that repeat, those without an id among them, are dealt out by their place in the saved table as well
+    keyed = pieces.withColumn("place", F.monotonically_increasing_id()).select(
         F.coalesce("doc_id", F.lit(0)).alias("id"),
         F.col("doc_id").isNotNull().alias("has_id"),
         "start",
         "length",
         "ids_crc32",
         "doc_tokens",
-        F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(5)), F.lit(groups)).alias("part"),
+        F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "place"), F.lit(groups)).alias("part"),
     )
     schema = "id long, has_id boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     packed = keyed.groupBy("part").applyInPandas(_pack(capacity), schema)

@@ -205,6 +205,39 @@ def test_equal_paragraphs_of_documents_without_id(spark):
     assert one == []
 
 
+def test_many_equal_rows_are_packed_in_several_groups(spark):
+    n = 150_000
+    rows = spark.range(n).selectExpr("CAST(NULL AS long) AS doc_id", "'a' AS text")
+    got = packing.pack(rows, tokenizer_path())
+    groups = got.groupBy(F.shiftright("sequence_id", 24).alias("part")).count().collect()
+    assert len(groups) == -(-n // packing.GROUP_PIECES) and max(r["count"] for r in groups) < 1.1 * packing.GROUP_PIECES
+    per_window = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count(F.lit(1)).alias("pieces")).collect()
+    assert sum(r.n for r in per_window) == 2 * n and max(r.n for r in per_window) <= packing.CAPACITY
+
+
+@pytest.mark.parametrize("parts", [1, 7, 20])
+def test_shards_of_digests(spark, monkeypatch, parts):
+    """Shards of a few rows in many runs give the groups that a plain grouping gives."""
+    monkeypatch.setattr(exact_dedup, "SHARD_ROWS", 5)
+    rows = [(i, f" t e x t {i % 37 * (i % 3)}" + " " * (i % 4), None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>").repartition(parts)
+    groups = {}
+    for i, text, _ in rows:
+        groups.setdefault("".join(text.split()), []).append((-len(text), i))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert got == {i: (min(g)[1], len(g)) for g in groups.values() for _, i in g}
+    assert sorted(r.doc_id for r in exact_dedup.deduplicated(docs).collect()) == sorted(min(g)[1] for g in groups.values())
+
+
+def test_ties_of_exact_copies_are_settled(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "y"), (1, "a b", "z"), (None, "c", "u"), (None, "c", "v")]
+    for seed in range(4):
+        docs = spark.createDataFrame(rows[seed:] + rows[:seed], "doc_id long, text string, source string").repartition(1 + seed)
+        got = sorted(map(tuple, exact_dedup.deduplicated(docs).collect()), key=str)
+        first = first if seed else got
+        assert got == first and len(got) == 2
+
+
 def test_templates_never_meet(spark):
     """Paragraphs of a template, that differ in a middle word, are not alike, and cost about as much as unrelated ones."""
     n, took = 3000, []
