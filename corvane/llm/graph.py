@@ -78,7 +78,7 @@ def bucket_components(
     ``close`` (of their signs) and ``alike`` (of what ``texts`` gives as node, body for a table of
     nodes) both hold; what is None holds always.
 
-    In each bucket a few members are leaders: the one whose buckets are the largest taken together,
+    In each bucket a few members are leaders: the one in most buckets,
     as a text is from which others were made, and some by hashes. All members are compared with
     those first, and components of these links are found. Then only members of buckets that still hold several
     components are compared, across components alone. ``across`` does so, if it is given: it takes those nodes
@@ -89,15 +89,13 @@ def bucket_components(
     """
     n_leaders = LEADERS_WITH_TEXTS if texts else LEADERS
     members = saved(members.select("key", "node", "sign").distinct())
+    weights = members.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
     entry, rank = F.struct("node", "sign"), F.struct("weight", "node")
-    others = [F.min_by(entry, F.xxhash64("node", F.lit(i))).alias(f"leader{i}") for i in range(1, n_leaders)]
-    buckets = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *others).filter("size > 1"))
-    members = saved(members.join(small(buckets.select("key", "size")), "key"))
-    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    first = members.join(weights, "node").groupBy("key").agg(F.max_by(entry, rank).alias("first"))
-    leaders = F.array_distinct(F.array("first", *(f"leader{i}" for i in range(1, n_leaders)))).alias("leaders")
-    led = saved(buckets.drop("size").join(first, "key").select("key", leaders))
-    members = members.join(small(led, 2 * F.size("leaders")), "key")
+    others = (F.min_by(entry, F.xxhash64("node", F.lit(i))) for i in range(1, n_leaders))
+    leaders = F.array_distinct(F.array(F.max_by(entry, rank), *others)).alias("leaders")
+    buckets = members.join(weights, "node").groupBy("key").agg(F.count(F.lit(1)).alias("size"), leaders)
+    buckets = saved(buckets.filter("size > 1"))
+    members = members.join(small(buckets, 2 * F.size("leaders")), "key")
 
     def fits(leader: Column) -> Column:
         other = leader["node"] != F.col("node")
