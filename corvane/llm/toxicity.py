@@ -64,13 +64,15 @@ def words_of(text: str) -> list[str]:
 
 def obfuscated(text: str) -> list[str]:
     """Words in which digits or signs stand between letters, as in id1ot."""
-    found = {}
+    found, done = {}, 0
     for m in _SIGNS.finditer(text):
         a, b = m.span()
-        if 0 < a and b < len(text) and text[a - 1].isalpha() and text[b].isalpha():
+        # the rest of a word that is known needs no second look, so a word of any length is looked through once
+        if done <= a and 0 < a and b < len(text) and text[a - 1].isalpha() and text[b].isalpha():
             start = max(text.rfind(c, 0, a) for c in " \n\t") + 1
             end = text.find(" ", b)
-            found.setdefault(start, text[start : end if end >= 0 else len(text)].split()[0])
+            word = found.setdefault(start, text[start : end if end >= 0 else len(text)].split()[0])
+            done = start + len(word)
     return [w.lower().strip(_EDGES) for w in found.values()]
 
 
@@ -221,5 +223,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is below ``REJECT``, with all their columns."""
+    """The rows of ``docs`` whose score is below ``REJECT``, with all their columns.
+
+    Null and empty texts are scored as empty, and texts that tie are all kept or all rejected; repeated rows and null ids are kept as they are,
+    and an empty table stays empty.
+    """
     return scored(docs, model, text_col).filter(F.col("toxicity") < REJECT).select("row.*")
