@@ -26,6 +26,9 @@ BATCH_BYTES = 2 << 20
 #: Rows that an Arrow batch has at most: rows hold whole texts, and each task holds a batch or two beside the heap.
 ARROW_ROWS = "1000"
 
+#: Paths that ``shared_path`` has given.
+_paths: list[str] = []
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is configured."""
@@ -46,8 +49,20 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new path below the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; ``cleared`` deletes it with all others."""
+    _paths.append(f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def cleared(spark: SparkSession) -> int:
+    """Deletes what operators of this session have written below the shared folder, checkpoints apart: for the end of a job, when its results are written.
+
+    DataFrames that operators have returned can't be read any more then. Gives the number of paths.
+    """
+    paths, _paths[:] = list(_paths), []
+    for path in paths:
+        removed(spark, path)
+    return len(paths)
 
 
 def store_of(path: str) -> tuple[fs.FileSystem, str]:
