@@ -7,7 +7,7 @@ alike in common elements alone, as texts made from a template are, never meet. F
 counted under hashes, so their table is as long for any input; elements that share a place in it only change the order.
 
 Sets that meet are held against each other's bitmaps, whose bits are the parities of the elements hashed to them: they
-differ in as many bits at most as the sets differ in elements. So no link is lost, and few other pairs leave the join.
+differ in as many bits at most as the sets differ in elements. A pair leaves the join under the least of its keys alone. So no link is lost, and few other pairs leave the join.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ ROUNDS = 1
 #: Words of 64 bits of a bitmap.
 BITMAP = 8
 WORDS = [f"word{i}" for i in range(BITMAP)]
+NAMES = ["key", "node", "own", "size", "indexed", "lesser", "lesser_indexed", *WORDS]
 
 
 def _place(elements: np.ndarray, places: int) -> np.ndarray:
@@ -60,7 +61,7 @@ def prefixes(size: int, similarity: float) -> tuple[int, int]:
 
 
 def _keys(counts: np.ndarray, similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, own, body) to a row for each of the first elements of the body that may be shared: key, node, own, size, indexed, the bitmap's words."""
+    """(node, own, body) to a row for each of the first elements of the body that may be shared: the columns ``NAMES``."""
     for batch in batches:
         sets = batch.column(2)
         sizes = np.diff(sets.offsets.to_numpy())
@@ -72,10 +73,25 @@ def _keys(counts: np.ndarray, similarity: float, batches: Iterator[pa.RecordBatc
         looks, found = (np.array([both[n][i] for n in sizes.tolist()], dtype=np.int64) for i in (0, 1))
         # an element that no other set has need not be looked for
         at = np.nonzero((rank < looks[of]) & (counts[_place(flat[order], len(counts))] > 1))[0]
-        rows = batch.select([0, 1]).take(pa.array(of[at]))
-        columns = [pa.array(flat[order][at]), *rows.columns, pa.array(sizes[of[at]].astype(np.int64)), pa.array(rank[at] < found[of[at]])]
-        bits = bitmaps(flat, of, len(sizes))[of[at]]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(b) for b in bits.T.copy())], ["key", "node", "own", "size", "indexed", *WORDS])
+        at = at[np.lexsort((flat[order][at], of[at]))]
+        keys, mine, indexed = flat[order][at], of[at], rank[at] < found[of[at]]
+        rows = batch.select([0, 1]).take(pa.array(mine))
+        columns = [pa.array(keys), *rows.columns, pa.array(sizes[mine].astype(np.int64)), pa.array(indexed), *before(keys, mine, indexed)]
+        bits = bitmaps(flat, of, len(sizes))[mine]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(b) for b in bits.T.copy())], NAMES)
+
+
+def before(keys: np.ndarray, of: np.ndarray, indexed: np.ndarray) -> list[pa.ListArray]:
+    """For each of the keys, sorted by the set they are ``of``, the lesser keys of its set: all of them, and those indexed."""
+    first = np.searchsorted(of, of)
+    out = []
+    for taken in (np.ones(len(keys), dtype=bool), indexed):
+        until = np.cumsum(taken) - taken
+        n = until - until[first] if len(keys) else until
+        ends = np.concatenate([[0], np.cumsum(n)])
+        places = np.repeat(until - n, n) + np.arange(int(ends[-1])) - np.repeat(ends[:-1], n)
+        out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[taken][places])))
+    return out
 
 
 def links_across(
@@ -95,7 +111,7 @@ def links_across(
     for place, n in bodies.select("body").mapInArrow(partial(_counted, places), "place long, n long").groupBy("place").agg(F.sum("n")).collect():
         table[place] = n
     kinds = dict(bodies.dtypes)
-    schema = f"key long, node {kinds['node']}, own {kinds['own']}, size long, indexed boolean, " + ", ".join(f"{w} long" for w in WORDS)
+    schema = f"key long, node {kinds['node']}, own {kinds['own']}, size long, indexed boolean, lesser array<long>, lesser_indexed array<long>, " + ", ".join(f"{w} long" for w in WORDS)
     keyed = saved(bodies.mapInArrow(partial(_keys, table, similarity), schema))
 
     def sets(ids: DataFrame) -> DataFrame:
@@ -114,9 +130,9 @@ def links_across(
         merged = components(links.select(F.col("own").alias("a"), F.col("main").alias("b")))
         merged = small(saved(merged.withColumnRenamed("node", "own")))
         own = F.coalesce("component", "own").alias("own")
-        keyed = saved(keyed.join(merged, "own", "left").select("key", "node", own, "size", "indexed", *WORDS))
+        keyed = saved(keyed.join(merged, "own", "left").select(*(own if c == "own" else c for c in NAMES)))
     rest = saved(keyed.join(small(saved(_main(keyed, ROUNDS).drop("lead"))), "key"))
-    apart = rest.filter("own <> main").select(F.col("key").alias("at"), *(F.col(c).alias(f"other_{c}") for c in ("node", "own", "size", "indexed", *WORDS)))
+    apart = rest.filter("own <> main").select(F.col("key").alias("at"), *(F.col(c).alias(f"other_{c}") for c in NAMES[1:]))
     smaller, larger = F.col("size") <= F.col("other_size"), F.col("size") >= F.col("other_size")
     meets = (F.col("at") == F.col("key")) & (F.col("other_own") != F.col("own"))
     # of two nodes that are both apart, one comes second
@@ -126,7 +142,9 @@ def links_across(
     # of sizes x and y, alike sets differ in (1 - t) / (1 + t) * (x + y) elements at most
     differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"other_{w}"))) for w in WORDS), F.lit(0))
     meets = meets & (differing <= (1 - similarity) / (1 + similarity) * (F.col("size") + F.col("other_size")) + 1e-6)
-    pairs = apart.join(rest, meets).select(F.least("other_node", "node").alias("a"), F.greatest("other_node", "node").alias("b"))
+    # under the least of the keys under which they meet
+    sooner = smaller & F.arrays_overlap("lesser_indexed", "other_lesser") | larger & F.arrays_overlap("lesser", "other_lesser_indexed")
+    pairs = apart.join(rest, meets & ~sooner).select(F.least("other_node", "node").alias("a"), F.greatest("other_node", "node").alias("b"))
     last = linked(saved(pairs.distinct()), sets, alike)
     return last if found is None else last.unionByName(found)
 
