@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import saved, small
+from corvane.llm.common import saved, small, written
 from corvane.llm.graph import components, linked
 
 #: Places of the table of frequencies.
@@ -106,13 +106,14 @@ def links_across(
     First, nodes outside of a key's main component are compared with one member of it, in a few rounds,
     which join most of a large group. Then those still outside are compared with the rest. Empty sets have no link.
     """
-    bodies = saved(nodes.join(texts(nodes.select("node")), "node").select("node", "own", "body").filter(F.size("body") > 0))
+    bodies = nodes.join(texts(nodes.select("node")), "node").select("node", "own", "body")
+    bodies = written(bodies.filter(F.size("body") > 0), "sets")
     table = np.zeros(places, dtype=np.int64)
     for place, n in bodies.select("body").mapInArrow(partial(_counted, places), "place long, n long").groupBy("place").agg(F.sum("n")).collect():
         table[place] = n
     kinds = dict(bodies.dtypes)
     schema = f"key long, node {kinds['node']}, own {kinds['own']}, size long, indexed boolean, lesser array<long>, lesser_indexed array<long>, " + ", ".join(f"{w} long" for w in WORDS)
-    keyed = saved(bodies.mapInArrow(partial(_keys, table, similarity), schema))
+    keyed = written(bodies.mapInArrow(partial(_keys, table, similarity), schema), "keys")
 
     def sets(ids: DataFrame) -> DataFrame:
         return bodies.select("node", "body").join(ids, "node")
@@ -130,8 +131,8 @@ def links_across(
         merged = components(links.select(F.col("own").alias("a"), F.col("main").alias("b")))
         merged = small(saved(merged.withColumnRenamed("node", "own")))
         own = F.coalesce("component", "own").alias("own")
-        keyed = saved(keyed.join(merged, "own", "left").select(*(own if c == "own" else c for c in NAMES)))
-    rest = saved(keyed.join(small(saved(_main(keyed, ROUNDS).drop("lead"))), "key"))
+        keyed = keyed.join(merged, "own", "left").select(*(own if c == "own" else c for c in NAMES))
+    rest = keyed.join(small(saved(_main(keyed, ROUNDS).drop("lead"))), "key")
     apart = rest.filter("own <> main").select(F.col("key").alias("at"), *(F.col(c).alias(f"other_{c}") for c in NAMES[1:]))
     smaller, larger = F.col("size") <= F.col("other_size"), F.col("size") >= F.col("other_size")
     meets = (F.col("at") == F.col("key")) & (F.col("other_own") != F.col("own"))
