@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import saved, small
@@ -65,12 +65,36 @@ def linked(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], alike: Cal
     return both.filter(alike(F.col("x"), F.col("y"))).select(*pairs.columns)
 
 
+def _led_by_joins(members: DataFrame, n_leaders: int) -> DataFrame:
+    """Distinct members of buckets of several, with size and leaders of their bucket: the one in most buckets, others by hashes."""
+    members = saved(members)
+    weights = members.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+    entry, rank = F.struct("node", "sign"), F.struct("weight", "node")
+    others = (F.min_by(entry, F.xxhash64("node", F.lit(i))) for i in range(1, n_leaders))
+    leaders = F.array_distinct(F.array(F.max_by(entry, rank), *others)).alias("leaders")
+    buckets = members.join(weights, "node").groupBy("key").agg(F.count(F.lit(1)).alias("size"), leaders)
+    buckets = saved(buckets.filter("size > 1"))
+    return members.join(small(buckets, 2 * F.size("leaders")), "key")
+
+
+def _led_by_windows(members: DataFrame, n_leaders: int) -> DataFrame:
+    """As ``_led_by_joins``; the first leader is the one whose buckets are the largest taken together."""
+    whole = Window.partitionBy("key")
+    members = saved(members.withColumn("size", F.count(F.lit(1)).over(whole)).filter("size > 1"))
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    entry, rank = F.struct("node", "sign"), F.struct("weight", "node")
+    first = F.max_by(entry, rank).over(whole)
+    others = (F.min_by(entry, F.xxhash64("node", F.lit(i))).over(whole) for i in range(1, n_leaders))
+    return members.join(weights, "node").withColumn("leaders", F.array_distinct(F.array(first, *others)))
+
+
 def bucket_components(
     members: DataFrame,
     close: Callable[[Column, Column], Column] | None = None,
     texts: Callable[[DataFrame], DataFrame] | None = None,
     alike: Callable[[Column, Column], Column] | None = None,
     across: Callable[[DataFrame], DataFrame] | None = None,
+    by_window: bool = False,
 ) -> DataFrame:
     """node, component over the links of nodes that meet in buckets.
 
@@ -85,17 +109,11 @@ def bucket_components(
     as node, own (their component) and returns their links a, b. Otherwise members outside of a bucket's main
     component are compared with the rest of it within the join, so that no unlinked pair leaves it. No link is lost: two members that are linked are in one
     component, or were compared. A bucket's size and leaders come from partial aggregates, one row a bucket, that
-    its members are joined to.
+    its members are joined to; or, ``by_window``, from windows, which move and keep fewer bytes where nodes have wide signs and many keys, but hold a
+    bucket in one task.
     """
     n_leaders = LEADERS_WITH_TEXTS if texts else LEADERS
-    members = saved(members.select("key", "node", "sign").distinct())
-    weights = members.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
-    entry, rank = F.struct("node", "sign"), F.struct("weight", "node")
-    others = (F.min_by(entry, F.xxhash64("node", F.lit(i))) for i in range(1, n_leaders))
-    leaders = F.array_distinct(F.array(F.max_by(entry, rank), *others)).alias("leaders")
-    buckets = members.join(weights, "node").groupBy("key").agg(F.count(F.lit(1)).alias("size"), leaders)
-    buckets = saved(buckets.filter("size > 1"))
-    members = members.join(small(buckets, 2 * F.size("leaders")), "key")
+    members = (_led_by_windows if by_window else _led_by_joins)(members.select("key", "node", "sign").distinct(), n_leaders)
 
     def fits(leader: Column) -> Column:
         other = leader["node"] != F.col("node")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import saved, small
@@ -65,15 +65,20 @@ def close(a: Column, b: Column, most: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= most
 
 
-def meetings(nodes: DataFrame) -> DataFrame:
+def meetings(nodes: DataFrame, by_window: bool = False) -> DataFrame:
     """key, node, sign for keys that several of the distinct nodes (node, sign, bands) have.
 
     Keys are counted by partial sums, and only 64 bits of a node meet those that several have; a frequent key is
-    split like any large side of a join.
+    split like any large side of a join. ``by_window`` moves fewer bytes, and a key's nodes are in one task.
     """
     code = F.xxhash64("node").alias("code")
     keyed = nodes.select(code, F.explode("bands").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("code").alias("least"), F.max("code").alias("last"))
-    several = saved(ends.filter("least <> last").select("key"))
-    met = keyed.join(small(several), "key").distinct()
+    if by_window:
+        whole = Window.partitionBy("key")
+        ends = keyed.withColumns({"least": F.min("code").over(whole), "last": F.max("code").over(whole)})
+        met = ends.filter("least <> last").select("key", "code")
+    else:
+        ends = keyed.groupBy("key").agg(F.min("code").alias("least"), F.max("code").alias("last"))
+        several = saved(ends.filter("least <> last").select("key"))
+        met = keyed.join(small(several), "key").distinct()
     return met.join(nodes.select(code, "node", "sign"), "code").select("key", "node", "sign")

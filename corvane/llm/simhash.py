@@ -239,7 +239,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = [F.first(c).alias(c) for c in ("fp", "size", "sketch", "bands")]
     nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *own))
     signed = nodes.select(F.xxhash64("node").alias("code"), "node", F.struct("size", "sketch").alias("sign"))
-    by_band = minhash.meetings(nodes.select("node", F.struct("size", "sketch").alias("sign"), "bands"))
+    by_band = minhash.meetings(nodes.select("node", F.struct("size", "sketch").alias("sign"), "bands"), by_window=True)
     met = saved(likely_meetings(nodes.select(F.xxhash64("node").alias("code"), "fp", "sketch")).distinct())
     by_print = met.join(signed, "code").select("key", "node", "sign")
 
@@ -249,7 +249,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         sets = named.join(wanted, same, "left_semi").select("node", "text").mapInArrow(_shingle_sets, "node binary, body array<long>")
         return saved(sets.dropDuplicates(["node"]))
 
-    groups = saved(bucket_components(by_band.unionByName(by_print), _likely, texts, alike))
+    groups = saved(bucket_components(by_band.unionByName(by_print), _likely, texts, alike, by_window=True))
     of_node = nodes.join(groups, "node", "left").select("node", "first_id", "n", F.coalesce("component", "node").alias("group"))
     return of_node, rows.select("doc_id", "node")
 

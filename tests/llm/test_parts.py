@@ -71,12 +71,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-@pytest.mark.parametrize("size", range(2, 3 * LEADERS))
-def test_all_links_of_a_bucket(spark, size):
+@pytest.mark.parametrize("by_window", [False, True])
+@pytest.mark.parametrize("size", [2, 3, 5, 9, 3 * LEADERS - 1])
+def test_all_links_of_a_bucket(spark, size, by_window):
     members = [(key, 100 * key + node, 0) for key in range(20) for node in range(size)]
     frame = spark.createDataFrame(members, "key long, node long, sign long")
     halves = lambda ids: ids.select("node", (ids["node"] % 2).alias("body"))
-    got = bucket_components(frame, None, halves, lambda a, b: a == b).collect()
+    got = bucket_components(frame, None, halves, lambda a, b: a == b, by_window=by_window).collect()
     want = {(node, 100 * key + node % 2) for key, node, _ in members if (size - 1 - node % 2) // 2}
     assert {(r.node, r.component) for r in got} == want
 
