@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import saved, small
+from corvane.llm.common import saved, small, tasks_for
 
 #: Leaders of a bucket, and of one whose members' texts are fetched.
 LEADERS, LEADERS_WITH_TEXTS = 4, 2
@@ -17,21 +17,22 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Links every larger neighbour of a node to the least of the node and its neighbours."""
+    edges = edges.coalesce(tasks)
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
-    joined = both.filter("v > u").join(_least(both), "u")
+    joined = both.filter("v > u").join(_least(both), "u").coalesce(tasks)
     return joined.select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    joined = down.join(_least(down), "u")
+    joined = down.join(_least(down), "u").coalesce(tasks)
     pairs = joined.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("p"))
-    return pairs.select("p.a", "p.b").filter("a <> b").distinct()
+    return pairs.select("p.a", "p.b").filter("a <> b").distinct().coalesce(tasks)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
     Large and small stars alternate until the edges stay as they are.
     Each round costs two aggregations and two joins of the edges, which become fewer; hubs are
     aggregated before the shuffle and their joins are split by adaptive execution. The number of
-    rounds grows with the logarithm of the longest path. An edge from a node to itself adds nothing.
+    rounds grows with the logarithm of the longest path. Few edges run in few tasks, however many
+    partitions a shuffle has: a round has some ten stages, and each task leaves files. An edge from a node to itself adds nothing.
     """
     edges = saved(edges.select("a", "b").filter("a <> b").distinct())
     before = None
@@ -49,7 +51,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or now[0] == 0:
             break
         before = now
-        edges = saved(_small_star(_large_star(edges)))
+        tasks = tasks_for(edges.sparkSession, now[0])
+        edges = saved(_small_star(_large_star(edges, tasks), tasks))
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
